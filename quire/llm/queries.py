@@ -1,0 +1,49 @@
+"""Queries of the operators on text for training data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.lookalike import consistent_forms, lookalike_pairs
+from quire.llm.residue import classified_templates, message_templates, residue_records
+from quire.tables import table
+
+
+def _records(spark: SparkSession, sf_dir: str, text: str, *sources: tuple[str, str, str, str]) -> DataFrame:
+    """``(record_kind, record_id, <text>)`` of the given (kind, table, key, column)."""
+    parts = [table(spark, sf_dir, t).select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_id"), F.col(column).alias(text)) for kind, t, key, column in sources]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+
+
+def _pages_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir, "text", ("page", "page_records", "page_id", "page_summary"), ("chunk", "chunk_records", "chunk_id", "chunk_text_clean"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_records(_pages_and_chunks(spark, sf_dir))
+
+
+def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates judged as residue, with how many messages they cover."""
+    records = _pages_and_chunks(spark, sf_dir).where(F.col("text").isNotNull()).distinct()
+    found = classified_templates(message_templates(records)).where("verdict IS NOT NULL")
+    return found.select(F.col("template.n_tokens").alias("n_tokens"), F.array_join("template.first", " ").alias("path"), "example", "verdict", "n_records")
+
+
+def _titles_and_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir, "stored", ("table", "table_records", "table_id", "table_title"), ("text_row", "text_rows", "row_key", "text_content"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(_titles_and_rows(spark, sf_dir))
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every text."""
+    return consistent_forms(_titles_and_rows(spark, sf_dir).distinct()).select("record_kind", "record_id", F.col("form").alias("text"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
+
+ORACLES: dict[str, str] = {}
