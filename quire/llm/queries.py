@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.lookalike import consistent_forms, lookalike_pairs
 from quire.llm.residue import classified_templates, message_templates, residue_records
+from quire.llm.shared import shared_pairs, shared_share
+from quire.llm.tokenize import decode_ids, encode_texts
 from quire.tables import table
 
 
@@ -44,6 +46,28 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_forms(_titles_and_rows(spark, sf_dir).distinct()).select("record_kind", "record_id", F.col("form").alias("text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document how many ids it has, and whether decoding them gives the text back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("was"))
+    ids = encode_texts(table(spark, sf_dir, "documents"))
+    back = decode_ids(ids).select("doc_id", F.xxhash64("text").alias("now"))
+    counts = ids.select("doc_id", F.size("ids").alias("n_ids"))
+    return documents.join(back, "doc_id").join(counts, "doc_id").select("doc_id", "n_ids", (F.col("was") == F.col("now")).alias("restored"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document how much of it stands in others too."""
+    return shared_share(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p9_found": p9_found, "p9_coverage": p9_coverage, "p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
 
 ORACLES: dict[str, str] = {}
