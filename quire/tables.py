@@ -32,3 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
 def text_key(text: Column) -> Column:
     """A 128-bit key of a string, as struct of two longs: equal keys are taken as equal strings."""
     return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.reverse(text)).alias("h2"))
+
+
+#: Buckets of :func:`near`, which bound what it broadcasts to as many longs.
+BUCKETS = 1 << 18
+
+
+def near(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key falls in a bucket that some key of ``wanted`` falls in, before an exact join.
+
+    The buckets, at most ``BUCKETS`` longs whatever the data, are broadcast, so that a wide table is thinned before it
+    is shuffled; with very many wanted keys all rows pass, and the exact join does the work.
+    """
+    bucket = F.pmod(F.xxhash64(F.lit(11), key), F.lit(BUCKETS))
+    buckets = wanted.select(bucket.alias("_bucket")).distinct()
+    return df.withColumn("_bucket", bucket).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
