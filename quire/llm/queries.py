@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import consistent_forms, lookalike_pairs
+from quire.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quire.llm.residue import classified_templates, message_templates, residue_records
 from quire.llm.shared import shared_pairs, shared_share
 from quire.llm.tokenize import decode_ids, encode_texts
@@ -18,6 +19,19 @@ def _records(spark: SparkSession, sf_dir: str, text: str, *sources: tuple[str, s
     return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
 
+def _chunks_and_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir, "text", ("chunk", "chunk_records", "chunk_id", "chunk_text_clean"), ("table", "table_records", "table_id", "table_markdown"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_pairs(_chunks_and_tables(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every record that has a near duplicate, with its numbers of copies and links."""
+    return near_duplicate_groups(_chunks_and_tables(spark, sf_dir))
+
+
 def _pages_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir, "text", ("page", "page_records", "page_id", "page_summary"), ("chunk", "chunk_records", "chunk_id", "chunk_text_clean"))
 
@@ -68,6 +82,6 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p9_found": p9_found, "p9_coverage": p9_coverage, "p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p9_found": p9_found, "p9_coverage": p9_coverage, "p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
 
 ORACLES: dict[str, str] = {}

@@ -172,7 +172,7 @@ def _full_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 )
 
 
-def _group_pairs(members: DataFrame, key: list[str]) -> DataFrame:
+def group_pairs(members: DataFrame, key: list[str]) -> DataFrame:
     """Distinct ``(doc_a, doc_b)`` that share a key. Keys with one set of records count once."""
     sets = members.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("mix")).where("n > 1")
     one = sets.groupBy("n", "sum", "mix").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
@@ -194,7 +194,7 @@ def _shared(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     counts = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     cold = kept.join(counts.where(F.col("n") <= HOT), "key", "left_semi")
     hot = kept.join(counts.where(F.col("n") > HOT), "key", "left_semi")
-    candidates = _group_pairs(cold, ["key"])
+    candidates = group_pairs(cold, ["key"])
     a = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
     needed = candidates.select(F.col("doc_b")).distinct()
@@ -207,7 +207,7 @@ def _shared(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hot_keys = hot.groupBy("doc_id").agg(F.collect_list("key").alias("hot"))  # of one text: bounded by its length
     full = cut(texts.join(hot_keys, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "hot").mapInArrow(_full_windows, "doc_id long, pos long, w1 long, w2 long"))
     wide = full.select("doc_id", "w1", "w2").distinct()
-    pairs = checked.select("doc_a", "doc_b").unionByName(_group_pairs(wide, ["w1", "w2"])).distinct()
+    pairs = checked.select("doc_a", "doc_b").unionByName(group_pairs(wide, ["w1", "w2"])).distinct()
     several = wide.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     spans = (
         checked.select(F.col("doc_a").alias("doc_id"), F.inline("spans_a"))
