@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.spans import Windows, anchors, pieces
-from quire.tables import cut
+from quire.tables import cut, near
 
 #: Characters of a span worth reporting, of the window an anchor is chosen by, and windows laid around each anchor.
 SPAN, ANCHOR, SHIFTS = 300, 60, 4
@@ -194,18 +194,19 @@ def _shared(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     counts = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     cold = kept.join(counts.where(F.col("n") <= HOT), "key", "left_semi")
     hot = kept.join(counts.where(F.col("n") > HOT), "key", "left_semi")
-    candidates = group_pairs(cold, ["key"])
-    a = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
-    needed = candidates.select(F.col("doc_b")).distinct()
+    candidates = cut(group_pairs(cold, ["key"]))
+    needed = candidates.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    own = cut(near(texts, needed, "doc_id").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    a = own.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
+    b = own.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
     checked = cut(
-        candidates.join(b.join(needed, "doc_b", "left_semi").dropDuplicates(["doc_b"]), "doc_b")
-        .join(a.join(candidates.select("doc_a").distinct(), "doc_a", "left_semi").dropDuplicates(["doc_a"]), "doc_a")
+        candidates.join(b, "doc_b")
+        .join(a, "doc_a")
         .select("doc_a", "doc_b", "text_a", "text_b")
         .mapInArrow(_verify, "doc_a long, doc_b long, spans_a array<struct<s:bigint,e:bigint>>, spans_b array<struct<s:bigint,e:bigint>>")
     )
     hot_keys = hot.groupBy("doc_id").agg(F.collect_list("key").alias("hot"))  # of one text: bounded by its length
-    full = cut(texts.join(hot_keys, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "hot").mapInArrow(_full_windows, "doc_id long, pos long, w1 long, w2 long"))
+    full = cut(near(texts, hot_keys, "doc_id").join(hot_keys, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "hot").mapInArrow(_full_windows, "doc_id long, pos long, w1 long, w2 long"))
     wide = full.select("doc_id", "w1", "w2").distinct()
     pairs = checked.select("doc_a", "doc_b").unionByName(group_pairs(wide, ["w1", "w2"])).distinct()
     several = wide.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
