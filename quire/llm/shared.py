@@ -97,11 +97,11 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [part["segment"].iloc[0]], "twice": [twice.tobytes()]})
 
 
-def repeated_windows(keys: DataFrame) -> DataFrame:
+def repeated_windows(keys: DataFrame, cells_a_key: float = 4, partials: int = 6) -> DataFrame:
     """``(key, doc_id)`` of the windows that the merged sketch takes for repeated. ``keys``: ``(doc_id, keys)``."""
     n = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
-    cells = max(MIN_CELLS, min(MAX_CELLS, 1 << (4 * n).bit_length()))
-    few = keys.select("keys").coalesce(max(1, min(keys.rdd.getNumPartitions(), 6 + n // 4_000_000)))
+    cells = max(MIN_CELLS, min(MAX_CELLS, 1 << int(cells_a_key * n).bit_length()))
+    few = keys.select("keys").coalesce(max(1, min(keys.rdd.getNumPartitions(), partials + n // 20_000_000)))
     merged = few.mapInArrow(_sketcher(cells), "segment int, once binary, twice binary").groupBy("segment").applyInPandas(_merge, "segment int, twice binary")
     bits = {r.segment: r.twice for r in merged.collect()}  # of bounded size: SKETCH_ROWS * cells / 8 bytes
     sketch = keys.sparkSession.sparkContext.broadcast([b"".join(bits.get(row * (cells // SEGMENT + 1) + s // SEGMENT, bytes(min(SEGMENT, cells) // 8)) for s in range(0, cells, SEGMENT)) for row in range(SKETCH_ROWS)])
@@ -174,8 +174,8 @@ def _full_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def group_pairs(members: DataFrame, key: list[str]) -> DataFrame:
     """Distinct ``(doc_a, doc_b)`` that share a key. Keys with one set of records count once."""
-    sets = members.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("mix")).where("n > 1")
-    one = sets.groupBy("n", "sum", "mix").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    sets = members.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("x2")).where("n > 1")
+    one = sets.groupBy("n", "x1", "x2").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
     kept = members.join(one, key, "left_semi")
     a, b = kept.withColumnRenamed("doc_id", "doc_a"), kept.withColumnRenamed("doc_id", "doc_b")
     return a.join(b, key).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
