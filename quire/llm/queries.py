@@ -9,6 +9,7 @@ from quire.llm.leak import leaked_items
 from quire.llm.lookalike import consistent_forms, lookalike_pairs
 from quire.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quire.llm.residue import classified_templates, message_templates, residue_records
+from quire.llm.scanned import page_noise, repaired_texts
 from quire.llm.shared import shared_pairs, shared_share
 from quire.llm.tokenize import decode_ids, encode_texts
 from quire.tables import table
@@ -24,6 +25,21 @@ def _chunks_and_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir, "text", ("chunk", "chunk_records", "chunk_id", "chunk_text_clean"), ("table", "table_records", "table_id", "table_markdown"))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "text_rows").select(F.lit("text_row").alias("record_kind"), F.col("row_key").alias("record_id"), F.col("file_name").alias("title"), F.col("text_content").alias("text"))
+    chunks = table(spark, sf_dir, "chunk_records").select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("record_id"), F.col("doc_title").alias("title"), F.col("chunk_text_clean").alias("text"))
+    return rows.unionByName(chunks)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_noise(_scanned(spark, sf_dir))
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as continuous paragraphs."""
+    return repaired_texts(_scanned(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(_chunks_and_tables(spark, sf_dir))
 
@@ -92,6 +108,6 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_coverage": p9_coverage, "p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
+QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_groups": p3_groups, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_coverage": p9_coverage, "p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
 
 ORACLES: dict[str, str] = {}
