@@ -77,6 +77,8 @@ def parses(text: str) -> list[tuple[tuple[str, bool], ...]]:
     found: dict[tuple, None] = {}
     for body in inner:
         present = tuple(d for d, p in _PRESENT.items() if p.search(body))
+        if not split_field(body, present, False):
+            return []
         quoted = any(q in body for q in QUOTES)
         for delimiters in dict.fromkeys([present, *((d,) for d in present), ()]):
             for quotes in (True, False) if quoted else (False,):
