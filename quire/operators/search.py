@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.tables import cut
 
 #: The weight of the dense side per level, BM25's parameters, and results per level.
 ALPHA = {"doc": 0.65, "page": 0.60, "chunk": 0.25, "table": 0.60}
@@ -50,22 +51,49 @@ def query_tokens(queries: DataFrame, fold: bool = True) -> DataFrame:
     return queries.select("query_id", F.explode(T.sparse_tokens(F.col("query"), fold)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def postings(texts: DataFrame, fold: bool = True) -> DataFrame:
-    """``(level, id, dl, token, tf)`` of all texts."""
-    tokens = texts.select("level", "id", T.sparse_tokens(F.col("text"), fold).alias("tokens"))
-    return tokens.select("level", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("level", "id", "dl", "token").agg(F.count("*").alias("tf"))
+def text_length(c: Column) -> Column:
+    """The number of sparse tokens of a normalised text, counted without making them."""
+    han = F.length(F.regexp_replace(c, f"[^{T.HAN}]+", ""))
+    runs = F.regexp_count(c, F.lit(f"[{T.HAN}]+"))
+    alone = F.regexp_count(c, F.lit(f"(?<![{T.HAN}])[{T.HAN}](?![{T.HAN}])"))
+    return F.regexp_count(c, F.lit(T.TOKEN)) + 2 * han - 2 * runs + alone
+
+
+def prepared(texts: DataFrame, fold: bool = True) -> DataFrame:
+    """``(level, id, norm, dl)``."""
+    norm = texts.select("level", "id", F.lower(T.search_text(F.col("text"), fold)).alias("norm"))
+    return norm.withColumn("dl", text_length(F.col("norm")))
+
+
+def token_rows(ready: DataFrame) -> DataFrame:
+    """``(level, id, dl, token)``, a row per token occurrence, by generators that stay in generated code."""
+    latin = ready.select("level", "id", "dl", F.explode(T.latin_tokens(F.col("norm"))).alias("token"))
+    runs = ready.select("level", "id", "dl", F.explode(F.regexp_extract_all("norm", F.lit(f"([{T.HAN}]+)"), 1)).alias("run"))
+    places = runs.withColumn("n", F.length("run")).select("level", "id", "dl", "run", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    pair = F.when(F.col("i") < F.col("n"), F.substring("run", F.col("i"), F.lit(2)))
+    triple = F.when(F.col("i") < F.col("n") - 1, F.substring("run", F.col("i"), F.lit(3)))
+    whole = F.when(F.col("i") == 1, F.col("run"))
+    han = places.select("level", "id", "dl", F.explode(F.array(whole, pair, triple)).alias("token")).where("token IS NOT NULL")
+    return latin.unionByName(han)
+
+
+def postings(texts: DataFrame, fold: bool = True, wanted: DataFrame | None = None) -> DataFrame:
+    """``(level, id, dl, token, tf)`` of all texts; of the wanted tokens only, where given, dropped before they are grouped."""
+    rows = token_rows(prepared(texts, fold))
+    rows = rows if wanted is None else rows.join(wanted, "token", "left_semi")
+    return rows.groupBy("level", "id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
 def level_stats(texts: DataFrame, fold: bool = True) -> DataFrame:
     """``(level, n, avgdl)``; texts without tokens count."""
-    return texts.select("level", F.size(T.sparse_tokens(F.col("text"), fold)).alias("dl")).groupBy("level").agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    return prepared(texts, fold).groupBy("level").agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
 
 
 def bm25(queries: DataFrame, texts: DataFrame, fold: bool = True, okapi: bool = False) -> DataFrame:
     """``(query_id, level, id, score)`` of all texts with a positive score. One plan serves all levels and questions."""
     q = query_tokens(queries, fold)
     wanted = F.broadcast(q.select("token").distinct())  # of the stated question set
-    hits = postings(texts, fold).join(wanted, "token", "left_semi")
+    hits = cut(postings(texts, fold, wanted))  # read for the document frequencies and for the scores
     df = hits.groupBy("level", "token").agg(F.count("*").alias("df"))
     stats = F.broadcast(level_stats(texts, fold))  # one row per level
     ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)

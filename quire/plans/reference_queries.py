@@ -154,9 +154,25 @@ def _now(name: str, key: str, deleted: bool = True) -> str:
 _CTE = f"docs AS ({_now('doc_records', 'doc_id', False)}), pages AS ({_now('page_records', 'page_id')}), chunks AS ({_now('chunk_records', 'chunk_id')}), tabs AS ({_now('table_records', 'table_id')}), imgs AS ({_now('image_records', 'image_id')})"
 
 
-def _store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    keys = {"doc_records": "doc_id", "page_records": "page_id", "chunk_records": "chunk_id", "table_records": "table_id", "image_records": "image_id"}
-    return {n.removesuffix("_records"): corpus.current(table(spark, sf_dir, n), k) for n, k in keys.items()}
+_KEYS = {"doc_records": "doc_id", "page_records": "page_id", "chunk_records": "chunk_id", "table_records": "table_id", "image_records": "image_id"}
+_COLUMNS = {
+    "doc": ["doc_id", "doc_title", "doc_summary", "top_keywords", "page_ids"],
+    "page": ["page_id", "doc_id", "page_no", "doc_title", "page_summary", "page_keywords", "table_ids", "image_ids"],
+    "chunk": ["chunk_id", "page_id", "doc_id", "doc_title", "heading", "chunk_order", "chunk_text_clean", "keywords", "table_ids_on_page", "image_ids_on_page"],
+    "table": ["table_id", "page_id", "doc_id", "doc_title", "table_title", "table_headers", "table_summary", "keywords"],
+    "image": ["image_id", "page_id", "image_title", "keywords"],
+}
+
+
+def _store(spark: SparkSession, sf_dir: str, once: bool = False) -> dict[str, DataFrame]:
+    """The current records with the columns that retrieval reads; written ``once`` where several branches read them."""
+    out = {}
+    for name, key in _KEYS.items():
+        kind = name.removesuffix("_records")
+        columns = [*_COLUMNS[kind], "loaded_at", *(["is_deleted"] if name != "doc_records" else [])]
+        now = corpus.current(table(spark, sf_dir, name).select(*columns), key)
+        out[kind] = cut(now) if once else now
+    return out
 
 
 @register("page_records_build", f"""WITH {_CTE}, l AS (SELECT doc_id, max(page_no) AS last FROM chunks GROUP BY doc_id), p AS (SELECT doc_id, unnest(generate_series(1, last)) AS page_no FROM l WHERE last > 0),
@@ -365,7 +381,7 @@ def _ranked(spark, sf_dir, s, scores):
 @register("combine_scores", f"WITH {_SCORES} SELECT query_id, level, id, score FROM best")
 def combine_scores(spark, sf_dir):
     limit = F.create_map(*(x for level, k in search.TOP.items() for x in (F.lit(level), F.lit(k))))[F.col("level")]
-    return search.top(_scores(spark, sf_dir, _store(spark, sf_dir)).where("score > 0"), ["query_id", "level"], limit).drop("rank")
+    return search.top(_scores(spark, sf_dir, _store(spark, sf_dir, once=True)).where("score > 0"), ["query_id", "level"], limit).drop("rank")
 
 
 @register("low_signal_page", f"""WITH {_CTE}, says AS (SELECT page_id, max(CAST(NOT {_low('chunk_text_clean')} AS INT)) AS says FROM chunks GROUP BY 1)
@@ -377,13 +393,13 @@ def low_signal_page(spark, sf_dir):
 
 @register("page_bundle", f"WITH {_BUNDLES} SELECT query_id, page_id, doc_id, bundle FROM bundles")
 def page_bundle(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, once=True)
     return _bundles(spark, sf_dir, s, _scores(spark, sf_dir, s))
 
 
 @register("lexical_search_top5", f"WITH {_RANKED} SELECT * FROM ranked")
 def lexical_search_top5(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, once=True)
     return _ranked(spark, sf_dir, s, _scores(spark, sf_dir, s))
 
 
@@ -397,7 +413,7 @@ sc AS (SELECT query_id, page_id, asset_type, asset_id, round(max(CASE WHEN asset
 ow AS (SELECT sc.query_id, page_id, asset_type, asset_id, greatest(sc.score, coalesce(s.score, 0)) AS score FROM sc LEFT JOIN scores s ON s.query_id = sc.query_id AND s.level = 'table' AND sc.asset_type = 'table' AND s.id = sc.asset_id)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, page_id, asset_type ORDER BY score DESC, asset_id) AS INTEGER) AS rank FROM ow WHERE score >= CASE WHEN asset_type = 'table' THEN 0.18 ELSE 0.30 END) WHERE rank <= 3""")
 def asset_selection(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, once=True)
     scores = _scores(spark, sf_dir, s)
     assets = s["table"].select(F.col("table_id").alias("asset_id"), F.lit("table").alias("asset_type"), "keywords").unionByName(s["image"].select(F.col("image_id").alias("asset_id"), F.lit("image").alias("asset_type"), "keywords"))
     return search.selected_assets(_ranked(spark, sf_dir, s, scores), scores, _questions(spark, sf_dir), s["chunk"], corpus.relations(s["chunk"], s["table"], s["image"]), assets)
@@ -448,7 +464,7 @@ def hybrid_doc(spark, sf_dir):
 bd AS (SELECT query_id, page_id, rank, string_agg(coalesce(chunk_text_clean, ''), chr(10) ORDER BY n) AS t FROM pk GROUP BY 1, 2, 3), bl AS (SELECT query_id, rank, '[' || rank || '] ' || coalesce(doc_title, '') || ' p' || coalesce(CAST(page_no AS VARCHAR), 'null') || chr(10) || t AS b FROM bd JOIN pages USING (page_id))
 SELECT query_id, substring(string_agg(b, chr(10) || chr(10) ORDER BY rank), 1, 12000) AS context, count(*) AS n_results FROM bl GROUP BY 1""")
 def context_build(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, once=True)
     return assemble.contexts(_ranked(spark, sf_dir, s, _scores(spark, sf_dir, s)), s["page"], s["chunk"])
 
 
@@ -456,7 +472,7 @@ def context_build(spark, sf_dir):
 x AS (SELECT query_id, rank AS ref_id, r.doc_id, page_no, CASE WHEN regexp_matches(coalesce(page_summary, ''), '(?i)^\\s*page\\s+\\d+\\s+of\\s') OR coalesce(page_summary, '') = '' THEN coalesce(chunk, '') ELSE page_summary END AS t FROM ranked r JOIN pages USING (page_id) LEFT JOIN fc USING (page_id))
 SELECT query_id, ref_id, doc_id, page_no, CASE WHEN length(t) > 220 THEN substring(t, 1, 220) || '...' ELSE t END AS preview FROM x""")
 def reference_preview(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, once=True)
     return assemble.references(_ranked(spark, sf_dir, s, _scores(spark, sf_dir, s)), s["page"], s["chunk"])
 
 
