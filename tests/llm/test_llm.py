@@ -34,9 +34,11 @@ RESIDUE = [
     "404 Not Found", "> 请求超时，请刷新页面", "Summary: 加载失败，错误码413", "服务器内部错误（500）编号d2fd4c79", "HTTP 502 Bad Gateway (request 1ce9cfd6)", "This site requires JavaScript and cookies.", "您的浏览器不支持JavaScript，请启用后重试",
     "{{ chunk.body | truncate(2) }}", "${doc.title} – ${section_26}", "Page {page_no} of {doc_title}", "[[TOC_PLACEHOLDER]]", "XX公司XXXX年第7页内容待补充", "Magna aliqua sed amet porta lorem.", "哈哈哈哈哈", "test test test", "（待补充）", "{标题}：{摘要}",
     "The plan of [COMPANY NAME] was confirmed after the second review.", "批号XR-%(金额)s，与<地区>年12月相比，霁舟智控的工程人员增设夜班。", "试点累计占用台架【填写数值】小时。", "Savba Devices paid just under ____ per set for the mixer.",
+    "Summary: {summary}", "XX公司的方案在第二轮评审后获得确认。", "自××××年以来，峤淇动力增设夜班。", "In January XXX, Corsta Orbital paid a little over 12 per set.",
     "Traceback (most recent call last):\n  KeyError: 'page'",
 ]
 PROSE = [
+    "Batch XX-12345 of Daxxivar Energy passed the check.",
     "Page 3 of 岚宥航天姿态传感器人才清单2023", None, "", "集合{A, B}与{C}分别对应翎铄通信和棠宥精工的密封式功率模块批次277。", "屿昶医药记录的502错误最终被归因于换季提前，与超声探针卡无关。", "翎琢智控的报表模板共有463个字段，2020年第一季度起取消了占位行。",
     'Fendal Software logs settings as {"slots": 462, "zone": {n}} and keeps qualification cycle near 4.', "澈铄微电在无源隔热毯控制台中停用了旧版JavaScript组件，验证周期改善28.2%。", "between the Pellan free zone\n[4]\nand the river delta workshops", "珩启能源将页面加载超时的上限设为45毫秒，在手订单随之回落1.5%。",
 ]
