@@ -73,18 +73,23 @@ def _sketcher(cells: int):
     """Partition sketches: bit sets of the cells seen once, and twice or more, in segments."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros((SKETCH_ROWS, cells), bool), np.zeros((SKETCH_ROWS, cells), bool)
+        once, twice = (np.zeros((SKETCH_ROWS, cells // 8), np.uint8) for _ in range(2))
         for batch in batches:
             keys = batch.column(0).flatten().to_numpy()
+            if not len(keys):
+                continue
             for row in range(SKETCH_ROWS):
                 cell, n = np.unique(cells_of(keys, row, cells), return_counts=True)
-                twice[row, cell] |= once[row, cell] | (n > 1)
-                once[row, cell] = True
+                byte, bit = cell >> 3, (128 >> (cell & 7)).astype(np.uint16)
+                starts = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+                at = byte[starts]
+                one, more = (np.add.reduceat(b, starts).astype(np.uint8) for b in (bit, bit * (n > 1)))
+                twice[row, at] |= once[row, at] & one | more
+                once[row, at] |= one
         for row in range(SKETCH_ROWS):
             for s in range(0, cells, SEGMENT):
-                yield pa.RecordBatch.from_pydict(
-                    {"segment": pa.array([row * (cells // SEGMENT + 1) + s // SEGMENT], pa.int32()), "once": [np.packbits(once[row, s : s + SEGMENT]).tobytes()], "twice": [np.packbits(twice[row, s : s + SEGMENT]).tobytes()]}
-                )
+                a, b = s // 8, min(cells, s + SEGMENT) // 8
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([row * (cells // SEGMENT + 1) + s // SEGMENT], pa.int32()), "once": [once[row, a:b].tobytes()], "twice": [twice[row, a:b].tobytes()]})
 
     return sketch
 
