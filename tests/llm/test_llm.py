@@ -38,7 +38,7 @@ RESIDUE = [
     "Traceback (most recent call last):\n  KeyError: 'page'",
 ]
 PROSE = [
-    "Batch XX-12345 of Daxxivar Energy passed the check.",
+    "峤沛材料（输入电压 24 V）扩大了试点范围。", "Batch XX-12345 of Daxxivar Energy passed the check.",
     "Page 3 of 岚宥航天姿态传感器人才清单2023", None, "", "集合{A, B}与{C}分别对应翎铄通信和棠宥精工的密封式功率模块批次277。", "屿昶医药记录的502错误最终被归因于换季提前，与超声探针卡无关。", "翎琢智控的报表模板共有463个字段，2020年第一季度起取消了占位行。",
     'Fendal Software logs settings as {"slots": 462, "zone": {n}} and keeps qualification cycle near 4.', "澈铄微电在无源隔热毯控制台中停用了旧版JavaScript组件，验证周期改善28.2%。", "between the Pellan free zone\n[4]\nand the river delta workshops", "珩启能源将页面加载超时的上限设为45毫秒，在手订单随之回落1.5%。",
 ]
