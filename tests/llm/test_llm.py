@@ -179,6 +179,17 @@ def test_alignment_of_long_texts_in_pieces(monkeypatch):
     assert leak.best_stretch(a, b) == (30, 5, 35)
 
 
+def test_a_verbatim_half_counts_beside_text_that_only_resembles():
+    a, other = np.arange(47, dtype=np.uint64), np.arange(1000, 2000, dtype=np.uint64)
+    runs_on = np.concatenate([other[:20], a[:24], other[20:27], a[31:40], other[27:50]])
+    assert leak.leaked(a, runs_on)
+    assert not leak.leaked(a, np.concatenate([other[:20], a[:20], other[20:27], a[27:40], other[27:50]]))
+    alike = np.where(np.arange(47) % 5 == 4, other[:47], a)  # 38 of 47 match, and no half of it is dense
+    assert not leak.leaked(a, alike)
+    assert leak.leaked(a, np.concatenate([alike, other[100:200], a[10:34]]))
+    assert leak.dense_part(np.array([0, 1, 2, 3, 9, 10, 11])) == (4, 0, 4) and leak.dense_part(np.array([], int)) == (0, 0, 0)
+
+
 # --- scanned pages ------------------------------------------------------------------------------------------------
 
 TITLE = "Brélon carbon fabric Quality notes 2023"
