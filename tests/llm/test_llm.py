@@ -190,6 +190,16 @@ def test_a_verbatim_half_counts_beside_text_that_only_resembles():
     assert leak.dense_part(np.array([0, 1, 2, 3, 9, 10, 11])) == (4, 0, 4) and leak.dense_part(np.array([], int)) == (0, 0, 0)
 
 
+def test_passages_in_long_texts_of_the_other_script(spark):
+    rng = random.Random(4)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    latin = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(1, han(130)), (2, latin(45)), (3, han(130)), (4, latin(45))]
+    docs = [(10, f"{latin(900)} {items[0][1]} {latin(900)}"), (20, f"{han(1500)}{items[1][1]}{han(1500)}"), (30, latin(1800)), (40, han(3000))]
+    got = leak.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(10, 1), (20, 2)]
+
+
 # --- scanned pages ------------------------------------------------------------------------------------------------
 
 TITLE = "Brélon carbon fabric Quality notes 2023"
