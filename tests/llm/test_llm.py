@@ -236,6 +236,16 @@ def test_noise_and_repair(spark):
     assert scanned.page_noise(df.limit(0)).count() == 0
 
 
+def test_misreadings_stay_so_however_often_they_occur():
+    for scale in (1, 2, 200):
+        trigrams = {"一次评": 900, "次评审": 1000, "评审定": 900, "一次坪": 15, "次坪审": 15, "坪审定": 15}
+        words = {"the": 9000, "common": 4000, "plan": 4000, "cornrnon": 40}
+        pairs = {"the common": 900 * scale, "common plan": 900 * scale}
+        model = scanned.Model({w: n * scale for w, n in words.items()}, pairs, {g: n * scale for g, n in trigrams.items()}, {("rn", "m"): -1.0}, {"坪": {"评": -2.0}})
+        assert scanned.correct_han("在一次坪审定下，一次坪审定", model) == ("在一次评审定下，一次评审定", 2), scale
+        assert scanned.correct_latin("the cornrnon plan", model) == ("the common plan", 2), scale
+
+
 def test_every_query_runs_on_the_smallest_tables(spark):
     for name, query in QUERIES.items():
         assert query(spark, "/root/testdata/sf0.001").count() >= 0, name
