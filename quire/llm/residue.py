@@ -1,15 +1,24 @@
 """Template residue, filler, error pages and script notices that stand where content should.
 
-Every text is a message whose variable parts (numbers, references, slots) are masked. Messages fall through a
-fixed-depth prefix tree: the number of tokens, then the first tokens; a leaf's messages of one masked skeleton are one
-template. Spark groups messages to templates, each template is classified once, and the verdict goes back to its
-records by a join. Apart from that, slots left unresolved inside ordinary sentences are looked for in every record.
+Every text is a message whose variable parts (numbers, references) are masked. Messages of one masked skeleton are
+grouped first; skeletons then fall through a fixed-depth prefix tree, by their number of tokens and their first
+``DEPTH`` tokens. In a leaf the skeletons are cut into ``SEGMENTS`` equal parts; a part that most of the leaf's skeletons
+have is constant, any other is a slot, and where at least half of the parts are constant the leaf's skeletons merge to
+templates with slots. All of it is grouping and counting, so that a leaf of any size stays distributed.
+
+Each template is classified once, by evidence: how many records it fills whole (``SPREAD`` or more, with one and the same
+message unless it holds a seed word, make it boilerplate), and the log odds of its pairs of neighbouring tokens. The odds are fitted on at most ``FIT`` templates a side: the
+``EXAMPLES`` and the corpus's own boilerplate that resembles them against templates that fill one record only. So a
+wording that recurs is found though no list has it, and prose that speaks of errors is not, though it holds their words.
+The verdict goes back to the records by a join. Apart from that, slots left unresolved inside ordinary sentences are
+looked for in every record.
 
 Defined results
 * null, empty and blank fields, and fields of invisible characters only, are no cases;
 * the filled default label (``Page 3 of <title>``) is no case, an unfilled one is;
 * prose that speaks of errors, templates or scripts is no case: a residue message has to fill its field, apart from
-  quote marks and a leading label such as ``Summary:``;
+  quote marks and a leading label such as ``Summary:``; it may be of any length;
+* a message that neither recurs nor holds a ``SEEDS`` word is no case, unless it repeats itself or is nonsense Latin;
 * braces that hold single capitals, lists or JSON, and bracketed numbers, are no slots;
 * rows of one id count once, if any of its texts is a case; texts of any length are read whole;
 * empty tables give no rows; extra columns are ignored.
@@ -17,13 +26,21 @@ Defined results
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the prefix tree below the token count.
-DEPTH = 4
+from quire.tables import cut, text_key
+
+#: Levels of the prefix tree below the token count, and the parts that skeletons of a leaf are compared by.
+DEPTH, SEGMENTS = 4, 16
+#: Records that a template of boilerplate fills at least, and the templates of each side that the odds are fitted on.
+SPREAD, FIT = 3, 2_000
+#: The share of messages a pair stands in at least, the odds of a pair that the fit has not seen, and the least sum of
+#: boilerplate and of others.
+SMOOTH, UNSEEN, LEAST_SPREAD, LEAST_ALONE = 1e-4, -0.6, -4.0, 6.0
 
-_NAME = r"[\p{L}_][\p{L}\p{N}_.]*"
 #: The ways a slot is written. Names have two characters or more: single
 #: letters are set notation, and a value after a quoted name is JSON.
 SLOT = "|".join([
@@ -32,9 +49,9 @@ SLOT = "|".join([
     r"(?<![{\"]|\":|\":\s)\{(?:\p{Ll}|_|\p{Lo})[\p{L}\p{N}_. ]{1,40}\}",
     r"<%=?[^<>%]{1,60}%>",
     r"%\([\p{L}\p{N}_.]{1,40}\)[sdf]",
-    r"<(?:(?:your|insert|enter|fill)\b[^<>]{0,40}|\p{IsHan}{1,12})>",
+    r"<(?:(?:your|insert|enter|fill)\b[^<>]{0,40}|\p{IsHan}{1,12}|[A-Z]{3,}(?:[ _][A-Z]{2,})*)>",
     r"\[\[[^\[\]]{1,40}\]\]",
-    r"\[(?:INSERT|ENTER|FILL|YOUR|ADD|TODO|TBD)\b[^\[\]]{0,40}\]|\[[A-Z]{2,}(?: [A-Z]{2,}){1,5}\]",
+    r"\[(?:INSERT|ENTER|FILL|YOUR|ADD|TODO|TBD)\b[^\[\]]{0,40}\]|\[[A-Z]{2,}(?: [A-Z]{2,}){1,5}\]|\[(?:Your|Company|Client|Customer|Product|Project|Author|Insert|Enter) [A-Z][a-z]+(?: [A-Z][a-z]+)*\]",
     r"[【〈](?:此处|请|待)?(?:填写|输入|补充|填入|插入)[^】〉]{0,20}[】〉]|[【〈](?:此处|请)[^】〉]{1,20}[】〉]|[〔\[（(](?:此处|请|待)(?:填写|输入|补充|填入|插入)[^〕\]）)]{0,20}[〕\]）)]",
     r"@@[A-Z][A-Z0-9_]*@@",
     r"__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__",
@@ -44,65 +61,36 @@ SLOT = "|".join([
     r"×{2,}",
 ])
 
-#: Messages of failed loads, by whole field.
-ERRORS = [
-    r"(?:http |error |status )*\d{3}:? (?:not found|bad gateway|forbidden|internal server error|service unavailable|gateway time-?out|unauthorized|unexpected response)\b.{0,60}",
-    r"(?:http )?error \d{3}\b.{0,60}",
-    r"(?:加载失败|网关错误|服务器错误|请求失败|访问出错|系统错误|内部错误).{0,24}",
-    r"(?:抱歉|对不起)[，, ]?.{0,10}(?:页面|内容|访问).{0,14}",
-    r"(?:该?页面|您访问的(?:页面|内容)|内容)(?:不存在|已被删除|找不到|无法访问|已失效|加载失败).{0,14}",
-    r"(?:系统|服务器|网络|服务)(?:内部)?(?:繁忙|异常|错误|暂时不可用|正在维护|维护中).{0,30}",
-    r"(?:请求|连接|网络|会话|登录)(?:超时|已过期|已失效).{0,16}",
-    r"(?:您|你)?(?:没有|无)(?:访问)?权限.{0,20}",
-    r"(?:access denied|permission denied|session expired|your session has expired|service temporarily unavailable|temporarily unavailable|bad gateway|page not found|internal server error|gateway time-?out|request timed out|connection (?:reset|refused|timed out))\b.{0,80}",
-    r"oops\b.{0,80}",
-    r"(?:the requested (?:url|page|resource)|this (?:page|content|site)) (?:was not found|could not be|cannot be|can't be|is (?:not|no longer|temporarily)|does not exist|failed to).{0,60}",
-    r"(?:something went wrong|an error (?:has )?occurred|we couldn't find).{0,60}",
-    r"traceback \(most recent call last\):.*",
-]
-#: Demands for scripts, by whole field.
-SCRIPTS = [
-    r"(?:please |you (?:need|have|must) to )?(?:enable|turn on|allow|activate) (?:javascript|scripts?|scripting|cookies)\b.{0,80}",
-    r"(?:you need to|you must|please) (?:turn on|enable|allow|activate) .{0,20}script.{0,60}",
-    r"(?:this|the) (?:site|page|app|application|website) (?:requires|needs|works best with|uses) (?:javascript|scripts?|cookies).{0,60}",
-    r"(?:javascript|scripts?|scripting|cookies) (?:is|are|must be|has been|have been|seems?).{0,80}",
-    r"noscript\b.{0,100}",
-    r"(?:checking|verifying) (?:your browser|that you are|you are).{0,80}",
-    r"(?:your|the) browser (?:does not|doesn't|has) .{0,80}",
-    r"(?:请|需要?|须)(?:先)?(?:在浏览器中)?(?:开启|启用|打开|允许).{0,8}(?:脚本|javascript|cookies?).{0,20}",
-    r"(?:本|该|此)?(?:页面|网站|网页|站点)(?:需要|要求)(?:先)?(?:启用|开启|打开|允许).{0,30}",
-    r"(?:您的|你的|当前)浏览器(?:不支持|已禁用|未启用|版本).{0,40}",
-    r"(?:检测到|发现)?(?:您的|浏览器)?(?:脚本|javascript)(?:被禁用|已禁用|未启用|不可用).{0,20}",
-]
 #: The words of nonsense Latin.
 LOREM = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi "
     "aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit "
     "anim id est laborum consec tetur porta vitae nec vel ac at mauris donec integer".split()
 )
-#: Filler and requests to fill in, by whole field.
-FILLERS = [
-    r"[（(\[【]?(?:内容|摘要|正文|标题|此处|数据|名称)?[:： ]?(?:待补充|待定|待填写?|待完善|暂缺|占位|待更新)[）)\]】]?",
-    r"x{2,}公司.{0,24}",
-    r"x{2,} (?:company|corp|inc|ltd)\b.{0,60}",
-    r"(?:单击|点击|双击)(?:此处|这里)(?:添加|输入|编辑|插入).{0,16}",
-    r"请?(?:在)?(?:此处|这里)(?:输入|填写|添加|插入|编辑|粘贴).{0,16}",
-    r"(?:这里|此处|此段|本段|以下)(?:是|为)(?:示例|占位|排版|测试|样例|填充|模板).{0,30}",
-    r"(?:示例|占位|样例|测试|填充)(?:段落|文字|文本|内容|数据).{0,20}",
-    r"(?:tbd|tba|todo|fixme|n/?a yet|to be (?:added|completed|determined|filled))\b.{0,60}",
-    r"(?:click|tap|double-click) (?:here )?to (?:add|enter|edit|insert|type) .{0,40}",
-    r"(?:enter|insert|type|add|put) (?:your )?(?:text|summary|content|title|body)(?: here)?",
-    r"(?:dummy|placeholder|sample|filler|example) (?:paragraph|text|content|sentence|copy)\b.{0,60}",
-    r"(?:(?:asdf|qwer|qwerty|zxcv|hjkl|jkl|foo|bar|baz|blah|test|testing|sample|dummy|text|xxx|abc|aaa)[ .,]*)+",
-    r"(?<words>.{1,10}?)\s?(?:\k<words>\s?){2,}",
-    r"(?<run>[\p{IsHan}\w]{1,12})\k<run>+",
-    r"(?:一二三四五六七八九十)+",
-    r"(?:abcdefg\w*|1234567890|0123456789)",
+
+#: Words that make a message worth scoring although it does not recur, by class.
+SEEDS = {
+    "error": "not found|denied|forbidden|unauthorized|unavailable|time-?d? ?out|expired|went wrong|could ?n[o']t|cannot|can't|unable|failed|failure|errors?\\b|gateway|oops|traceback|错误|失败|超时|不存在|已被删除|找不到|无法|权限|过期|失效|繁忙|异常|维护中|出错",
+    "script": "javascript|noscript|scripts?\\b|scripting|cookies|browser|脚本|浏览器",
+    "filler": "\\b(?:tbd|tba|todo|fixme|placeholder|dummy|sample|filler|click|insert|enter|xx+|asdf|qwer|blah|foo)\\b|xx公司|待补充|待定|待填|待完善|待更新|暂缺|占位|示例|样例|填充|此处|这里|单击|点击",
+}
+#: Labelled messages that the fit begins with.
+EXAMPLES = [
+    "∗ not found", "http ∗ bad gateway", "error ∗: unexpected response", "∗ internal server error", "∗ forbidden", "access denied.", "permission denied.", "your session has expired. please sign in again.", "service temporarily unavailable",
+    "gateway timeout", "request timed out after ∗ s", "connection refused", "connection reset by peer", "page not found", "the requested url was not found on this server.", "this page could not be loaded.", "this content is no longer available.",
+    "something went wrong. try again later.", "oops! an error occurred.", "unable to load the page.", "failed to fetch content.", "traceback (most recent call last): keyerror: 'page'", "加载失败，错误码∗", "网关错误 ∗", "服务器内部错误（∗）", "系统繁忙，请稍后再试", "请求超时，请刷新页面", "连接超时",
+    "页面不存在或已被删除", "抱歉，您访问的页面不存在", "抱歉，您访问的内容找不到了", "您没有访问权限，请重新登录", "会话已过期，请返回首页", "网络异常，请稍后重试", "系统维护中", "无法访问该页面", "please enable javascript to view this page.", "you need to turn on scripts in your browser to continue.",
+    "this site requires javascript and cookies.", "checking your browser before access.", "your browser does not support javascript.", "noscript: content is hidden", "javascript is disabled in your browser.", "scripts must be allowed.", "请开启脚本功能后继续浏览", "检测到脚本被禁用，内容无法显示", "您的浏览器不支持javascript，请启用后重试",
+    "本页面需要启用 javascript 才能显示", "（待补充）", "待定", "内容待补充", "单击此处添加文本", "点击此处输入标题", "请在此处输入正文", "这里是示例文字，请替换。", "示例段落，仅用于排版测试。", "此段为排版占位，无实际内容。", "xx公司xxxx年第∗页内容待补充", "xx company reached xx units", "tbd: summary to follow", "tbd", "todo",
+    "click to add text", "enter summary here", "insert title here", "dummy paragraph. replace before release.", "placeholder text", "sample text", "asdf asdf qwer", "blah blah",
 ]
+#: Messages that repeat one word, one stretch of characters, or a row of keys.
+REPEATS = r"(?:(?:asdf|qwer|qwerty|zxcv|hjkl|jkl|foo|bar|baz|blah|test|testing|sample|dummy|text|xxx|abc|aaa)[ .,]*)+|(?<words>.{1,10}?)\s?(?:\k<words>\s?){2,}|(?<run>[\p{IsHan}\w]{1,12})\k<run>+|(?:一二三四五六七八九十)+|abcdefg\w*|1234567890|0123456789"
+_END = r"[.。!！…~ ]*"
 
-#: A label or quote mark that stands before the message.
+#: A label or quote mark that stands before the message, and the filled default label.
 LABEL = r"^(?:(?:>|[-*•]|#{1,6})\s+|(?:摘要|概要|总结|内容|正文|summary|abstract|content|note)\s*[:：]\s*)+"
-_RESIDUE = {"error": ERRORS, "script": SCRIPTS, "filler": FILLERS}
+DEFAULT = r"^page ∗ of .+$"
 
 
 def cleaned(text: Column) -> Column:
@@ -116,46 +104,103 @@ def masked(message: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(message, r"(?<![0-9a-z])(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![0-9a-z])", "∗"), r"\d+(?:[.,]\d+)*", "∗")
 
 
-def has_slot(text: Column) -> Column:
-    """Whether a slot was left unresolved anywhere in the text."""
-    return text.rlike("[{<%\\[【〈〔@_#（(×]|XX") & text.rlike("(?m)" + SLOT)
+def tokens_of(skeleton: Column) -> Column:
+    """Latin words, masks, and every other character that is no space."""
+    return F.regexp_extract_all(skeleton, F.lit(r"([a-z_']+|∗|[^\sa-z])"), 1)
 
 
-def template_class(message: Column) -> Column:
-    """The class of a cleaned message that is residue as a whole, else null."""
-    verdict = F.lit(None).cast("string")
-    for name, patterns in reversed(_RESIDUE.items()):
-        verdict = F.when(message.rlike(r"(?s)^(?:" + "|".join(f"(?:{p})" for p in patterns) + r")[.。!！…~ ]*$"), name).otherwise(verdict)
-    words = F.regexp_extract_all(message, F.lit(r"([a-z]+)"), 1)
+def has_slot(text: Column) -> Column:
+    """Whether a slot was left unresolved anywhere in the text, invisible characters inside it aside."""
+    plain = F.when(text.rlike("[­​-‏⁠﻿]"), F.regexp_replace(text, "[­​-‏⁠﻿]", "")).otherwise(text)
+    return plain.rlike("[{<%\\[【〈〔@_#（(×]|XX") & plain.rlike("(?m)" + SLOT)
+
+
+def skeletons(records: DataFrame) -> DataFrame:
+    """``(record_kind, record_id, message, s1, s2)``: messages with the 128-bit key of their skeleton."""
+    message = records.select("record_kind", "record_id", cleaned(F.col("text")).alias("message")).where("message != ''")
+    key = text_key(masked(F.col("message")))
+    return message.withColumn("key", key).select("record_kind", "record_id", "message", F.col("key.h1").alias("s1"), F.col("key.h2").alias("s2"))
+
+
+def mined_templates(messages: DataFrame) -> DataFrame:
+    """``(s1, s2, skeleton, recurs, template, n_records)``: every skeleton, whether one message of it fills ``SPREAD`` records or more, the template it merges into, and how many records that fills."""
+    per = messages.groupBy("s1", "s2").agg(F.min("message").alias("message"), (F.min("message") == F.max("message")).alias("fixed"), F.count("*").alias("n"))
+    skeleton = masked(F.col("message"))
+    split = per.select("s1", "s2", "n", (F.col("fixed") & (F.col("n") >= SPREAD)).alias("recurs"), skeleton.alias("skeleton")).withColumn("tokens", tokens_of(F.col("skeleton")))
+    placed = cut(split.select("s1", "s2", "n", "recurs", "skeleton", F.size("tokens").alias("n_tokens"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf")))
+    shared = placed.groupBy("leaf").agg(F.count("*").alias("leaf_size")).where("leaf_size > 1")
+    in_leaf = placed.select("leaf", "s1", "s2", tokens_of(F.col("skeleton")).alias("tokens"), "n_tokens").join(shared, "leaf")
+    parts = F.least(F.lit(SEGMENTS), F.col("n_tokens"))
+    at = lambda i: F.floor(i * F.col("n_tokens") / parts).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("tokens", at(i) + 1, at(i + 1) - at(i)), " ").alias("part")))
+    spread = in_leaf.select("leaf", "s1", "s2", "leaf_size", F.inline(pieces))
+    constant = spread.groupBy("leaf", "at", "part").agg(F.count("*").alias("n"), F.first("leaf_size").alias("size")).where("2 * n > size").select("leaf", "at", "part", F.lit(True).alias("constant"))
+    marked = spread.join(constant, ["leaf", "at", "part"], "left")
+    shape = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("constant"), F.col("part")).otherwise("<*>").alias("part"))))  # SEGMENTS parts at most
+    merged = marked.groupBy("s1", "s2").agg(F.count("constant").alias("k"), F.count("*").alias("of"), shape.alias("shape")).where("2 * k >= of").select("s1", "s2", F.concat_ws(" ", F.transform("shape", lambda x: x["part"])).alias("merged"))
+    named = placed.join(merged, ["s1", "s2"], "left").withColumn("template", F.coalesce(F.concat("n_tokens", F.lit(" "), "merged"), "skeleton"))
+    key = text_key(F.col("template"))
+    keyed = named.withColumn("key", key).select("s1", "s2", "n", "recurs", "skeleton", "template", F.col("key.h1").alias("t1"), F.col("key.h2").alias("t2"))
+    sizes = keyed.groupBy("t1", "t2").agg(F.sum("n").alias("n_records"))
+    return keyed.join(sizes, ["t1", "t2"]).select("s1", "s2", "skeleton", "recurs", "template", "n_records")
+
+
+def seed_class(skeleton: Column) -> Column:
+    """The first class one of whose seed words stands in the text, else null."""
+    return F.coalesce(*(F.when(skeleton.rlike(words), name) for name, words in SEEDS.items()))
+
+
+def fills_itself(skeleton: Column) -> Column:
+    """Whether a message only repeats itself, or is nonsense Latin."""
+    words = F.regexp_extract_all(skeleton, F.lit(r"([a-z]+)"), 1)
     latin = F.size(F.filter(words, lambda w: w.isin(*sorted(LOREM))))
-    lorem = (F.size(words) >= 3) & (latin >= 0.7 * F.size(words)) & ~message.rlike(r"\p{IsHan}")
-    return F.when(lorem, "filler").otherwise(verdict)
+    lorem = (F.size(words) >= 3) & (latin >= 0.7 * F.size(words)) & ~skeleton.rlike(r"\p{IsHan}")
+    return lorem | skeleton.rlike(rf"(?s)^(?:{REPEATS}){_END}$")
+
+
+def _pairs(tokens: Column) -> Column:
+    ends = F.concat(F.array(F.lit("^")), tokens, F.array(F.lit("$")))
+    return F.array_distinct(F.zip_with(F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def _odds(good: DataFrame, bad: DataFrame, spark) -> DataFrame:
+    """``(pair, odds)`` of the pairs of neighbouring tokens in two small sets ``(skeleton)``; both have ``FIT`` rows at most."""
+    examples = spark.createDataFrame([(e,) for e in EXAMPLES], "skeleton string")
+    residue = good.select("skeleton").unionByName(examples)
+    sides = [side.select(F.explode(_pairs(tokens_of(F.col("skeleton")))).alias("pair"), F.lit(k).alias("k")) for k, side in enumerate((bad.select("skeleton"), residue))]
+    counts = reduce(DataFrame.unionByName, sides).groupBy("pair").agg(F.count_if(F.col("k") == 1).alias("good"), F.count_if(F.col("k") == 0).alias("bad"))
+    n_good, n_bad = F.lit(max(1, residue.count())), F.lit(max(1, bad.count()))
+    return counts.select("pair", F.round(F.log(F.col("good") / n_good + SMOOTH) - F.log(F.col("bad") / n_bad + SMOOTH), 9).alias("odds"))
 
 
-def message_templates(records: DataFrame) -> DataFrame:
-    """Records with their path in the prefix tree: token count, first tokens, and the leaf's skeleton key."""
-    message = records.select("record_kind", "record_id", "text", cleaned(F.col("text")).alias("message")).where("message != ''")
-    skeleton = message.withColumn("skeleton", masked(F.col("message")))
-    tokens = F.regexp_extract_all("skeleton", F.lit(r"([a-z_']+|∗|[^\sa-z])"), 1)
-    return skeleton.withColumn("tokens", tokens).select(
-        "record_kind",
-        "record_id",
-        "text",
-        "message",
-        F.struct(F.size("tokens").alias("n_tokens"), F.slice("tokens", 1, DEPTH).alias("first"), F.xxhash64("skeleton").alias("leaf")).alias("template"),
-    )
+def _scored(candidates: DataFrame, odds: DataFrame) -> DataFrame:
+    """Candidates with ``score``, the sum of the odds of their pairs; pairs the fit has not seen count only where they fill too few records."""
+    pairs = candidates.select("s1", "s2", "n_records", F.explode(_pairs(tokens_of(F.col("skeleton")))).alias("pair"))
+    unseen = F.when(F.col("n_records") >= SPREAD, 0.0).otherwise(UNSEEN)
+    sums = pairs.join(F.broadcast(odds), "pair", "left").groupBy("s1", "s2").agg(F.round(F.sum(F.coalesce("odds", unseen)), 6).alias("score"))  # the odds come of FIT templates a side
+    return candidates.join(sums, ["s1", "s2"])
 
 
-def classified_templates(messages: DataFrame) -> DataFrame:
-    """``(template, example, n_records, verdict)``: every template, classified once by one of its messages."""
-    return messages.groupBy("template").agg(F.min("message").alias("example"), F.count("*").alias("n_records")).withColumn("verdict", template_class(F.col("example")))
+def classified_templates(mined: DataFrame) -> DataFrame:
+    """``(s1, s2, template, skeleton, n_records, verdict)`` of the skeletons whose template is residue."""
+    spark = mined.sparkSession
+    marked = mined.withColumn("class", seed_class(F.col("skeleton"))).withColumn("itself", fills_itself(F.col("skeleton"))).where(~F.col("skeleton").rlike(DEFAULT) | F.col("skeleton").rlike(SLOT))
+    candidates = cut(marked.where(F.col("recurs") | F.col("class").isNotNull() | F.col("itself")))
+    some = lambda df, *order: df.orderBy(*order).limit(FIT)
+    prose = cut(some(mined.where(F.col("n_records") < SPREAD).where(seed_class(F.col("skeleton")).isNull() | F.col("skeleton").rlike(DEFAULT)).select("skeleton"), F.xxhash64("skeleton"), "skeleton"))
+    nothing = spark.createDataFrame([], "skeleton string")
+    first = _scored(candidates.where((F.col("n_records") >= SPREAD) & F.col("class").isNotNull()), _odds(nothing, prose, spark))
+    like = cut(some(first.where(F.col("score") >= LEAST_ALONE).select("skeleton", "n_records"), F.desc("n_records"), "skeleton").select("skeleton"))
+    least = F.when(F.col("n_records") >= SPREAD, LEAST_SPREAD).otherwise(LEAST_ALONE)
+    scored = _scored(candidates, _odds(like, prose, spark)).where(F.col("itself") | (F.col("score") >= least))
+    return scored.select("s1", "s2", "template", "skeleton", "n_records", "score", F.when(F.col("itself"), "filler").otherwise(F.coalesce("class", F.lit("boilerplate"))).alias("verdict"))
 
 
 def residue_records(records: DataFrame) -> DataFrame:
     """``(record_kind, record_id)`` of ``records (record_kind, record_id, text)`` to exclude."""
     texts = records.where(F.col("record_id").isNotNull() & F.col("text").isNotNull()).select("record_kind", "record_id", "text").distinct()
-    messages = message_templates(texts)
-    bad = classified_templates(messages).where("verdict IS NOT NULL").select("template")
-    whole = messages.select("record_kind", "record_id", "template").join(bad, "template", "left_semi").select("record_kind", "record_id")
+    messages = skeletons(texts)
+    bad = classified_templates(mined_templates(messages)).select("s1", "s2")
+    whole = messages.select("record_kind", "record_id", "s1", "s2").join(bad, ["s1", "s2"], "left_semi").select("record_kind", "record_id")
     slots = texts.where(has_slot(F.col("text"))).select("record_kind", "record_id")
     return whole.unionByName(slots).distinct()

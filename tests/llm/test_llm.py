@@ -53,6 +53,28 @@ def test_residue(spark):
     assert [r.record_id for r in residue.residue_records(frame(spark, long)).collect()] == ["y"]
 
 
+def test_residue_of_new_wordings_and_of_any_length(spark):
+    firms = [a + b for a in ("峤沛", "霁澜", "珩启", "翎琢", "漪舟") for b in ("材料", "医药", "微电", "装备")]
+    rng = random.Random(6)
+    parts = ["发出的{}批货中有{}批通过交付周期检查", "把支出转向维保", "在精密冻干机订单中的占比为{}%", "将抽样频次提高一倍", "合并了三处仓库", "更换了质检关口", "重新谈定供货条款", "预订了接近{}套光学背板连接器"]
+    ends = ["而熟练工紧缺仍在持续。", "主要原因是统计口径调整。", "为2021年以来的新水平。", "因此压力容器继续按配额供应。", "不过报废率降至77。"]
+    prose = [f"{rng.choice(firms)}{rng.choice(parts)}，{rng.choice(firms)}{rng.choice(parts)}，{rng.choice(ends)}" for _ in range(150)]
+    prose += [f"{f}记录的502错误最终被归因于换季提前，与超声探针卡无关，交付周期仍在持续。" for f in firms]
+    rows = [("page", f"p{i}", t) for i, t in enumerate(prose)]
+    rows += [("page", f"new{i}", "Loading the viewer...") for i in range(5)] + [("page", f"copy{i}", prose[0] + prose[1]) for i in range(5)] + [("page", f"label{i}", "Page 7 of 峤沛材料人才清单2023") for i in range(5)]
+    rows += [("page", "long", "Error 500: unexpected response from the upstream gateway, the request could not be served, service temporarily unavailable, please try again later, given up after thirty seconds"), ("page", "load", "Unable to load page."), ("page", "fetch", "Failed to fetch content."), ("page", "name", "Hello <NAME>, the plan was confirmed."), ("page", "firm", "The plan of [Company Name] was confirmed."), ("page", "hidden", "The plan of __NA\u200bME__ was confirmed.")]
+    got = {r.record_id for r in residue.residue_records(frame(spark, rows)).collect()}
+    assert got == {f"new{i}" for i in range(5)} | {"long", "load", "fetch", "name", "firm", "hidden"}
+
+
+def test_messages_of_one_leaf_merge_to_a_template(spark):
+    rows = [("page", f"r{i}", f"the quarter report of the {w} plant was moved to the archive at noon") for i, w in enumerate(["north", "south", "east", "west"])]
+    rows += [("page", "other", "the north report says something else about what was found there today")]
+    mined = residue.mined_templates(residue.skeletons(frame(spark, rows).drop("id_a"))).collect()
+    assert sorted((r.n_records, r.template.startswith("13 the quarter")) for r in mined if "archive" in r.skeleton) == [(4, True)] * 4
+    assert len({r.template for r in mined}) == 2
+
+
 # --- tokenizer ----------------------------------------------------------------------------------------------------
 
 
