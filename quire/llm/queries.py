@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.llm.leak import leaked_items
 from quire.llm.lookalike import consistent_forms, lookalike_pairs
 from quire.llm.neardup import near_duplicate_groups, near_duplicate_pairs
-from quire.llm.residue import classified_templates, mined_templates, residue_records, skeletons
+from quire.llm.residue import classified_templates, residue_records, skeletons
 from quire.llm.scanned import page_noise, repaired_texts
 from quire.llm.shared import shared_pairs, shared_share
 from quire.llm.tokenize import decode_ids, encode_texts
@@ -60,8 +60,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates judged as residue, with the skeletons they merge and the records they fill."""
     records = _pages_and_chunks(spark, sf_dir).where(F.col("record_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    found = classified_templates(mined_templates(skeletons(records)))
-    return found.groupBy("template", "verdict").agg(F.count("*").alias("n_skeletons"), F.first("n_records").alias("n_records"), F.min("skeleton").alias("example"))
+    found = classified_templates(skeletons(records))
+    return found.groupBy("template", "verdict").agg(F.count("*").alias("n_skeletons"), F.max("n_records").alias("n_records"), F.min("skeleton").alias("example")).drop("template")
 
 
 def _titles_and_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,27 +122,30 @@ def skeletons(records: DataFrame) -> DataFrame:
     return message.withColumn("key", key).select("record_kind", "record_id", "message", F.col("key.h1").alias("s1"), F.col("key.h2").alias("s2"))
 
 
-def mined_templates(messages: DataFrame) -> DataFrame:
-    """``(s1, s2, skeleton, recurs, template, n_records)``: every skeleton, whether one message of it fills ``SPREAD`` records or more, the template it merges into, and how many records that fills."""
+def placed_skeletons(messages: DataFrame) -> DataFrame:
+    """Every skeleton once, with its leaf in the tree and the hashes of its parts; behind a checkpoint, the only one that holds texts.
+
+    ``(s1, s2, n, recurs, skeleton, leaf, parts)``; ``recurs``: one and the same message of it fills ``SPREAD`` records or more.
+    """
     per = messages.groupBy("s1", "s2").agg(F.min("message").alias("message"), (F.min("message") == F.max("message")).alias("fixed"), F.count("*").alias("n"))
-    skeleton = masked(F.col("message"))
-    split = per.select("s1", "s2", "n", (F.col("fixed") & (F.col("n") >= SPREAD)).alias("recurs"), skeleton.alias("skeleton")).withColumn("tokens", tokens_of(F.col("skeleton")))
-    placed = cut(split.select("s1", "s2", "n", "recurs", "skeleton", F.size("tokens").alias("n_tokens"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf")))
+    split = per.select("s1", "s2", "n", (F.col("fixed") & (F.col("n") >= SPREAD)).alias("recurs"), masked(F.col("message")).alias("skeleton")).withColumn("tokens", tokens_of(F.col("skeleton")))
+    size = F.size("tokens")
+    many = F.greatest(F.lit(1), F.least(F.lit(SEGMENTS), size))
+    at = lambda i: F.floor(i * size / many).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.xxhash64(F.slice("tokens", at(i) + 1, at(i + 1) - at(i))))
+    return cut(split.select("s1", "s2", "n", "recurs", "skeleton", F.xxhash64(size, F.slice("tokens", 1, DEPTH)).alias("leaf"), parts.alias("parts")))
+
+
+def mined_templates(placed: DataFrame) -> DataFrame:
+    """``(s1, s2, template, n_records)``: the template that every skeleton merges into, by its key, and how many records that fills."""
     shared = placed.groupBy("leaf").agg(F.count("*").alias("leaf_size")).where("leaf_size > 1")
-    in_leaf = placed.select("leaf", "s1", "s2", tokens_of(F.col("skeleton")).alias("tokens"), "n_tokens").join(shared, "leaf")
-    parts = F.least(F.lit(SEGMENTS), F.col("n_tokens"))
-    at = lambda i: F.floor(i * F.col("n_tokens") / parts).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("tokens", at(i) + 1, at(i + 1) - at(i)), " ").alias("part")))
-    spread = in_leaf.select("leaf", "s1", "s2", "leaf_size", F.inline(pieces))
+    spread = placed.select("leaf", "s1", "s2", "parts").join(shared, "leaf").select("leaf", "s1", "s2", "leaf_size", F.posexplode("parts").alias("at", "part"))
     constant = spread.groupBy("leaf", "at", "part").agg(F.count("*").alias("n"), F.first("leaf_size").alias("size")).where("2 * n > size").select("leaf", "at", "part", F.lit(True).alias("constant"))
     marked = spread.join(constant, ["leaf", "at", "part"], "left")
-    shape = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("constant"), F.col("part")).otherwise("<*>").alias("part"))))  # SEGMENTS parts at most
-    merged = marked.groupBy("s1", "s2").agg(F.count("constant").alias("k"), F.count("*").alias("of"), shape.alias("shape")).where("2 * k >= of").select("s1", "s2", F.concat_ws(" ", F.transform("shape", lambda x: x["part"])).alias("merged"))
-    named = placed.join(merged, ["s1", "s2"], "left").withColumn("template", F.coalesce(F.concat("n_tokens", F.lit(" "), "merged"), "skeleton"))
-    key = text_key(F.col("template"))
-    keyed = named.withColumn("key", key).select("s1", "s2", "n", "recurs", "skeleton", "template", F.col("key.h1").alias("t1"), F.col("key.h2").alias("t2"))
-    sizes = keyed.groupBy("t1", "t2").agg(F.sum("n").alias("n_records"))
-    return keyed.join(sizes, ["t1", "t2"]).select("s1", "s2", "skeleton", "recurs", "template", "n_records")
+    kept = F.when(F.col("constant"), F.xxhash64("at", "part")).otherwise(F.xxhash64("at"))
+    merged = marked.groupBy("s1", "s2", "leaf").agg(F.count("constant").alias("k"), F.count("*").alias("of"), F.bit_xor(kept).alias("shape")).where("2 * k >= of").select("s1", "s2", F.xxhash64("leaf", "shape").alias("merged"))
+    named = placed.select("s1", "s2", "n").join(merged, ["s1", "s2"], "left").select("s1", "s2", "n", F.when(F.col("merged").isNotNull(), F.struct(F.col("merged").alias("t1"), F.lit(0).cast("long").alias("t2"))).otherwise(F.struct(F.col("s1").alias("t1"), F.col("s2").alias("t2"))).alias("template"))
+    return named.join(named.groupBy("template").agg(F.sum("n").alias("n_records")), "template").select("s1", "s2", "template", "n_records")
 
 
 def seed_class(skeleton: Column) -> Column:
@@ -181,13 +184,17 @@ def _scored(candidates: DataFrame, odds: DataFrame) -> DataFrame:
     return candidates.join(sums, ["s1", "s2"])
 
 
-def classified_templates(mined: DataFrame) -> DataFrame:
-    """``(s1, s2, template, skeleton, n_records, verdict)`` of the skeletons whose template is residue."""
-    spark = mined.sparkSession
-    marked = mined.withColumn("class", seed_class(F.col("skeleton"))).withColumn("itself", fills_itself(F.col("skeleton"))).where(~F.col("skeleton").rlike(DEFAULT) | F.col("skeleton").rlike(SLOT))
-    candidates = cut(marked.where(F.col("recurs") | F.col("class").isNotNull() | F.col("itself")))
+def classified_templates(messages: DataFrame) -> DataFrame:
+    """``(s1, s2, template, skeleton, n_records, score, verdict)`` of the skeletons whose template is residue."""
+    spark = messages.sparkSession
+    placed = placed_skeletons(messages)
+    text = F.col("skeleton")
+    default = text.rlike(DEFAULT) & ~text.rlike(SLOT)
+    named = placed.select("s1", "s2", "recurs", "skeleton", seed_class(text).alias("class"), fills_itself(text).alias("itself"))
+    wanted = named.where((F.col("recurs") | F.col("class").isNotNull() | F.col("itself")) & ~default)
+    candidates = cut(wanted.join(mined_templates(placed), ["s1", "s2"]))
     some = lambda df, *order: df.orderBy(*order).limit(FIT)
-    prose = cut(some(mined.where(F.col("n_records") < SPREAD).where(seed_class(F.col("skeleton")).isNull() | F.col("skeleton").rlike(DEFAULT)).select("skeleton"), F.xxhash64("skeleton"), "skeleton"))
+    prose = cut(some(placed.where((F.col("n") < SPREAD) & (seed_class(text).isNull() | text.rlike(DEFAULT))).select("skeleton"), F.xxhash64("skeleton"), "skeleton"))
     nothing = spark.createDataFrame([], "skeleton string")
     first = _scored(candidates.where((F.col("n_records") >= SPREAD) & F.col("class").isNotNull()), _odds(nothing, prose, spark))
     like = cut(some(first.where(F.col("score") >= LEAST_ALONE).select("skeleton", "n_records"), F.desc("n_records"), "skeleton").select("skeleton"))
@@ -200,7 +207,7 @@ def residue_records(records: DataFrame) -> DataFrame:
     """``(record_kind, record_id)`` of ``records (record_kind, record_id, text)`` to exclude."""
     texts = records.where(F.col("record_id").isNotNull() & F.col("text").isNotNull()).select("record_kind", "record_id", "text").distinct()
     messages = skeletons(texts)
-    bad = classified_templates(mined_templates(messages)).select("s1", "s2")
+    bad = classified_templates(messages).select("s1", "s2")
     whole = messages.select("record_kind", "record_id", "s1", "s2").join(bad, ["s1", "s2"], "left_semi").select("record_kind", "record_id")
     slots = texts.where(has_slot(F.col("text"))).select("record_kind", "record_id")
     return whole.unionByName(slots).distinct()
