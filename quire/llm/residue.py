@@ -125,7 +125,7 @@ def skeletons(records: DataFrame) -> DataFrame:
 def placed_skeletons(messages: DataFrame) -> DataFrame:
     """Every skeleton once, with its leaf in the tree and the hashes of its parts; behind a checkpoint, the only one that holds texts.
 
-    ``(s1, s2, n, recurs, skeleton, leaf, parts)``; ``recurs``: one and the same message of it fills ``SPREAD`` records or more.
+    ``(s1, s2, n, recurs, skeleton, class, leaf, parts)``; ``recurs``: one and the same message of it fills ``SPREAD`` records or more.
     """
     per = messages.groupBy("s1", "s2").agg(F.min("message").alias("message"), (F.min("message") == F.max("message")).alias("fixed"), F.count("*").alias("n"))
     split = per.select("s1", "s2", "n", (F.col("fixed") & (F.col("n") >= SPREAD)).alias("recurs"), masked(F.col("message")).alias("skeleton")).withColumn("tokens", tokens_of(F.col("skeleton")))
@@ -133,7 +133,7 @@ def placed_skeletons(messages: DataFrame) -> DataFrame:
     many = F.greatest(F.lit(1), F.least(F.lit(SEGMENTS), size))
     at = lambda i: F.floor(i * size / many).cast("int")
     parts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.xxhash64(F.slice("tokens", at(i) + 1, at(i + 1) - at(i))))
-    return cut(split.select("s1", "s2", "n", "recurs", "skeleton", F.xxhash64(size, F.slice("tokens", 1, DEPTH)).alias("leaf"), parts.alias("parts")))
+    return cut(split.select("s1", "s2", "n", "recurs", "skeleton", seed_class(F.col("skeleton")).alias("class"), F.xxhash64(size, F.slice("tokens", 1, DEPTH)).alias("leaf"), parts.alias("parts")))
 
 
 def mined_templates(placed: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def fills_itself(skeleton: Column) -> Column:
     """Whether a message only repeats itself, or is nonsense Latin."""
     words = F.regexp_extract_all(skeleton, F.lit(r"([a-z]+)"), 1)
     latin = F.size(F.filter(words, lambda w: w.isin(*sorted(LOREM))))
-    lorem = (F.size(words) >= 3) & (latin >= 0.7 * F.size(words)) & ~skeleton.rlike(r"\p{IsHan}")
+    lorem = F.when(skeleton.rlike(r"\p{IsHan}"), False).when(skeleton.rlike(r"(?:\b(?:%s)\b.*?){2}" % "|".join(sorted(LOREM))), (F.size(words) >= 3) & (latin >= 0.7 * F.size(words))).otherwise(False)
     return lorem | skeleton.rlike(rf"(?s)^(?:{REPEATS}){_END}$")
 
 
@@ -190,11 +190,11 @@ def classified_templates(messages: DataFrame) -> DataFrame:
     placed = placed_skeletons(messages)
     text = F.col("skeleton")
     default = text.rlike(DEFAULT) & ~text.rlike(SLOT)
-    named = placed.select("s1", "s2", "recurs", "skeleton", seed_class(text).alias("class"), fills_itself(text).alias("itself"))
+    named = placed.select("s1", "s2", "recurs", "skeleton", "class", fills_itself(text).alias("itself"))
     wanted = named.where((F.col("recurs") | F.col("class").isNotNull() | F.col("itself")) & ~default)
     candidates = cut(wanted.join(mined_templates(placed), ["s1", "s2"]))
     some = lambda df, *order: df.orderBy(*order).limit(FIT)
-    prose = cut(some(placed.where((F.col("n") < SPREAD) & (seed_class(text).isNull() | text.rlike(DEFAULT))).select("skeleton"), F.xxhash64("skeleton"), "skeleton"))
+    prose = cut(some(placed.where((F.col("n") < SPREAD) & (F.col("class").isNull() | text.rlike(DEFAULT))).select("skeleton"), F.xxhash64("skeleton"), "skeleton"))
     nothing = spark.createDataFrame([], "skeleton string")
     first = _scored(candidates.where((F.col("n_records") >= SPREAD) & F.col("class").isNotNull()), _odds(nothing, prose, spark))
     like = cut(some(first.where(F.col("score") >= LEAST_ALONE).select("skeleton", "n_records"), F.desc("n_records"), "skeleton").select("skeleton"))
