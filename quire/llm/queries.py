@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.leak import leaked_items
+from quire.llm.leak import leaked_items, paraphrased_items
 from quire.llm.lookalike import consistent_forms, lookalike_pairs
 from quire.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quire.llm.residue import classified_templates, residue_records, skeletons
@@ -99,6 +99,11 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that tell an evaluation item's passage in other words, with its answer."""
+    return paraphrased_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,6 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_groups": p3_groups, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_coverage": p9_coverage, "p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
+QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_groups": p3_groups, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found, "p9_coverage": p9_coverage, "p4_found": p4_found, "p4_templates": p4_templates, "p5_found": p5_found, "p5_forms": p5_forms}
 
 ORACLES: dict[str, str] = {}

@@ -201,6 +201,52 @@ def test_alignment_of_long_texts_in_pieces(monkeypatch):
     assert leak.best_stretch(a, b) == (30, 5, 35)
 
 
+def test_alignment_keeps_few_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    for cells in (200, 5_000, 4_000_000):
+        monkeypatch.setattr(leak, "CELLS", cells)
+        a = np.arange(300, dtype=np.uint64)
+        b = np.concatenate([rng.integers(1000, 2000, 40), a[20:120], [7777], a[121:260], rng.integers(1000, 2000, 30)]).astype(np.uint64)
+        score, at, on = leak._alignment(a, b, {})
+        assert score == 238 and at.tolist() == [*range(20, 120), *range(121, 260)] and (a[at] == b[on]).all()
+        assert leak.best_stretch(a, b) == (239, 20, 260)
+
+
+def test_common_subsequences():
+    rng = random.Random(9)
+    for _ in range(30):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(20))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert leak.common_tokens(np.array(a, int), np.array(b, int)) == table[-1][-1]
+
+
+def test_long_passages_and_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(leak, "ITEM_CHARS", 20_000)
+    rng = random.Random(12)
+    latin = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    long, other = latin(12_000), latin(9_000)
+    items = [(1, " ".join(long), None), (2, " ".join(other), "q"), (3, " ".join(latin(40)), "q")]
+    docs = [(10, items[0][1]), (20, " ".join(latin(50) + other[2_000:7_000] + latin(50))), (30, " ".join(other[:3_000])), (40, items[2][1]), (50, " ".join(latin(3_000)))]
+    got = leak.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, query string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(10, 1), (20, 2), (40, 3)]
+
+
+def test_paraphrases_need_the_answer(spark):
+    rng = random.Random(21)
+    filler = ["the plant", "a second line", "its yearly budget", "one supplier", "the review board", "new storage rules"]
+    noise = lambda: " ".join(f"{rng.choice(filler)} {rng.choice(['kept', 'moved', 'raised'])} lot {rng.randrange(10**5)}" for _ in range(30))
+    passage = "In March 2023 Corsta Orbital delivered 4812 cryogenic valves to Port Velmar because the thermal audit of Haldin Works had failed twice under winter load"
+    told = "In March 2023 Corsta Group delivered 4812 cryogenic valves into Port Velmar because the heat audit of Haldin Works was failed twice under winter stress"
+    topic = "In April 2021 Brenna Orbital delivered 77 ceramic valves to Port Ansel because the yearly audit of Murrin Works had passed twice under summer load"
+    docs = [(1, f"{noise()} {told} {noise()}"), (2, f"{noise()} {topic} {noise()}"), (3, noise()), (4, f"{noise()} {passage}")] + [(10 + i, noise()) for i in range(20)]
+    items = spark.createDataFrame([(7, passage, "Why were valves delivered to the port")], "item_id long, passage string, query string")
+    got = sorted(tuple(r) for r in leak.found_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect())
+    assert got == [(1, 7, "paraphrased"), (4, 7, "leaked")]
+
+
 def test_a_verbatim_half_counts_beside_text_that_only_resembles():
     a, other = np.arange(47, dtype=np.uint64), np.arange(1000, 2000, dtype=np.uint64)
     runs_on = np.concatenate([other[:20], a[:24], other[20:27], a[31:40], other[27:50]])
