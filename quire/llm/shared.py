@@ -7,11 +7,12 @@ the span whole. Every partition sketches the counts of its windows in a count-mi
 2 or more), the sketches are merged by Spark, and a second pass keeps the windows the merged sketch takes for repeated;
 estimates only err upwards, so none is lost. Spark groups the windows kept exactly. Windows with the same set of
 records are one group; the pairs of small groups are checked on the texts, character for character. Groups of more
-than ``HOT`` records are not paired: their records' windows of the full ``SPAN`` around the anchor are grouped by 128
-bits, so only pairs of the result come out.
+than ``HOT`` records are not paired: their records' windows of the full ``SPAN`` around the anchor are grouped by a
+rolling hash and the SHA-256 of their characters, so only pairs of the result come out.
 
-The sketch has a bound: ``MAX_CELLS`` cells a row, two bits each, whatever the data; with more windows it lets more
-pass to the exact grouping, which is a Spark shuffle.
+A sketch has a bound: ``MAX_CELLS`` cells a row, two bits each, whatever the data; more windows are taken in as many
+ranges of their keys, each with a sketch of its own. Partial sketches merge in two steps, so that no task holds more than
+about the root of their number.
 
 Defined results
 * null texts and texts below ``SPAN`` characters share nothing; their share is 0;
@@ -22,11 +23,15 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,13 +74,14 @@ def cells_of(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (h >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
 
 
-def _sketcher(cells: int):
-    """Partition sketches: bit sets of the cells seen once, and twice or more, in segments."""
+def _sketcher(cells: int, ranges: int, at: int, groups: int):
+    """Partition sketches of one range of the keys: bit sets of the cells seen once, and twice or more, in segments."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = (np.zeros((SKETCH_ROWS, cells // 8), np.uint8) for _ in range(2))
         for batch in batches:
             keys = batch.column(0).flatten().to_numpy()
+            keys = keys[keys % ranges == at] if ranges > 1 else keys
             if not len(keys):
                 continue
             for row in range(SKETCH_ROWS):
@@ -86,10 +92,11 @@ def _sketcher(cells: int):
                 one, more = (np.add.reduceat(b, starts).astype(np.uint8) for b in (bit, bit * (n > 1)))
                 twice[row, at] |= once[row, at] & one | more
                 once[row, at] |= one
+        group = TaskContext.get().partitionId() % groups
         for row in range(SKETCH_ROWS):
             for s in range(0, cells, SEGMENT):
                 a, b = s // 8, min(cells, s + SEGMENT) // 8
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([row * (cells // SEGMENT + 1) + s // SEGMENT], pa.int32()), "once": [once[row, a:b].tobytes()], "twice": [twice[row, a:b].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([row * (cells // SEGMENT + 1) + s // SEGMENT], pa.int32()), "part": pa.array([group], pa.int32()), "once": [once[row, a:b].tobytes()], "twice": [twice[row, a:b].tobytes()]})
 
     return sketch
 
@@ -99,16 +106,24 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     for a, b in zip(part["once"], part["twice"]):
         a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
         once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    return pd.DataFrame({"segment": [part["segment"].iloc[0]], "twice": [twice.tobytes()]})
+    return pd.DataFrame({"segment": [part["segment"].iloc[0]], "once": [once.tobytes()], "twice": [twice.tobytes()]})
 
 
 def repeated_windows(keys: DataFrame, cells_a_key: float = 4, partials: int = 6) -> DataFrame:
     """``(key, doc_id)`` of the windows that the merged sketch takes for repeated. ``keys``: ``(doc_id, keys)``."""
     n = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
-    cells = max(MIN_CELLS, min(MAX_CELLS, 1 << int(cells_a_key * n).bit_length()))
-    few = keys.select("keys").coalesce(max(1, min(keys.rdd.getNumPartitions(), partials + n // 20_000_000)))
-    merged = few.mapInArrow(_sketcher(cells), "segment int, once binary, twice binary").groupBy("segment").applyInPandas(_merge, "segment int, twice binary")
-    bits = {r.segment: r.twice for r in merged.collect()}  # of bounded size: SKETCH_ROWS * cells / 8 bytes
+    ranges = max(1, math.ceil(cells_a_key * n / MAX_CELLS))
+    cells = max(MIN_CELLS, min(MAX_CELLS, 1 << int(cells_a_key * n / ranges).bit_length()))
+    return reduce(DataFrame.unionByName, (_repeated(keys, cells, ranges, at, max(1, min(keys.rdd.getNumPartitions(), partials + n // 20_000_000))) for at in range(ranges)))
+
+
+def _repeated(keys: DataFrame, cells: int, ranges: int, at: int, partials: int) -> DataFrame:
+    groups = math.isqrt(partials)
+    partial = keys.select("keys").coalesce(partials).mapInArrow(_sketcher(cells, ranges, at, groups), "segment int, part int, once binary, twice binary")
+    out = "segment int, once binary, twice binary"
+    some = partial if groups == 1 else partial.groupBy("segment", "part").applyInPandas(_merge, out)
+    merged = some.groupBy("segment").applyInPandas(_merge, out)
+    bits = {r.segment: r.twice for r in merged.select("segment", "twice").collect()}  # of bounded size: SKETCH_ROWS * cells / 8 bytes
     sketch = keys.sparkSession.sparkContext.broadcast([b"".join(bits.get(row * (cells // SEGMENT + 1) + s // SEGMENT, bytes(min(SEGMENT, cells) // 8)) for s in range(0, cells, SEGMENT)) for row in range(SKETCH_ROWS)])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +132,14 @@ def repeated_windows(keys: DataFrame, cells_a_key: float = 4, partials: int = 6)
             lists = batch.column(1)
             flat = lists.flatten().to_numpy()
             ids = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            on = np.ones(len(flat), bool)
+            on = flat % ranges == at if ranges > 1 else np.ones(len(flat), bool)
             for row in range(SKETCH_ROWS):
                 cell = cells_of(flat, row, cells)
                 on &= (rows[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids[on])), pa.array(flat[on])], names=["doc_id", "key"])
 
-    return keys.select("doc_id", "keys").mapInArrow(keep, "doc_id long, key long")
+    kind = keys.schema["doc_id"].dataType.simpleString().replace("bigint", "long")
+    return keys.select("doc_id", "keys").mapInArrow(keep, f"doc_id {kind}, key long")
 
 
 def _runs(on: np.ndarray) -> list[tuple[int, int]]:
@@ -157,12 +173,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For texts with hot windows, all windows of ``SPAN`` characters around those anchors, by 128 bits."""
+    """For texts with hot windows, all windows of ``SPAN`` characters around those anchors, by a rolling hash and SHA-256."""
     step = (SPAN - ANCHOR) // SHIFTS
     length = ANCHOR + step * (SHIFTS - 1)
     for batch in batches:
         for doc, text, hot in zip(*(c.to_pylist() for c in batch.columns)):
-            w, w2 = Windows(text), Windows(text, 1)
+            w = Windows(text)
             at = anchors(w.all(ANCHOR), SPAN - ANCHOR + 1)
             near = np.zeros(w.n - SPAN + 1, bool)
             for shift in range(SHIFTS):
@@ -173,7 +189,7 @@ def _full_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             pos = np.flatnonzero(near)
             if len(pos):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pos), doc, np.int64)), pa.array(pos.astype(np.int64)), pa.array(w.at(pos, SPAN).astype(np.int64)), pa.array(w2.at(pos, SPAN).astype(np.int64))], names=["doc_id", "pos", "w1", "w2"]
+                    [pa.array(np.full(len(pos), doc, np.int64)), pa.array(pos.astype(np.int64)), pa.array(w.at(pos, SPAN).astype(np.int64)), pa.array([hashlib.sha256(text[p : p + SPAN].encode("utf-8", "surrogatepass")).digest() for p in pos.tolist()], pa.binary())], names=["doc_id", "pos", "w1", "w2"]
                 )
 
 
@@ -211,7 +227,7 @@ def _shared(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .mapInArrow(_verify, "doc_a long, doc_b long, spans_a array<struct<s:bigint,e:bigint>>, spans_b array<struct<s:bigint,e:bigint>>")
     )
     hot_keys = hot.groupBy("doc_id").agg(F.collect_list("key").alias("hot"))  # of one text: bounded by its length
-    full = cut(near(texts, hot_keys, "doc_id").join(hot_keys, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "hot").mapInArrow(_full_windows, "doc_id long, pos long, w1 long, w2 long"))
+    full = cut(near(texts, hot_keys, "doc_id").join(hot_keys, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "hot").mapInArrow(_full_windows, "doc_id long, pos long, w1 long, w2 binary"))
     wide = full.select("doc_id", "w1", "w2").distinct()
     pairs = checked.select("doc_a", "doc_b").unionByName(group_pairs(wide, ["w1", "w2"])).distinct()
     several = wide.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")

@@ -163,6 +163,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicate_pairs(frame(spark, [])).count() == 0
 
 
+def test_hot_bands_and_kinds_of_one_beginning(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    rng = random.Random(14)
+    base = words(rng, 60).split(" ")
+    rows = []
+    for i in range(24):
+        u = list(base)
+        for _ in range(i % 8):
+            u[rng.randrange(len(u))] = words(rng, 1)
+        rows.append(("table_rows_a" if i % 2 else "table_rows_b", f"r{i}", " ".join(u)))
+    norm = {(k, r): " ".join(t.split()) for k, r, t in rows}
+    want = {(ka, *sorted((a, b))) for (ka, a), x in norm.items() for (kb, b), y in norm.items() if ka == kb and a < b and neardup.similarity(x, y) >= 0.7}
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, rows)).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_pruning_bounds_rise_and_keep_alike_pairs():
     bounds = neardup.least_matches()
     assert all(a[1] <= b[1] for a, b in zip(bounds, bounds[1:]))
