@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters that look like the Latin letter below them (Cyrillic, then Greek, then phonetic).
+#: Letters that look like the Latin letter beside them (Cyrillic, then Greek, then Armenian, then phonetic).
 LOOKALIKES = {
     "АВЕКМНОРСТХЅІЈУаеорсухіѕјһԁԛԝ": "ABEKMHOPCTXSIJYaeopcyxisjhdqw",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο": "ABEZHIKMNOPTYXo",
+    "ӀӏҮ": "IlY",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϹϺ": "ABEZHIKMNOPTYXovCM",
+    "ՕօսոՏհ": "OounSh",
     "ɡϲϳ": "gcj",
 }
 #: Characters that leave no mark.
@@ -71,8 +73,7 @@ def form_sql(column: str) -> str:
     expr = f"regexp_replace({expr}, '\\r\\n?', chr(10), 'g')"
     spread = expr
     for ch, plain in longer.items():
-        if ch in "ﬀﬁﬂﬃﬄﬅﬆ" or "Ⅰ" <= ch <= "ⅿ" or ch in "‥…":
-            spread = f"replace({spread}, {_literal(ch)}, {_literal(plain)})"
+        spread = f"replace({spread}, {_literal(ch)}, {_literal(plain)})"
     spread = f"translate({spread}, {_literal(''.join(rare))}, {_literal(''.join(rare.values()))})"
     odd = "[" + re.escape("".join([*rare, *longer])).replace("\\ ", " ") + "]"
     expr = f"CASE WHEN regexp_matches({column}, {_literal(odd)}) THEN {spread} ELSE {expr} END"

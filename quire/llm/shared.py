@@ -74,14 +74,14 @@ def cells_of(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (h >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
 
 
-def _sketcher(cells: int, ranges: int, at: int, groups: int):
+def _sketcher(cells: int, ranges: int, part: int, groups: int):
     """Partition sketches of one range of the keys: bit sets of the cells seen once, and twice or more, in segments."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = (np.zeros((SKETCH_ROWS, cells // 8), np.uint8) for _ in range(2))
         for batch in batches:
             keys = batch.column(0).flatten().to_numpy()
-            keys = keys[keys % ranges == at] if ranges > 1 else keys
+            keys = keys[keys % ranges == part] if ranges > 1 else keys
             if not len(keys):
                 continue
             for row in range(SKETCH_ROWS):

@@ -19,10 +19,10 @@ def test_lookalikes(spark):
     rows = [
         ("t", "a", "Table 2 vacuum gauge"), ("t", "b", "Ｔable　2 vac​uum gauge"), ("t", "c", "Τаble 2 vacuum gauge"), ("t", "a", "Table 2 vacuum gauge"),
         ("t", "d", "TABLE 2 vacuum gauge"), ("t", "e", "Table 2  vacuum gauge"), ("t", "f", None), ("t", "g", ""), ("t", "h", "​"), ("t", "i", " "),
-        ("u", "j", "café Ⅳ ﬁ"), ("u", "k", "café IV fi"), ("u", "l", "x²"), ("u", "m", "x2"), ("u", "n", "同⼀"), ("u", "o", "同一"), (None, None, "z"),
+        ("u", "j", "café Ⅳ ﬁ"), ("u", "k", "café IV fi"), ("u", "l", "x²"), ("u", "m", "x2"), ("u", "n", "同⼀"), ("u", "o", "同一"), ("v", "p", "25 ℃ № 7 ㈱ ǆ"), ("v", "q", "25 °C No 7 (株) dž"), ("v", "r", "рalochka Ӏ ν"), ("v", "s", "palochka I v"), (None, None, "z"),
     ]
     got = {tuple(r) for r in lookalike.lookalike_pairs(frame(spark, rows, "stored")).collect()}
-    assert got == {("t", "a", "b"), ("t", "a", "c"), ("t", "b", "c"), ("u", "j", "k"), ("u", "n", "o")}
+    assert got == {("t", "a", "b"), ("t", "a", "c"), ("t", "b", "c"), ("u", "j", "k"), ("u", "n", "o"), ("v", "p", "q"), ("v", "r", "s")}
     assert lookalike.lookalike_pairs(frame(spark, [], "stored")).count() == 0
     forms = {r.record_id: r.form for r in lookalike.consistent_forms(frame(spark, [("t", "x", "ａ\r\nb" * 50_000), ("t", "y", None)], "stored")).collect()}
     assert forms == {"x": "a\nb" * 50_000, "y": None}
@@ -103,7 +103,7 @@ def words(rng, n):
     return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "环境", "测试"]) + str(rng.randrange(999)) for _ in range(n))
 
 
-def test_shared_spans_against_brute_force(spark):
+def test_shared_spans_against_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     base = [words(rng, 200) for _ in range(12)]
     docs = []
@@ -118,6 +118,10 @@ def test_shared_spans_against_brute_force(spark):
     want = {(a, b) for a in grams for b in grams if a < b and grams[a] & grams[b]}
     got = [tuple(r) for r in shared.shared_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(shared, "MIN_CELLS", 1024)
+    monkeypatch.setattr(shared, "MAX_CELLS", 1024)  # several ranges of keys
+    assert {tuple(r) for r in shared.shared_pairs(df).collect()} == want
+    monkeypatch.undo()
     share = {r.doc_id: r.shared_chars for r in shared.shared_share(df).collect()}
     for i, t in by.items():
         others = set().union(*(g for j, g in grams.items() if j != i))
@@ -317,9 +321,27 @@ def test_noise_and_repair(spark):
     text = {r.record_id: r.text for r in scanned.repaired_texts(df).collect()}
     assert text["page"] == "The carrier passed the qualification check while the pressure vessel moved from storage.\n\nA hybrid mixer passed."
     assert text["mis"] == wrapped[0].replace("\ncheck", " check").replace("与\n数", "与数") and text["empty"] == "" and "null" not in text
+    assert text["one"] == wrapped[1].replace("\ncheck", " check").replace("与\n数", "与数") and text["c401"] == wrapped[1].replace("\ncheck", " check").replace("与\n数", "与数")
     assert scanned.page_noise(df.limit(0)).count() == 0
 
 
+def test_long_running_lines_and_forms_outside_the_model():
+    title = scanned.plain_title("carbon fabric quality notes " * 10)
+    noise, text = scanned.read_page("Carbon fabric quality notes " * 10 + "  5\nThe carrier passed.", title, scanned.Model({}, {}, {}, {}, {}))
+    assert noise == {"header"} and text == "The carrier passed."
+    words = {"farm": 900, "the": 9000}
+    assert scanned.correct_latin("the farrn", scanned.Model(words, {}, {}, {("rn", "m"): -1.0}, {})) == ("the farm", 1)
+    assert scanned.correct_latin("the farrn", scanned.Model(words, {}, {}, {("rn", "m"): -1.0}, {}, (40, 0))) == ("the farrn", 0)
+    long = "rnrnrnrnaoaoaoaoaoaovyvyvyvy"
+    assert scanned.correct_latin(long, scanned.Model({"mmrnrnaoaoaoaoaoaovyvyvyvv": 500}, {}, {}, {("rn", "m"): -1.0, ("y", "v"): -1.0}, {}))[1] in (0, 3)
+
+
+def test_runs_of_misread_words_are_decoded_together():
+    words = {"modern": 4000, "common": 4000, "the": 9000, "plan": 4000}
+    model = scanned.Model(words, {"the common": 900, "common modern": 800, "modern plan": 700}, {}, {("rn", "m"): -1.0, ("m", "rn"): -1.0}, {})
+    assert scanned.correct_latin("the cornrnon modem plan", model) == ("the common modern plan", 3)
+
+
 def test_misreadings_stay_so_however_often_they_occur():
     for scale in (1, 2, 200):
         trigrams = {"一次评": 900, "次评审": 1000, "评审定": 900, "一次坪": 15, "次坪审": 15, "坪审定": 15}
