@@ -118,7 +118,7 @@ def directory_key(c: Column) -> Column:
 
 
 def first_int(c: Column, default: int = 0) -> Column:
-    return F.coalesce(F.expr("int(null)"), F.regexp_extract(strip(c), r"(\d+)", 1).try_cast("int"), F.lit(default))
+    return F.coalesce(F.regexp_extract(strip(c), r"(\d+)", 1).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def base_name(c: Column) -> Column:
@@ -139,10 +139,15 @@ def numbers_of(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(stem(c), F.lit(r"(\d+)"), 1), lambda p: p.cast("bigint"))
 
 
+def _ordered(digits: Column) -> Column:
+    """Digits in an order that is that of their values: their number goes before them."""
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
 def natural_key(c: Column) -> Column:
     """Sort key that orders numbers inside names by value."""
     parts = F.regexp_extract_all(F.lower(base_name(c)), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(p, 18, "0"))).otherwise(F.concat(F.lit("1"), p))), "\x01")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("0"), _ordered(F.regexp_replace(p, r"^0+(?=\d)", "")))).otherwise(F.concat(F.lit("1"), p))), "\x01")
 
 
 def page_hint(c: Column) -> Column:
@@ -159,6 +164,21 @@ def web_path(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.url_encode(F.coalesce(c, F.lit(""))), r"\+", "%20"), "%2F", "/")
 
 
+def media_path(c: Column, roots: tuple[str, ...]) -> Column:
+    """A path from one of the folders media may come from: as it stands, below the first of them if it only begins with
+    ``assets/``, from the folder's name on if it stands deeper; any other path gives nothing."""
+    path = F.regexp_replace(F.regexp_replace(strip(c), r"\\", "/"), r"^[./]+", "")
+    lower = F.lower(path)
+    out = F.when(path == "", "")
+    for r in roots:
+        out = out.when(lower.startswith(r.lower()), F.concat(F.lit(r), F.substring(path, len(r) + 1, 1 << 20)))
+    out = out.when(lower.startswith("assets/"), F.concat(F.lit(roots[0]), path))
+    for r in roots:
+        at = F.instr(lower, r.lower())
+        out = out.when(at > 0, path.substr(at, F.length(path)))
+    return out.otherwise("")
+
+
 def safe_path(c: Column, roots: tuple[str, ...]) -> Column:
     """Whether a path is relative, never climbs, and lies under one of the roots."""
     under = F.lit(False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +44,14 @@ def asset_uids(assets: DataFrame) -> DataFrame:
 
 
 def document_signatures(rows: DataFrame) -> DataFrame:
-    """A digest of each document's rows in order; it changes when any row does."""
-    row = F.struct("row_index", "row_key", F.sha2(F.concat_ws("\x01", *(F.coalesce(F.col(c), F.lit("")) for c in ("text_id", "keywords", "text_content"))), 256).alias("digest"))
-    keyed = rows.select(T.directory_key(F.col("directory")).alias("dir_key"), F.col("file_name"), row.alias("row"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["digest"]), ",")
-    return keyed.groupBy("dir_key", "file_name").agg(F.sha2(joined, 256).alias("signature"), F.count("*").alias("n_rows"))
+    """A digest of each document's rows with their places; it changes when any row does.
+
+    Rows are digested alone and their digests summed, so that a document of any size combines before it is shuffled.
+    """
+    digest = F.sha2(F.concat_ws("\x01", F.coalesce(F.col("row_index").cast("string"), F.lit("")), *(F.coalesce(F.col(c), F.lit("")) for c in ("row_key", "text_id", "keywords", "text_content"))), 256)
+    keyed = rows.select(T.directory_key(F.col("directory")).alias("dir_key"), "file_name", digest.alias("digest"))
+    part = lambda at: F.sum(F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return keyed.groupBy("dir_key", "file_name").agg(F.concat_ws("-", part(1), part(16), F.count("*").cast("string")).alias("signature"), F.count("*").alias("n_rows"))
 
 
 def document_key(text_id: Column) -> Column:
@@ -88,8 +93,27 @@ def changes(before: DataFrame, after: DataFrame, key: str, signature: str) -> Da
     return a.join(b, key, "full").select(key, change.alias("change"))
 
 
+def contained_names(names: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(name, group_id)``: the only group whose name holds the name, or is held by it.
+
+    The shorter of two such names begins with three characters, or all it has, that the longer one holds somewhere, so
+    names meet by those.
+    """
+    head = lambda c: F.substring(c, 1, 3)
+    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: c.substr(i, k)))))
+    a = names.where("name <> ''").select(F.col("name").alias("a")).distinct()
+    b = groups.select("group_id", F.col("name").alias("b"))
+    parts = lambda df, c: df.select("*", F.explode(grams(F.col(c))).alias("gram"))
+    inside = parts(b.where("b <> ''"), "b").join(a.withColumn("gram", head("a")), "gram").where(F.contains("b", "a"))
+    around = parts(a, "a").join(b.where("b <> ''").withColumn("gram", head("b")), "gram").where(F.contains("a", "b"))
+    nameless = a.crossJoin(F.broadcast(b.where("b = ''")))  # a name without characters stands in every one; such groups are one a directory and kind
+    hits = reduce(DataFrame.unionByName, (x.select("a", "group_id") for x in (inside, around, nameless))).distinct()
+    return hits.groupBy(F.col("a").alias("name")).agg(F.min("group_id").alias("group_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
 def matched_groups(assets: DataFrame, groups: DataFrame) -> DataFrame:
-    """The text group of each asset row: the same place, else the only group of its name, else the only one of its kind in the directory, else its own.
+    """The text group of each asset row: the same place, else the only group of its name, of its kind in the directory, of its
+    kind, or with its name as a part, else its own.
 
     ``assets (asset_id, dir_key, kind, name)``, ``groups (group_id, dir_key, kind, name)``.
     """
@@ -97,13 +121,12 @@ def matched_groups(assets: DataFrame, groups: DataFrame) -> DataFrame:
         return groups.groupBy(*keys).agg(F.min("group_id").alias("_".join(["g", *keys])), F.count("*").alias("n")).where("n = 1").drop("n")
 
     exact = groups.select("dir_key", "kind", "name", F.col("group_id").alias("g_exact"))
-    joined = assets.join(exact, ["dir_key", "kind", "name"], "left").join(only("name"), "name", "left").join(only("dir_key", "kind"), ["dir_key", "kind"], "left")
+    part = contained_names(assets, groups).withColumnRenamed("group_id", "g_part")
+    joined = assets.join(exact, ["dir_key", "kind", "name"], "left").join(only("name"), "name", "left").join(only("dir_key", "kind"), ["dir_key", "kind"], "left").join(only("kind"), "kind", "left").join(part, "name", "left")
+    levels = {"g_exact": "exact", "g_name": "name", "g_dir_key_kind": "directory", "g_kind": "kind", "g_part": "part of name"}
     own = F.concat_ws("/", "dir_key", "kind", "name")
-    return joined.select(
-        "asset_id",
-        F.coalesce("g_exact", "g_name", "g_dir_key_kind", own).alias("group_id"),
-        F.when(F.col("g_exact").isNotNull(), "exact").when(F.col("g_name").isNotNull(), "name").when(F.col("g_dir_key_kind").isNotNull(), "directory").otherwise("own").alias("matched_by"),
-    )
+    by = F.coalesce(*(F.when(F.col(c).isNotNull(), name) for c, name in levels.items()), F.lit("own"))
+    return joined.select("asset_id", F.coalesce(*levels, own).alias("group_id"), by.alias("matched_by"))
 
 
 def related_assets(chunks: DataFrame, assets: DataFrame, least: float = 0.18) -> DataFrame:

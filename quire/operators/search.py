@@ -1,12 +1,15 @@
 """Hierarchical hybrid retrieval for many questions in one plan: sparse and dense scores, fusion, page bundles, assets.
 
-Questions are a small stated set ``(query_id, query)``; everything else is distributed. Only the tokens that occur in
-questions become postings, texts are attached after ranking, and every ranking is ``row_number <= k`` so that the plan
-limits groups before they are sorted whole.
+Questions are a small stated set ``(query_id, query)``; everything else is distributed. The texts are indexed once:
+:func:`index` writes their postings, in folders by the hash of the token and sorted by it, into the shared folder, where
+every later plan finds them as long as the source files stay the same. A question reads only the folders of its tokens.
+Texts are attached after ranking, and every ranking is ``row_number <= k`` so that the plan limits groups before they are
+sorted whole.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.tables import cut
+from quire.tables import file_signature, shared_dir
 
 #: The weight of the dense side per level, BM25's parameters, and results per level.
 ALPHA = {"doc": 0.65, "page": 0.60, "chunk": 0.25, "table": 0.60}
@@ -84,26 +87,89 @@ def postings(texts: DataFrame, fold: bool = True, wanted: DataFrame | None = Non
     return rows.groupBy("level", "id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def level_stats(texts: DataFrame, fold: bool = True) -> DataFrame:
-    """``(level, n, avgdl)``; texts without tokens count."""
-    return prepared(texts, fold).groupBy("level").agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+#: Folders of an index; a token's postings stand in one of them.
+BUCKETS = 32
 
 
-def bm25(queries: DataFrame, texts: DataFrame, fold: bool = True, okapi: bool = False) -> DataFrame:
-    """``(query_id, level, id, score)`` of all texts with a positive score. One plan serves all levels and questions."""
+@dataclass
+class Index:
+    """Postings ``(bucket, level, id, dl, token, tf)`` and statistics ``(level, n, avgdl)`` of a set of texts."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def _bucket(token: str | Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(texts: DataFrame, path: str, fold: bool = True) -> None:
+    """Writes the index of ``texts (level, id, text)``; statistics come last, so that an index that has them is whole.
+
+    Texts without tokens count in ``n``.
+    """
+    spark = texts.sparkSession
+    rows = postings(texts, fold).withColumn("bucket", _bucket("token"))
+    rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    tokens = spark.read.schema(rows.schema).parquet(f"{path}/postings").groupBy("level").agg(F.sum("tf").alias("tokens"))
+    counts = texts.groupBy("level").agg(F.count("*").alias("n"))
+    stats = counts.join(tokens, "level", "left").select("level", "n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"))
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(texts: DataFrame, path: str) -> Index:
+    spark = texts.sparkSession
+    kind = texts.schema["id"].dataType.simpleString()
+    postings_of = spark.read.schema(f"level string, id {kind}, dl int, token string, tf bigint, bucket int").parquet(f"{path}/postings")
+    return Index(postings_of, spark.read.schema("level string, n bigint, avgdl double").parquet(f"{path}/stats"))
+
+
+def index(texts: DataFrame, name: str, sources: list[str], fold: bool = True) -> Index:
+    """The index of texts, written when there is none of these source files yet."""
+    spark = texts.sparkSession
+    path = f"{shared_dir(spark)}/index-{name}-{'folded' if fold else 'plain'}-{file_signature(spark, sources)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        write_index(texts, path, fold)
+    return read_index(texts, path)
+
+
+def hits(queries: DataFrame, index: Index, fold: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The questions' tokens ``(query_id, token, qtf)``, and the postings of all of them."""
     q = query_tokens(queries, fold)
-    wanted = F.broadcast(q.select("token").distinct())  # of the stated question set
-    hits = cut(postings(texts, fold, wanted))  # read for the document frequencies and for the scores
-    df = hits.groupBy("level", "token").agg(F.count("*").alias("df"))
-    stats = F.broadcast(level_stats(texts, fold))  # one row per level
-    ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    idf = df.join(stats, "level").select("level", "token", "avgdl", (F.log(ratio) if okapi else F.log1p(ratio)).alias("idf"))
-    if okapi:  # a word in most texts gets a quarter of the mean idf
-        mean = F.avg("idf").over(Window.partitionBy("level"))
-        idf = idf.withColumn("idf", F.when(F.col("idf") < 0, 0.25 * mean).otherwise(F.col("idf")))
+    wanted = q.select("token").distinct().withColumn("bucket", _bucket("token"))
+    return q, index.postings.join(F.broadcast(wanted), ["bucket", "token"], "left_semi")  # of the stated question set
+
+
+def _scored(q: DataFrame, found: DataFrame, idf: DataFrame) -> DataFrame:
     part = F.col("idf") * F.col("qtf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(idf, ["level", "token"]).join(F.broadcast(q), "token").groupBy("query_id", "level", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return scored.where("score > 0")
+    return found.join(F.broadcast(idf), ["level", "token"]).join(F.broadcast(q), "token").groupBy("query_id", "level", "id").agg(F.round(F.sum(part), 6).alias("score"))  # both of the question set
+
+
+def bm25(queries: DataFrame, index: Index, fold: bool = True) -> DataFrame:
+    """``(query_id, level, id, score)`` of all texts with a positive score. One plan serves all levels and questions."""
+    q, found = hits(queries, index, fold)
+    df = found.groupBy("level", "token").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(index.stats), "level").select("level", "token", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return _scored(q, found, idf).where("score > 0")
+
+
+def bm25_okapi(queries: DataFrame, index: Index, k: int, fold: bool = True) -> DataFrame:
+    """``(query_id, level, id, score, rank)``: the first k by the classic weights, those without any score among them.
+
+    A word in most texts gets a quarter of the mean weight of all words of the index.
+    """
+    q, found = hits(queries, index, fold)
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    every = index.postings.groupBy("level", "token").agg(F.count("*").alias("df")).join(F.broadcast(index.stats), "level").select("level", "token", "avgdl", raw.alias("idf"))
+    mean = every.groupBy("level").agg(F.avg("idf").alias("mean"))
+    own = every.join(F.broadcast(q.select("token").distinct()), "token", "left_semi").join(F.broadcast(mean), "level")
+    scored = _scored(q, found, own.select("level", "token", "avgdl", F.when(F.col("idf") < 0, 0.25 * F.col("mean")).otherwise(F.col("idf")).alias("idf")))
+    best = top(scored, ["query_id", "level"], k)
+    ids = index.postings.select("level", "id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("level").orderBy("id"))).where(F.col("n") <= 2 * k).drop("n")
+    rest = queries.select("query_id").crossJoin(F.broadcast(ids)).join(best.select("query_id", "level", "id"), ["query_id", "level", "id"], "left_anti").withColumn("score", F.lit(0.0))  # 2 k ids a level
+    rest = rest.join(scored.select("query_id", "level", "id"), ["query_id", "level", "id"], "left_anti")
+    return top(best.drop("rank").unionByName(rest), ["query_id", "level"], k)
 
 
 def top(scores: DataFrame, keys: list[str], k: int | Column, score: str = "score", tie: str = "id") -> DataFrame:
@@ -112,20 +178,26 @@ def top(scores: DataFrame, keys: list[str], k: int | Column, score: str = "score
 
 
 def minmax(scores: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Scores scaled to 0..1 within a group; a group of equal scores is all 1."""
+    """Scores scaled to 0..1 within a group; a group of equal scores is all 1. There are as many groups as questions and levels."""
     low_high = scores.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     flat = F.abs(span) <= 1e-9 * F.greatest(F.abs("_lo"), F.abs("_hi"))
-    return scores.join(low_high, keys).select(*keys, "id", F.when(flat, 1.0).otherwise((F.col("score") - F.col("_lo")) / span).alias(name))
+    return scores.join(F.broadcast(low_high), keys).select(*keys, "id", F.when(flat, 1.0).otherwise((F.col("score") - F.col("_lo")) / span).alias(name))
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False) -> DataFrame:
     """``(query_id, id, score, rank)``: the k nearest vectors by inner product, exactly.
 
     ``queries (query_id, embedding)`` is the stated set and goes to every task as one matrix; a task multiplies a batch
-    at a time and passes on its own best k per question, from which the last ranking is taken.
+    at a time and passes on its own best k per question, from which the last ranking is taken. Null vectors are left out.
     """
-    stated = queries.orderBy("query_id").collect()
+    found = dense_levels(queries, vectors.select(F.lit("all").alias("level"), "id", "embedding"), {"all": k}, cosine)
+    return found.drop("level")
+
+
+def dense_levels(queries: DataFrame, vectors: DataFrame, most: dict[str, int], cosine: bool = False) -> DataFrame:
+    """``(query_id, level, id, score, rank)``: the nearest vectors of each level, ``most`` of it. ``vectors (level, id, embedding)``."""
+    stated = queries.where("embedding IS NOT NULL").orderBy("query_id").collect()
     matrix = np.array([r.embedding for r in stated], np.float64).reshape(len(stated), -1)
     if cosine and len(stated):
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
@@ -136,17 +208,22 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False)
         for batch in batches:
             if not len(ids) or not batch.num_rows:
                 continue
-            keys = np.array(batch.column(0).to_pylist())
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            if cosine:
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            s = np.round(q @ x.T, 6)
-            for row, query in enumerate(ids):
-                keep = np.lexsort((keys, -s[row]))[:k]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([query] * len(keep), pa.int64()), "id": pa.array(keys[keep], pa.int64()), "score": pa.array(s[row][keep])})
-
-    best = vectors.where("embedding IS NOT NULL").select("id", "embedding").mapInArrow(score, "query_id long, id long, score double")
-    return top(best, ["query_id"], k)
+            names = np.array(batch.column(0).to_pylist())
+            for level in np.unique(names).tolist():
+                part = batch.filter(pa.array(names == level))
+                keys = np.array(part.column(1).to_pylist())
+                x = np.array(part.column(2).to_pylist(), np.float64)
+                if cosine:
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                s = np.round(q @ x.T, 6)
+                for row, query in enumerate(ids):
+                    keep = np.lexsort((keys, -s[row]))[: most[level]]
+                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(keep), pa.int64()), pa.array([level] * len(keep), pa.string()), part.column(1).take(pa.array(keep)), pa.array(s[row][keep])], names=["query_id", "level", "id", "score"])
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    best = vectors.where("embedding IS NOT NULL").select("level", "id", "embedding").mapInArrow(score, f"query_id long, level string, id {kind}, score double")
+    limit = F.create_map(*(x for level, k in most.items() for x in (F.lit(level), F.lit(k))))[F.col("level")]
+    return top(best, ["query_id", "level"], limit)
 
 
 def combined(sparse: DataFrame, dense_scores: DataFrame | None, bias: DataFrame | None = None) -> DataFrame:
@@ -184,7 +261,7 @@ def candidate_pages(scores: DataFrame, docs: DataFrame, pages: DataFrame, chunks
 
 def low_signal_pages(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(page_id, doc_id, low_signal, has_assets)``: a label for a summary, and no chunk that says anything."""
-    says = chunks.groupBy("page_id").agg(F.max((~T.low_signal(F.col("chunk_text_clean"))).cast("int")).alias("says"))
+    says = chunks.groupBy("page_id").agg(F.max((~T.low_signal(F.coalesce(F.nullif("chunk_text_clean", F.lit("")), "chunk_text_display"))).cast("int")).alias("says"))
     assets = F.size(F.filter(F.concat(F.coalesce("table_ids", F.array().cast("array<string>")), F.coalesce("image_ids", F.array().cast("array<string>"))), lambda x: x != "")) > 0
     label_only = T.strip(F.col("page_summary")).rlike(r"(?i)^page\s+\d+\s+of\s+.+$")
     return pages.join(says, "page_id", "left").select("page_id", "doc_id", (label_only & (F.coalesce("says", F.lit(0)) == 0)).alias("low_signal"), F.coalesce(assets, F.lit(False)).alias("has_assets"))
@@ -223,22 +300,71 @@ def ranked_pages(bundles: DataFrame, top_k: int = 5, rerank: DataFrame | None =
     return kept.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "page_id", "doc_id", "bundle", "rerank", "rank")
 
 
-def selected_assets(ranked: DataFrame, scores: DataFrame, queries: DataFrame, chunks: DataFrame, relations: DataFrame, assets: DataFrame) -> DataFrame:
-    """``(query_id, page_id, asset_type, asset_id, score, rank)``: up to three tables and images of each page found."""
-    own = scores.where("level = 'chunk'").select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("chunk_score"))
-    hits = ranked.select("query_id", "page_id", "bundle").join(chunks.select("chunk_id", "page_id", "keywords", "chunk_text_clean"), "page_id").join(own, ["query_id", "chunk_id"], "left").na.fill(0.0, ["chunk_score"])
-    best = F.row_number().over(Window.partitionBy("query_id", "page_id").orderBy(F.desc("chunk_score"), "chunk_id"))
-    hits = hits.withColumn("n", best).where("n <= 3")
-    linked = hits.join(relations.select("chunk_id", "asset_id", "asset_type", "relation_score"), "chunk_id").join(assets.select("asset_id", "asset_type", F.col("keywords").alias("asset_keywords")), ["asset_id", "asset_type"])
+def best_chunks(ranked: DataFrame, scores: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
+    """``(query_id, page_id, chunk_id, chunk_score, n)``: the chunks of each page found that score best; those without a score are none."""
+    own = scores.where("level = 'chunk' AND score > 0").select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("chunk_score"))
+    pages = ranked.select("query_id", "page_id").join(chunks.select("chunk_id", "page_id"), "page_id")
+    n = F.row_number().over(Window.partitionBy("query_id", "page_id").orderBy(F.desc("chunk_score"), "chunk_id"))
+    return pages.join(own, ["query_id", "chunk_id"]).withColumn("n", n).where(F.col("n") <= most)
+
+
+def selected_assets(ranked: DataFrame, scores: DataFrame, chunks: DataFrame, relations: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """``(query_id, page_id, asset_type, asset_id, score, rank)``: up to three tables and images of each page found.
+
+    A table counts by its own score, whether or not a chunk refers to it, or by its best relation to the page's best
+    chunks; the page's two best tables by their own score need no least score. An image counts by its relations only.
+    """
+    hits = ranked.select("query_id", "page_id", "bundle").join(best_chunks(ranked, scores, chunks), ["query_id", "page_id"]).join(chunks.select("chunk_id", "keywords", "chunk_text_clean"), "chunk_id")
+    assets = tables.select(F.col("table_id").alias("asset_id"), F.lit("table").alias("asset_type"), F.col("keywords").alias("asset_keywords")).unionByName(images.select(F.col("image_id").alias("asset_id"), F.lit("image").alias("asset_type"), F.col("keywords").alias("asset_keywords")))
+    linked = hits.join(relations.select("chunk_id", "asset_id", "asset_type", "relation_score"), "chunk_id").join(assets, ["asset_id", "asset_type"])
     shared = T.overlap(F.col("keywords"), F.col("asset_keywords"))
     signal = F.when(F.coalesce(F.col("chunk_text_clean"), F.lit("")).rlike(T.REFERENCE_SIGNAL), 0.1).otherwise(0.0)
-    score = F.when(F.col("asset_type") == "table", 0.45 * F.col("relation_score") + 0.35 * shared + 0.20 * F.col("bundle")).otherwise(0.45 * F.col("relation_score") + 0.30 * shared + 0.15 * F.col("bundle") + signal)
-    per = linked.withColumn("score", score).groupBy("query_id", "page_id", "asset_type", "asset_id").agg(F.round(F.max("score") + 1e-9, 4).alias("score"))
-    table = scores.where("level = 'table'").select("query_id", F.col("id").alias("asset_id"), F.lit("table").alias("asset_type"), F.col("score").alias("own"))
-    per = per.join(table, ["query_id", "asset_id", "asset_type"], "left").withColumn("score", F.greatest("score", F.coalesce("own", F.lit(0.0))))
-    kept = per.where(F.col("score") >= F.when(F.col("asset_type") == "table", 0.18).otherwise(0.30))
-    rank = F.row_number().over(Window.partitionBy("query_id", "page_id", "asset_type").orderBy(F.desc("score"), "asset_id"))
-    return kept.withColumn("rank", rank).where("rank <= 3").select("query_id", "page_id", "asset_type", "asset_id", "score", "rank")
+    related = F.when(F.col("asset_type") == "table", 0.45 * F.col("relation_score") + 0.35 * shared + 0.20 * F.col("bundle")).otherwise(0.45 * F.col("relation_score") + 0.30 * shared + 0.15 * F.col("bundle") + signal)
+    key = ["query_id", "page_id", "asset_type", "asset_id"]
+    by_relation = linked.groupBy(*key).agg(F.round(F.max(related) + 1e-9, 4).alias("score"), F.lit(None).cast("double").alias("own"))
+    own = scores.where("level = 'table'").select("query_id", F.col("id").alias("asset_id"), F.col("score").alias("own"))
+    of_page = ranked.select("query_id", "page_id").join(tables.select("page_id", F.col("table_id").alias("asset_id")), "page_id").join(own, ["query_id", "asset_id"], "left")
+    by_itself = of_page.select("query_id", "page_id", F.lit("table").alias("asset_type"), "asset_id", F.coalesce("own", F.lit(0.0)).alias("score"), F.coalesce("own", F.lit(0.0)).alias("own"))
+    per = by_relation.unionByName(by_itself).groupBy(*key).agg(F.max("score").alias("score"), F.max("own").alias("own"))
+    order = F.row_number().over(Window.partitionBy("query_id", "page_id", "asset_type").orderBy(F.desc_nulls_last("own"), "asset_id"))
+    exempt = (F.col("asset_type") == "table") & (F.col("own") > 0) & (F.col("order") <= 2)
+    kept = per.withColumn("order", order).where(exempt | (F.col("score") >= F.when(F.col("asset_type") == "table", 0.18).otherwise(0.30)))
+    return top(kept.drop("own", "order").withColumnRenamed("asset_id", "id"), ["query_id", "page_id", "asset_type"], 3).withColumnRenamed("id", "asset_id").select(*key, "score", "rank")
+
+
+def nested_results(ranked: DataFrame, pages: DataFrame, chunks: DataFrame, assets: DataFrame) -> DataFrame:
+    """``(query_id, rank, page_id, doc_id, doc_title, page_no, page_score, rerank_score, page_summary, chunks, tables, images)``: one row per result.
+
+    ``chunks (query_id, page_id, chunk_id, chunk_score, n)``, ``assets (query_id, page_id, asset_type, asset_id, score, rank)``; each has three per result at most.
+    """
+    none = F.array().cast("array<struct<n:int,id:string,score:double>>")
+    listed = lambda df, name, *entry: df.groupBy("query_id", "page_id").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias(name))
+    entry = (F.col("rank").alias("n"), F.col("asset_id").alias("id"), F.col("score"))
+    joined = (
+        ranked.join(pages.select("page_id", "doc_title", "page_no", "page_summary"), "page_id")
+        .join(listed(chunks, "chunks", F.col("n"), F.col("chunk_id").alias("id"), F.col("chunk_score").alias("score")), ["query_id", "page_id"], "left")
+        .join(listed(assets.where("asset_type = 'table'"), "tables", *entry), ["query_id", "page_id"], "left")
+        .join(listed(assets.where("asset_type = 'image'"), "images", *entry), ["query_id", "page_id"], "left")
+    )
+    lists = [F.coalesce(c, none).alias(c) for c in ("chunks", "tables", "images")]
+    return joined.select("query_id", "rank", "page_id", "doc_id", "doc_title", "page_no", F.col("bundle").alias("page_score"), F.col("rerank").alias("rerank_score"), "page_summary", *lists)
+
+
+def holding(passages: DataFrame, index: Index, texts: DataFrame, fold: bool = True) -> DataFrame:
+    """``(query_id, id)``: texts that hold a passage ``(query_id, query)`` letter by letter.
+
+    A text that holds a passage holds every token inside it, so only the texts of the passage's rarest token are read.
+    Tokens at its ends may go on in the text, and whole runs of Han characters too, so pairs and triples inside stand for them.
+    """
+    body = T.strip(F.col("query"))
+    inner = passages.withColumn("query", F.regexp_replace(body, rf"^[A-Za-z0-9._:/-]+|[A-Za-z0-9._:/-]+$", ""))
+    q, found = hits(inner, index, fold)
+    sure = q.where((F.length("token") <= 3) | ~F.col("token").rlike(f"^[{T.HAN}]"))
+    df = found.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = sure.join(df, "token").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    some = found.join(F.broadcast(rarest), "token").select("query_id", "id")  # of the stated passages
+    read = texts.select("id", "text").join(some, "id").join(F.broadcast(passages), "query_id")
+    return read.where(F.contains(F.col("text"), F.col("query"))).select("query_id", "id").distinct()
 
 
 def retrieval_quality(found: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:

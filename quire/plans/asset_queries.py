@@ -65,7 +65,7 @@ def page_context(spark, sf_dir):
 
 @register("rerank_gap", f"WITH {R._bm25_sql(R._DOC_TEXTS)}, m AS (SELECT query_id, id, score, max(score) OVER (PARTITION BY query_id) AS best, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sparse) SELECT query_id, id, score, rank FROM m WHERE (score >= -2.0 AND score >= best - 3.5 OR rank = 1) AND rank <= 10")
 def rerank_gap(spark, sf_dir):
-    return assets.rerank_kept(search.bm25(R._questions(spark, sf_dir), R._corpus_texts(spark, sf_dir), fold=False))
+    return assets.rerank_kept(search.bm25(R._questions(spark, sf_dir), R._corpus_index(spark, sf_dir), fold=False))
 
 
 @register("media_budget")

@@ -32,9 +32,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p6_found": p6_found}
 
 _P1 = """
-WITH status AS (
+WITH status AS MATERIALIZED (
   {status}
-), refs AS (
+), refs AS MATERIALIZED (
   SELECT DISTINCT 'page_ids' AS ref_field, 'doc_records' AS st, 'page_records' AS tt, doc_id AS source_id, unnest(page_ids) AS target_id FROM doc_records
   UNION SELECT DISTINCT 'chunk_ids', 'page_records', 'chunk_records', page_id, unnest(chunk_ids) FROM page_records
   UNION SELECT DISTINCT 'table_ids_on_page', 'chunk_records', 'table_records', chunk_id, unnest(table_ids_on_page) FROM chunk_records

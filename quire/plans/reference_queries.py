@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +61,7 @@ _FILE_KIND = f"CASE WHEN {_KIND} LIKE 'ppt%' THEN 'pptx' WHEN {_KIND} LIKE 'doc%
 _rule("canonical_file_type", "text_rows", "row_key", "file_type", T.file_kind, _FILE_KIND)
 _DIR = f"array_to_string(list_filter(string_split(replace({strip('directory')}, '\\', '/'), '/'), lambda p: p <> '' AND p <> 'source_data')[-2:], '/')"
 _rule("dir_key", "text_rows", "row_key", "directory", T.directory_key, _DIR)
-_PAGE_NO = f"coalesce(try_cast(regexp_extract({strip('page_no')}, '(\\d+)', 1) AS INTEGER), 0)"
+_PAGE_NO = f"coalesce(try_cast(regexp_extract({strip('page_no')}, '(\\d+)', 1) AS BIGINT), 0)"
 _rule("safe_int_parse", "text_rows", "row_key", "page_no", T.first_int, _PAGE_NO)
 _STEM = "regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '(?i)\\.(png|jpe?g|gif|bmp|webp|md|pdf|docx?|pptx?|xlsx?)$', '')"
 _rule("canonical_label", "asset_refs", "asset_id", "rel_path", T.label, f"array_to_string(list_transform(regexp_extract_all(lower({_STEM}), '(\\d+|\\D+)', 1), lambda p: CASE WHEN regexp_matches(p, '^\\d+$') THEN coalesce(nullif(regexp_replace(p, '^0+', ''), ''), '0') ELSE regexp_replace(p, '[{WS}_\\-.]+', '', 'g') END), '')")
@@ -130,7 +130,11 @@ def asset_uid_suffix(spark, sf_dir):
     return corpus.asset_uids(table(spark, sf_dir, "asset_refs"))
 
 
-@register("doc_signature", f"""SELECT {_DIR} AS dir_key, file_name, sha256(string_agg(sha256(coalesce(text_id, '') || chr(1) || coalesce(keywords, '') || chr(1) || coalesce(text_content, '')), ',' ORDER BY row_index NULLS FIRST, row_key)) AS signature, count(*) AS n_rows FROM text_rows GROUP BY 1, 2""")
+_DIGEST = "sha256(coalesce(CAST(row_index AS VARCHAR), '') || chr(1) || row_key || chr(1) || coalesce(text_id, '') || chr(1) || coalesce(keywords, '') || chr(1) || coalesce(text_content, ''))"
+_SIGNATURE = f"CAST(sum(CAST('0x' || substring({_DIGEST}, 1, 15) AS HUGEINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substring({_DIGEST}, 16, 15) AS HUGEINT)) AS VARCHAR) || '-' || count(*)"
+
+
+@register("doc_signature", f"SELECT {_DIR} AS dir_key, file_name, {_SIGNATURE} AS signature, count(*) AS n_rows FROM text_rows GROUP BY 1, 2")
 def doc_signature(spark, sf_dir):
     return corpus.document_signatures(table(spark, sf_dir, "text_rows"))
 
@@ -158,9 +162,9 @@ _KEYS = {"doc_records": "doc_id", "page_records": "page_id", "chunk_records": "c
 _COLUMNS = {
     "doc": ["doc_id", "doc_title", "doc_summary", "top_keywords", "page_ids"],
     "page": ["page_id", "doc_id", "page_no", "doc_title", "page_summary", "page_keywords", "table_ids", "image_ids"],
-    "chunk": ["chunk_id", "page_id", "doc_id", "doc_title", "heading", "chunk_order", "chunk_text_clean", "keywords", "table_ids_on_page", "image_ids_on_page"],
-    "table": ["table_id", "page_id", "doc_id", "doc_title", "table_title", "table_headers", "table_summary", "keywords"],
-    "image": ["image_id", "page_id", "image_title", "keywords"],
+    "chunk": ["chunk_id", "page_id", "doc_id", "doc_title", "heading", "chunk_order", "chunk_text_clean", "chunk_text_display", "keywords", "table_ids_on_page", "image_ids_on_page"],
+    "table": ["table_id", "page_id", "doc_id", "doc_title", "table_title", "table_headers", "table_summary", "keywords", "asset_path"],
+    "image": ["image_id", "page_id", "image_title", "image_path", "keywords"],
 }
 
 
@@ -199,7 +203,7 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _state(where: str) -> str:
-    return "SELECT file_name, min(signature) AS signature FROM (SELECT file_name, sha256(string_agg(sha256(coalesce(text_id, '') || chr(1) || coalesce(keywords, '') || chr(1) || coalesce(text_content, '')), ',' ORDER BY row_index NULLS FIRST, row_key)) AS signature FROM text_rows WHERE " + where + " GROUP BY " + _DIR + ", file_name) GROUP BY file_name"
+    return f"SELECT file_name, min(signature) AS signature FROM (SELECT file_name, {_SIGNATURE} AS signature FROM text_rows WHERE {where} GROUP BY {_DIR}, file_name) GROUP BY file_name"
 
 
 @register("doc_changes", f"WITH b AS ({_state("extracted_at < '2025-07-01'")}), a AS ({_state("extracted_at >= '2025-03-01'")}) SELECT file_name, CASE WHEN b.signature IS NULL THEN 'added' WHEN a.signature IS NULL THEN 'stale' WHEN a.signature = b.signature THEN 'unchanged' ELSE 'changed' END AS change FROM b FULL JOIN a USING (file_name)")
@@ -220,17 +224,27 @@ def orphan_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("origin_doc_id IS NOT NULL").select("origin_doc_id").distinct().join(known, "origin_doc_id", "left_anti")
 
 
-@register("asset_group_fallback", f"""WITH a AS (SELECT DISTINCT asset_id, coalesce(regexp_extract(asset_id, '^(.*?):(?:image|table):', 1), '') AS doc FROM asset_refs WHERE asset_id IS NOT NULL),
-r AS (SELECT asset_id, regexp_extract(rel_path, '^(?:.*/)?([^/]+/[^/]+)/[^/]*$', 1) AS dir_key, 'pdf' AS kind, lower(regexp_replace(doc, '[{WS}]+', '', 'g')) AS name FROM a JOIN (SELECT asset_id, min(rel_path) AS rel_path FROM asset_refs GROUP BY 1) USING (asset_id)),
-g AS (SELECT DISTINCT {_DIR} AS dir_key, {_FILE_KIND} AS kind, {_NAME} AS name FROM text_rows), gi AS (SELECT *, dir_key || '/' || kind || '/' || name AS group_id FROM g),
-n AS (SELECT name, min(group_id) AS g FROM gi GROUP BY 1 HAVING count(*) = 1), k AS (SELECT dir_key, kind, min(group_id) AS g FROM gi GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT r.asset_id, coalesce(e.group_id, n.g, k.g, r.dir_key || '/' || r.kind || '/' || r.name) AS group_id, CASE WHEN e.group_id IS NOT NULL THEN 'exact' WHEN n.g IS NOT NULL THEN 'name' WHEN k.g IS NOT NULL THEN 'directory' ELSE 'own' END AS matched_by
-FROM r LEFT JOIN gi e ON e.dir_key = r.dir_key AND e.kind = r.kind AND e.name = r.name LEFT JOIN n ON n.name = r.name LEFT JOIN k ON k.dir_key = r.dir_key AND k.kind = r.kind""")
+_GROUPS = f"gi AS (SELECT DISTINCT dir_key, kind, name, dir_key || '/' || kind || '/' || name AS group_id FROM (SELECT {_DIR} AS dir_key, {_FILE_KIND} AS kind, {_NAME} AS name FROM text_rows))"
+
+
+@register("asset_group_fallback", f"""WITH d AS (SELECT doc_id, min(category) AS category FROM doc_records WHERE doc_id IS NOT NULL GROUP BY 1), x AS (SELECT doc_id, min(lower(ext)) AS ext FROM chunk_records WHERE doc_id IS NOT NULL AND ext <> '' GROUP BY 1),
+w AS (SELECT {_DIR} AS dir_key, min(row_key) AS k FROM text_rows GROUP BY 1), c AS (SELECT split_part(dir_key, '/', 1) AS category, min(dir_key) AS dir_key FROM w GROUP BY 1),
+r AS (SELECT asset_id, coalesce(c.dir_key, '') AS dir_key, coalesce(regexp_replace(x.ext, '^[.]', ''), '') AS kind, lower(regexp_replace(doc, '[{WS}]+', '', 'g')) AS name FROM (SELECT DISTINCT asset_id, coalesce(regexp_extract(asset_id, '^(.*?):(?:image|table):', 1), '') AS doc FROM asset_refs WHERE asset_id IS NOT NULL) LEFT JOIN d ON d.doc_id = doc LEFT JOIN x ON x.doc_id = doc LEFT JOIN c ON c.category = d.category),
+{_GROUPS}, n AS (SELECT name, min(group_id) AS g FROM gi GROUP BY 1 HAVING count(*) = 1), k AS (SELECT dir_key, kind, min(group_id) AS g FROM gi GROUP BY 1, 2 HAVING count(*) = 1), t AS (SELECT kind, min(group_id) AS g FROM gi GROUP BY 1 HAVING count(*) = 1),
+f AS (SELECT a.name, min(group_id) AS g FROM (SELECT DISTINCT name FROM r WHERE name <> '') a JOIN gi ON contains(gi.name, a.name) OR contains(a.name, gi.name) GROUP BY 1 HAVING count(*) = 1)
+SELECT r.asset_id, coalesce(e.group_id, n.g, k.g, t.g, f.g, r.dir_key || '/' || r.kind || '/' || r.name) AS group_id, CASE WHEN e.group_id IS NOT NULL THEN 'exact' WHEN n.g IS NOT NULL THEN 'name' WHEN k.g IS NOT NULL THEN 'directory' WHEN t.g IS NOT NULL THEN 'kind' WHEN f.g IS NOT NULL THEN 'part of name' ELSE 'own' END AS matched_by
+FROM r LEFT JOIN gi e ON e.dir_key = r.dir_key AND e.kind = r.kind AND e.name = r.name LEFT JOIN n ON n.name = r.name LEFT JOIN k ON k.dir_key = r.dir_key AND k.kind = r.kind LEFT JOIN t ON t.kind = r.kind LEFT JOIN f ON f.name = r.name""")
 def asset_group_fallback(spark, sf_dir):
-    refs = table(spark, sf_dir, "asset_refs").where("asset_id IS NOT NULL").groupBy("asset_id").agg(F.min("rel_path").alias("rel_path"))
-    assets = refs.select("asset_id", F.regexp_extract("rel_path", r"^(?:.*/)?([^/]+/[^/]+)/[^/]*$", 1).alias("dir_key"), F.lit("pdf").alias("kind"), T.name_token(F.regexp_extract("asset_id", r"^(.*?):(?:image|table):", 1)).alias("name"))
-    groups = corpus.document_groups(table(spark, sf_dir, "text_rows")).select("dir_key", "kind", "name", F.concat_ws("/", "dir_key", "kind", "name").alias("group_id"))
-    return corpus.matched_groups(assets, groups)
+    """Assets by the directory of their document's knowledge base, the kind of its file and its name."""
+    rows = table(spark, sf_dir, "text_rows")
+    docs = table(spark, sf_dir, "doc_records").where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.min("category").alias("category"))
+    kinds = table(spark, sf_dir, "chunk_records").where("doc_id IS NOT NULL AND ext <> ''").groupBy(F.col("doc_id").alias("doc")).agg(F.min(F.lower("ext")).alias("ext"))
+    places = rows.select(T.directory_key(F.col("directory")).alias("dir_key")).distinct().groupBy(F.split_part("dir_key", F.lit("/"), F.lit(1)).alias("category")).agg(F.min("dir_key").alias("dir_key"))
+    refs = table(spark, sf_dir, "asset_refs").where("asset_id IS NOT NULL").select("asset_id", F.coalesce(F.regexp_extract("asset_id", r"^(.*?):(?:image|table):", 1), F.lit("")).alias("doc")).distinct()
+    known = refs.join(docs, "doc", "left").join(kinds, "doc", "left").join(places, "category", "left")
+    found = known.select("asset_id", F.coalesce("dir_key", F.lit("")).alias("dir_key"), F.coalesce(F.regexp_replace("ext", "^[.]", ""), F.lit("")).alias("kind"), T.name_token(F.col("doc")).alias("name"))
+    groups = corpus.document_groups(rows).select("dir_key", "kind", "name", F.concat_ws("/", "dir_key", "kind", "name").alias("group_id"))
+    return corpus.matched_groups(found, groups)
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------
@@ -273,20 +287,29 @@ def _corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.lit("doc").alias("level"), F.col("doc_id").alias("id"), "text")
 
 
+def _paths(sf_dir: str, *names: str) -> list[str]:
+    return [f"{sf_dir}/{n}.parquet" for n in names]
+
+
+def _corpus_index(spark: SparkSession, sf_dir: str, fold: bool = False) -> search.Index:
+    return search.index(_corpus_texts(spark, sf_dir), "documents", _paths(sf_dir, "documents"), fold)
+
+
+def _level_index(spark: SparkSession, sf_dir: str, s: dict[str, DataFrame], fold: bool = False) -> search.Index:
+    return search.index(_levels(s), "levels", _paths(sf_dir, *(n for n in _KEYS if n != "image_records")), fold)
+
+
 def _tokens(x: str) -> str:
     t = f"lower({strip(lines(x))})"
     runs = f"list_transform(regexp_extract_all({t}, '([{HAN}]+)', 1), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_concat([r], list_transform(range(1, length(r)), lambda i: substring(r, i, 2)), list_transform(range(1, length(r) - 1), lambda i: substring(r, i, 3))) END)"
     return f"list_concat(regexp_extract_all({t}, '{T.TOKEN}', 1), flatten({runs}))"
 
 
-def _bm25_sql(texts: str, okapi: bool = False) -> str:
-    ratio = "(n - df + 0.5) / (df + 0.5)"
-    idf = f"ln({ratio})" if okapi else f"ln(1 + {ratio})"
-    fixed = "CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY level) ELSE raw END" if okapi else "raw"
+def _bm25_sql(texts: str, items: str = 'eval_items') -> str:
     return f"""texts AS ({texts}), toks AS (SELECT level, id, {_tokens('text')} AS t FROM texts), stats AS (SELECT level, count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM toks GROUP BY 1),
-qt AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens('query')}) AS token FROM eval_items) GROUP BY 1, 2),
+qt AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens('query')}) AS token FROM {items}) GROUP BY 1, 2),
 tf AS (SELECT level, id, dl, token, count(*) AS tf FROM (SELECT level, id, len(t) AS dl, unnest(t) AS token FROM toks) WHERE token IN (SELECT token FROM qt) GROUP BY 1, 2, 3, 4),
-dfs AS (SELECT level, token, count(*) AS df FROM tf GROUP BY 1, 2), raws AS (SELECT level, token, avgdl, {idf} AS raw FROM dfs JOIN stats USING (level)), idfs AS (SELECT level, token, avgdl, {fixed} AS idf FROM raws),
+dfs AS (SELECT level, token, count(*) AS df FROM tf GROUP BY 1, 2), idfs AS (SELECT level, token, avgdl, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM dfs JOIN stats USING (level)),
 sparse AS (SELECT * FROM (SELECT query_id, level, id, round(sum(idf * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idfs USING (level, token) JOIN qt USING (token) GROUP BY 1, 2, 3) WHERE score > 0)"""
 
 
@@ -305,7 +328,7 @@ def doc_freq(spark, sf_dir):
 
 @register("bm25_stats", f"SELECT 'doc' AS level, count(*) AS n, sum(len({_tokens('text')})) / count(*) AS avgdl FROM documents")
 def bm25_stats(spark, sf_dir):
-    return search.level_stats(_corpus_texts(spark, sf_dir), fold=False)
+    return _corpus_index(spark, sf_dir).stats
 
 
 _TOP = "SELECT query_id, level, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, id) AS INTEGER) AS rank FROM sparse) WHERE rank <= {k}"
@@ -313,18 +336,25 @@ _TOP = "SELECT query_id, level, id, score, rank FROM (SELECT *, CAST(row_number(
 
 @register("bm25_doc_topk", f"WITH {_bm25_sql(_DOC_TEXTS)} " + _TOP.format(k=50))
 def bm25_doc_topk(spark, sf_dir):
-    return search.top(search.bm25(_questions(spark, sf_dir), _corpus_texts(spark, sf_dir), fold=False), ["query_id", "level"], 50)
+    return search.top(search.bm25(_questions(spark, sf_dir), _corpus_index(spark, sf_dir), fold=False), ["query_id", "level"], 50)
 
 
-@register("bm25_okapi_topk", f"WITH {_bm25_sql(_DOC_TEXTS, True)} " + _TOP.format(k=50))
+@register("bm25_okapi_topk", f"""WITH texts AS ({_DOC_TEXTS}), toks AS (SELECT level, id, {_tokens('text')} AS t FROM texts), stats AS (SELECT level, count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM toks GROUP BY 1),
+qt AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens('query')}) AS token FROM eval_items) GROUP BY 1, 2),
+tf AS (SELECT level, id, dl, token, count(*) AS tf FROM (SELECT level, id, len(t) AS dl, unnest(t) AS token FROM toks) GROUP BY 1, 2, 3, 4),
+raws AS (SELECT level, token, avgdl, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT level, token, count(*) AS df FROM tf GROUP BY 1, 2) JOIN stats USING (level)), idfs AS (SELECT level, token, avgdl, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY level) ELSE raw END AS idf FROM raws),
+scored AS (SELECT query_id, level, id, round(sum(idf * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idfs USING (level, token) JOIN qt USING (token) GROUP BY 1, 2, 3),
+every AS (SELECT query_id, level, id, coalesce(score, 0.0) AS score FROM (SELECT item_id AS query_id, level, id FROM eval_items, (SELECT DISTINCT level, id FROM tf)) LEFT JOIN scored USING (query_id, level, id))
+SELECT query_id, level, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, id) AS INTEGER) AS rank FROM every) WHERE rank <= 50""")
 def bm25_okapi_topk(spark, sf_dir):
-    return search.top(search.bm25(_questions(spark, sf_dir), _corpus_texts(spark, sf_dir), fold=False, okapi=True), ["query_id", "level"], 50)
+    """By the classic weights; texts without a score fill up what is left of the 50."""
+    return search.bm25_okapi(_questions(spark, sf_dir), _corpus_index(spark, sf_dir), 50, fold=False)
 
 
 @register("bm25_doc_folded")
 def bm25_doc_folded(spark, sf_dir):
     """With compatibility forms folded, which SQL cannot express."""
-    return search.top(search.bm25(_questions(spark, sf_dir), _corpus_texts(spark, sf_dir)), ["query_id", "level"], 50)
+    return search.top(search.bm25(_questions(spark, sf_dir), _corpus_index(spark, sf_dir, fold=True)), ["query_id", "level"], 50)
 
 
 _KW = "coalesce(array_to_string({}, '、'), '')"
@@ -343,32 +373,62 @@ def embedding_texts(spark, sf_dir):
     return _levels(_store(spark, sf_dir))
 
 
-def _scores(spark: SparkSession, sf_dir: str, s: dict[str, DataFrame], fold: bool = False) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the other names of what they ask for."""
+    return search.expand_aliases(_questions(spark, sf_dir), ALIASES)
+
+
+#: Other names of what questions ask for; a parameter of retrieval.
+ALIASES = {"报废率": ("次品率",), "scrap rate": ("reject rate",)}
+
+
+def _scores(spark: SparkSession, sf_dir: str, s: dict[str, DataFrame], near: DataFrame | None = None) -> DataFrame:
     """Scores of all levels, read again by several branches, so behind a checkpoint."""
-    return cut(search.combined(search.bm25(_questions(spark, sf_dir), _levels(s), fold), None, _questions(spark, sf_dir).select("query_id", T.figure_bias(F.col("query")).alias("bias"))))
+    asked = _asked(spark, sf_dir)
+    return cut(search.combined(search.bm25(asked, _level_index(spark, sf_dir, s), fold=False), near, asked.select("query_id", T.figure_bias(F.col("query")).alias("bias"))))
+
+
+_ASKED = strip("query")
+for _alias, _others in ALIASES.items():
+    for _other in _others:
+        _ASKED = f"(SELECT CASE WHEN contains(q, '{_alias}') AND NOT contains(q, '{_other}') THEN q || ' {_other}' ELSE q END FROM (SELECT {_ASKED} AS q))"
 
 
 _BIAS = "CASE WHEN " + " OR ".join(f"contains(lower(query), '{t}')" for t in T.FIGURE_TERMS) + " THEN 0.15 ELSE 0.0 END"
-_SCORES = f"""{_CTE}, {_bm25_sql(_LEVELS)}, mm AS (SELECT query_id, level, min(score) AS lo, max(score) AS hi FROM sparse GROUP BY 1, 2),
-al AS (SELECT item_id AS query_id, level, CASE level WHEN 'doc' THEN 0.65 WHEN 'page' THEN 0.60 WHEN 'chunk' THEN 0.25 ELSE least(0.75, 0.60 + {_BIAS}) END::DOUBLE AS alpha FROM eval_items, (VALUES ('doc'), ('page'), ('chunk'), ('table')) l(level)),
-scores AS (SELECT query_id, level, id, round((1 - alpha) * CASE WHEN hi - lo <= 1e-9 * greatest(abs(lo), abs(hi)) THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END, 6) AS score FROM sparse JOIN mm USING (query_id, level) JOIN al USING (query_id, level)),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, id) AS r FROM scores WHERE score > 0) WHERE r <= CASE level WHEN 'doc' THEN 8 WHEN 'page' THEN 20 WHEN 'chunk' THEN 40 ELSE 16 END),
+_ITEMS = f"asked AS (SELECT item_id, {_ASKED} AS query FROM eval_items)"
+_SPARSE = f"{_CTE}, {_ITEMS}, {_bm25_sql(_LEVELS, items='asked')}"
+_SCORES = f"""{_SPARSE}, mm AS (SELECT query_id, level, min(score) AS lo, max(score) AS hi FROM sparse GROUP BY 1, 2),
+al AS (SELECT item_id AS query_id, level, CASE level WHEN 'doc' THEN 0.65 WHEN 'page' THEN 0.60 WHEN 'chunk' THEN 0.25 ELSE least(0.75, 0.60 + {_BIAS}) END::DOUBLE AS alpha FROM asked, (VALUES ('doc'), ('page'), ('chunk'), ('table')) l(level)),
+scores AS (SELECT query_id, level, id, round((1 - alpha) * CASE WHEN hi - lo <= 1e-9 * greatest(abs(lo), abs(hi)) THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END, 6) AS score FROM sparse JOIN mm USING (query_id, level) JOIN al USING (query_id, level))"""
+_FROM_SCORES = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, id) AS r FROM scores WHERE score > 0) WHERE r <= CASE level WHEN 'doc' THEN 8 WHEN 'page' THEN 20 WHEN 'chunk' THEN 40 ELSE 16 END),
 below AS (SELECT query_id, page_id, doc_id FROM best JOIN chunks ON level = 'chunk' AND id = chunk_id UNION ALL SELECT query_id, page_id, doc_id FROM best JOIN tabs ON level = 'table' AND id = table_id),
 fd AS (SELECT query_id, id AS doc_id FROM best WHERE level = 'doc' UNION SELECT query_id, doc_id FROM below),
 cand AS (SELECT DISTINCT query_id, page_id FROM (SELECT query_id, id AS page_id FROM best WHERE level = 'page' UNION SELECT query_id, page_id FROM below UNION SELECT query_id, unnest(page_ids[1:2]) FROM fd JOIN docs USING (doc_id)) WHERE page_id IN (SELECT page_id FROM pages))"""
+
+
 def _low(c: str) -> str:
     return f"(({strip(c)} = '') OR regexp_matches({strip(c)}, '{'|'.join(T.EMPTY_PHRASES)}'))"
 
 
-_BUNDLES = f"""{_SCORES}, says AS (SELECT page_id, max(CAST(NOT {_low('chunk_text_clean')} AS INT)) AS says FROM chunks GROUP BY 1),
+_SHOWN = "coalesce(nullif(chunk_text_clean, ''), chunk_text_display)"
+
+
+def _bundles_sql(scores: str) -> str:
+    return f"""{scores}, {_FROM_SCORES}, says AS (SELECT page_id, max(CAST(NOT {_low(_SHOWN)} AS INT)) AS says FROM chunks GROUP BY 1),
 sig AS (SELECT page_id, doc_id, regexp_matches({strip('page_summary')}, '(?i)^page\\s+\\d+\\s+of\\s+.+$') AND coalesce(says, 0) = 0 AS low_signal, len(list_filter(list_concat(coalesce(table_ids, []), coalesce(image_ids, [])), lambda x: x <> '')) > 0 AS has_assets FROM pages LEFT JOIN says USING (page_id)),
 cs AS (SELECT query_id, page_id, max(score) AS c FROM scores JOIN chunks ON level = 'chunk' AND id = chunk_id GROUP BY 1, 2), ts AS (SELECT query_id, page_id, max(score) AS t FROM scores JOIN tabs ON level = 'table' AND id = table_id GROUP BY 1, 2),
 bundles AS (SELECT cand.query_id, cand.page_id, sig.doc_id, round((greatest(coalesce(p.score, 0), 0.45 * coalesce(p.score, 0) + 0.25 * coalesce(d.score, 0)) + 0.55 * coalesce(c, 0) + 0.35 * coalesce(t, 0)) * CASE WHEN low_signal THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END + 1e-9, 4) AS bundle
 FROM cand JOIN sig ON sig.page_id = cand.page_id LEFT JOIN scores p ON p.query_id = cand.query_id AND p.level = 'page' AND p.id = cand.page_id LEFT JOIN scores d ON d.query_id = cand.query_id AND d.level = 'doc' AND d.id = sig.doc_id LEFT JOIN cs ON cs.query_id = cand.query_id AND cs.page_id = cand.page_id LEFT JOIN ts ON ts.query_id = cand.query_id AND ts.page_id = cand.page_id WHERE NOT low_signal OR has_assets)"""
-_RANKED = f"""{_BUNDLES}, firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bundle DESC, page_id) AS o FROM bundles), twelve AS (SELECT *, CAST(count(*) OVER (PARTITION BY query_id) - o + 1 AS DOUBLE) AS rerank FROM firsts WHERE o <= 15),
+
+
+def _ranked_sql(scores: str) -> str:
+    return f"""{_bundles_sql(scores)}, firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bundle DESC, page_id) AS o FROM bundles), twelve AS (SELECT *, CAST(count(*) OVER (PARTITION BY query_id) - o + 1 AS DOUBLE) AS rerank FROM firsts WHERE o <= 15),
 ranked AS (SELECT query_id, page_id, doc_id, bundle, rerank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, bundle DESC, page_id) AS INTEGER) AS rank FROM twelve QUALIFY rank <= 5)"""
 
 
+_BUNDLES, _RANKED = _bundles_sql(_SCORES), _ranked_sql(_SCORES)
+
+
 def _bundles(spark, sf_dir, s, scores):
     candidates = search.candidate_pages(scores, s["doc"], s["page"], s["chunk"], s["table"])
     return search.page_bundles(scores, candidates, search.low_signal_pages(s["page"], s["chunk"]), s["chunk"], s["table"])
@@ -378,13 +438,13 @@ def _ranked(spark, sf_dir, s, scores):
     return cut(search.ranked_pages(_bundles(spark, sf_dir, s, scores)))
 
 
-@register("combine_scores", f"WITH {_SCORES} SELECT query_id, level, id, score FROM best")
+@register("combine_scores", f"WITH {_SCORES}, {_FROM_SCORES} SELECT query_id, level, id, score FROM best")
 def combine_scores(spark, sf_dir):
     limit = F.create_map(*(x for level, k in search.TOP.items() for x in (F.lit(level), F.lit(k))))[F.col("level")]
     return search.top(_scores(spark, sf_dir, _store(spark, sf_dir, once=True)).where("score > 0"), ["query_id", "level"], limit).drop("rank")
 
 
-@register("low_signal_page", f"""WITH {_CTE}, says AS (SELECT page_id, max(CAST(NOT {_low('chunk_text_clean')} AS INT)) AS says FROM chunks GROUP BY 1)
+@register("low_signal_page", f"""WITH {_CTE}, says AS (SELECT page_id, max(CAST(NOT {_low(_SHOWN)} AS INT)) AS says FROM chunks GROUP BY 1)
 SELECT page_id, doc_id, regexp_matches({strip('page_summary')}, '(?i)^page\\s+\\d+\\s+of\\s+.+$') AND coalesce(says, 0) = 0 AS low_signal, len(list_filter(list_concat(coalesce(table_ids, []), coalesce(image_ids, [])), lambda x: x <> '')) > 0 AS has_assets FROM pages LEFT JOIN says USING (page_id)""")
 def low_signal_page(spark, sf_dir):
     s = _store(spark, sf_dir)
@@ -403,20 +463,55 @@ def lexical_search_top5(spark, sf_dir):
     return _ranked(spark, sf_dir, s, _scores(spark, sf_dir, s))
 
 
-_RELS = "rels AS (SELECT * FROM (SELECT DISTINCT chunk_id, unnest(table_ids_on_page) AS asset_id, 'table' AS asset_type FROM chunks UNION SELECT DISTINCT chunk_id, unnest(image_ids_on_page), 'image' FROM chunks) WHERE asset_id <> ''), ass AS (SELECT table_id AS asset_id, 'table' AS asset_type, keywords AS asset_keywords FROM tabs UNION ALL SELECT image_id, 'image', keywords FROM imgs)"
 _OV = "CASE WHEN len(list_distinct(coalesce({a}, []))) = 0 OR len(list_distinct(coalesce({b}, []))) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({a}), list_distinct({b}))) / least(len(list_distinct({a})), len(list_distinct({b}))) END"
 
 
-@register("asset_selection", f"""WITH {_RANKED}, {_RELS}, ch AS (SELECT * FROM (SELECT r.query_id, r.page_id, r.bundle, c.chunk_id, c.keywords, c.chunk_text_clean, row_number() OVER (PARTITION BY r.query_id, r.page_id ORDER BY coalesce(s.score, 0) DESC, c.chunk_id) AS n
-FROM ranked r JOIN chunks c USING (page_id) LEFT JOIN scores s ON s.query_id = r.query_id AND s.level = 'chunk' AND s.id = c.chunk_id) WHERE n <= 3),
-sc AS (SELECT query_id, page_id, asset_type, asset_id, round(max(CASE WHEN asset_type = 'table' THEN 0.45 * 0.55 + 0.35 * {_OV.format(a='keywords', b='asset_keywords')} + 0.20 * bundle ELSE 0.45 * 0.55 + 0.30 * {_OV.format(a='keywords', b='asset_keywords')} + 0.15 * bundle + CASE WHEN regexp_matches(coalesce(chunk_text_clean, ''), '{T.REFERENCE_SIGNAL}') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END END) + 1e-9, 4) AS score FROM ch JOIN rels USING (chunk_id) JOIN ass USING (asset_id, asset_type) GROUP BY 1, 2, 3, 4),
-ow AS (SELECT sc.query_id, page_id, asset_type, asset_id, greatest(sc.score, coalesce(s.score, 0)) AS score FROM sc LEFT JOIN scores s ON s.query_id = sc.query_id AND s.level = 'table' AND sc.asset_type = 'table' AND s.id = sc.asset_id)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, page_id, asset_type ORDER BY score DESC, asset_id) AS INTEGER) AS rank FROM ow WHERE score >= CASE WHEN asset_type = 'table' THEN 0.18 ELSE 0.30 END) WHERE rank <= 3""")
+def _assets_sql(scores: str) -> str:
+    """Ranked pages, their best chunks ``ch`` and the assets ``picked`` beside them."""
+    return f"""{_ranked_sql(scores)}, rels AS (SELECT * FROM (SELECT DISTINCT chunk_id, unnest(table_ids_on_page) AS asset_id, 'table' AS asset_type FROM chunks UNION SELECT DISTINCT chunk_id, unnest(image_ids_on_page), 'image' FROM chunks) WHERE asset_id <> ''),
+ass AS (SELECT table_id AS asset_id, 'table' AS asset_type, keywords AS asset_keywords FROM tabs UNION ALL SELECT image_id, 'image', keywords FROM imgs),
+ch AS (SELECT r.query_id, r.page_id, r.bundle, c.chunk_id, c.keywords, c.chunk_text_clean, c.chunk_text_display, s.score AS chunk_score, CAST(row_number() OVER (PARTITION BY r.query_id, r.page_id ORDER BY s.score DESC, c.chunk_id) AS INTEGER) AS n FROM ranked r JOIN chunks c USING (page_id) JOIN scores s ON s.query_id = r.query_id AND s.level = 'chunk' AND s.id = c.chunk_id WHERE s.score > 0 QUALIFY n <= 3),
+rel AS (SELECT query_id, page_id, asset_type, asset_id, round(max(CASE WHEN asset_type = 'table' THEN 0.45 * 0.55 + 0.35 * {_OV.format(a='keywords', b='asset_keywords')} + 0.20 * bundle ELSE 0.45 * 0.55 + 0.30 * {_OV.format(a='keywords', b='asset_keywords')} + 0.15 * bundle + CASE WHEN regexp_matches(coalesce(chunk_text_clean, ''), '{T.REFERENCE_SIGNAL}') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END END) + 1e-9, 4) AS score, CAST(NULL AS DOUBLE) AS own FROM ch JOIN rels USING (chunk_id) JOIN ass USING (asset_id, asset_type) GROUP BY 1, 2, 3, 4),
+self AS (SELECT r.query_id, r.page_id, 'table' AS asset_type, t.table_id AS asset_id, coalesce(s.score, 0.0) AS score, coalesce(s.score, 0.0) AS own FROM ranked r JOIN tabs t USING (page_id) LEFT JOIN scores s ON s.query_id = r.query_id AND s.level = 'table' AND s.id = t.table_id),
+cand_assets AS (SELECT query_id, page_id, asset_type, asset_id, max(score) AS score, max(own) AS own FROM (SELECT * FROM rel UNION ALL SELECT * FROM self) GROUP BY 1, 2, 3, 4),
+marked AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id, asset_type ORDER BY own DESC NULLS LAST, asset_id) AS o FROM cand_assets),
+picked AS (SELECT query_id, page_id, asset_type, asset_id, score, CAST(row_number() OVER (PARTITION BY query_id, page_id, asset_type ORDER BY score DESC, asset_id) AS INTEGER) AS rank FROM marked WHERE asset_type = 'table' AND own > 0 AND o <= 2 OR score >= CASE WHEN asset_type = 'table' THEN 0.18 ELSE 0.30 END QUALIFY rank <= 3)"""
+
+
+def _selected(s: dict[str, DataFrame], scores: DataFrame, ranked: DataFrame) -> DataFrame:
+    return search.selected_assets(ranked, scores, s["chunk"], corpus.relations(s["chunk"], s["table"], s["image"]), s["table"], s["image"])
+
+
+@register("asset_selection", f"WITH {_assets_sql(_SCORES)} SELECT * FROM picked")
 def asset_selection(spark, sf_dir):
     s = _store(spark, sf_dir, once=True)
     scores = _scores(spark, sf_dir, s)
-    assets = s["table"].select(F.col("table_id").alias("asset_id"), F.lit("table").alias("asset_type"), "keywords").unionByName(s["image"].select(F.col("image_id").alias("asset_id"), F.lit("image").alias("asset_type"), "keywords"))
-    return search.selected_assets(_ranked(spark, sf_dir, s, scores), scores, _questions(spark, sf_dir), s["chunk"], corpus.relations(s["chunk"], s["table"], s["image"]), assets)
+    return _selected(s, scores, _ranked(spark, sf_dir, s, scores))
+
+
+def _results_sql(scores: str) -> str:
+    listed = lambda kind: f"coalesce((SELECT string_agg(asset_id || '=' || printf('%.6f', score), '|' ORDER BY rank) FROM picked p WHERE p.query_id = r.query_id AND p.page_id = r.page_id AND asset_type = '{kind}'), '')"
+    return f"""WITH {_assets_sql(scores)} SELECT r.query_id, r.rank, r.page_id, r.doc_id, pages.doc_title, pages.page_no, r.bundle AS page_score, r.rerank AS rerank_score, pages.page_summary,
+coalesce((SELECT string_agg(chunk_id || '=' || printf('%.6f', chunk_score), '|' ORDER BY n) FROM ch WHERE ch.query_id = r.query_id AND ch.page_id = r.page_id), '') AS chunks, {listed('table')} AS tables, {listed('image')} AS images FROM ranked r JOIN pages USING (page_id)"""
+
+
+def _flat(results: DataFrame) -> DataFrame:
+    """Nested results with each list as text, as SQL can compare them."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["id"], F.lit("="), F.format_string("%.6f", x["score"]))), "|").alias(c)
+    return results.select(*(c for c in results.columns if c not in ("chunks", "tables", "images")), *(text(c) for c in ("chunks", "tables", "images")))
+
+
+def search_results(spark: SparkSession, sf_dir: str, near: DataFrame | None = None) -> DataFrame:
+    """The nested results of all questions; ``near`` are scores of the dense side."""
+    s = _store(spark, sf_dir, once=True)
+    scores = _scores(spark, sf_dir, s, near)
+    ranked = _ranked(spark, sf_dir, s, scores)
+    return search.nested_results(ranked, s["page"], search.best_chunks(ranked, scores, s["chunk"]), _selected(s, scores, ranked))
+
+
+@register("search_results_lexical", _results_sql(_SCORES))
+def search_results_lexical(spark, sf_dir):
+    return _flat(search_results(spark, sf_dir))
 
 
 @register("related_assets", f"""WITH {_CTE}, ass AS (SELECT page_id, table_id AS asset_id, 'table' AS asset_type, coalesce(table_title, '') AS title, keywords AS ak FROM tabs UNION ALL SELECT page_id, image_id, 'image', coalesce(image_title, ''), keywords FROM imgs),
@@ -432,40 +527,102 @@ def related_assets(spark, sf_dir):
     return corpus.related_assets(chunks, assets)
 
 
-_VQ = f"vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM eval_items)), vd AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.query_id, v.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM vq q, embeddings v) QUALIFY rank <= 50)"
+def _vq(k: int) -> str:
+    return f"vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM eval_items)), vd AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.query_id, v.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM vq q, embeddings v) QUALIFY rank <= {k})"
 
 
-def _dense_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors nearest to those that stand for the questions; a vector stands for the document of its number."""
-    v = table(spark, sf_dir, "embeddings")
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that stand for the questions."""
     items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("vec_id"))
-    return search.dense(v.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("id"), "embedding"), 50)
+    return table(spark, sf_dir, "embeddings").join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _dense_items(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The vectors nearest to those that stand for the questions; a vector stands for the document of its number."""
+    return search.dense(_asked_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), k)
+
+
+#: Records of a level that the dense side finds: twice those that its ranking keeps.
+NEAR = {level: 2 * k for level, k in search.TOP.items()}
+
+
+def _level_vectors(spark: SparkSession, sf_dir: str, s: dict[str, DataFrame]) -> DataFrame:
+    """``(level, id, embedding)``: each record's vector is that of the number its id hashes to."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.agg((F.max("vec_id") + 1).alias("n"))
+    ids = reduce(DataFrame.unionByName, (s[kind].select(F.lit(kind).alias("level"), F.col(f"{kind}_id").alias("id")) for kind in search.TOP))
+    number = F.conv(F.substring(F.md5("id"), 1, 7), 16, 10).cast("bigint")
+    return ids.crossJoin(F.broadcast(n)).withColumn("vec_id", number % F.col("n")).join(vectors, "vec_id").select("level", "id", "embedding")  # one row on the right
 
 
-@register("rrf_fusion", f"WITH {_bm25_sql(_DOC_TEXTS)}, {_VQ}, bt AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sparse QUALIFY rank <= 50), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM bt UNION ALL SELECT query_id, id, rank FROM vd) GROUP BY 1, 2) SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 20")
+_DENSE_LEVELS = f"""vn AS (SELECT max(vec_id) + 1 AS n FROM embeddings), vids AS (SELECT 'doc' AS level, doc_id AS id FROM docs UNION ALL SELECT 'page', page_id FROM pages UNION ALL SELECT 'chunk', chunk_id FROM chunks UNION ALL SELECT 'table', table_id FROM tabs),
+vl AS (SELECT level, id, embedding FROM vids, vn JOIN embeddings ON vec_id = CAST('0x' || substring(md5(id), 1, 7) AS BIGINT) % n),
+vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM eval_items)),
+dns AS (SELECT query_id, level, id, score FROM (SELECT q.query_id, v.level, v.id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM vq q, vl v) QUALIFY row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, id) <= CASE level {' '.join(f"WHEN '{level}' THEN {k}" for level, k in NEAR.items())} END)"""
+_SCALED = "CASE WHEN hi - lo <= 1e-9 * greatest(abs(lo), abs(hi)) THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END"
+_HYBRID = f"""{_SPARSE}, {_DENSE_LEVELS}, sm AS (SELECT query_id, level, id, {_SCALED} AS s FROM sparse JOIN (SELECT query_id, level, min(score) AS lo, max(score) AS hi FROM sparse GROUP BY 1, 2) USING (query_id, level)),
+dm AS (SELECT query_id, level, id, {_SCALED} AS d FROM dns JOIN (SELECT query_id, level, min(score) AS lo, max(score) AS hi FROM dns GROUP BY 1, 2) USING (query_id, level)),
+al AS (SELECT item_id AS query_id, level, CASE level WHEN 'doc' THEN 0.65 WHEN 'page' THEN 0.60 WHEN 'chunk' THEN 0.25 ELSE least(0.75, 0.60 + {_BIAS}) END::DOUBLE AS alpha FROM asked, (VALUES ('doc'), ('page'), ('chunk'), ('table')) l(level)),
+scores AS (SELECT query_id, level, id, round(alpha * coalesce(d, 0.0) + (1 - alpha) * coalesce(s, 0.0), 6) AS score FROM sm FULL JOIN dm USING (query_id, level, id) JOIN al USING (query_id, level))"""
+
+
+@register("hybrid_search_top5", _results_sql(_HYBRID))
+def hybrid_search_top5(spark, sf_dir):
+    """The whole retrieval with the dense side on all four levels, as nested results."""
+    s = _store(spark, sf_dir)
+    near = search.dense_levels(_asked_vectors(spark, sf_dir), _level_vectors(spark, sf_dir, s), NEAR)
+    return _flat(search_results(spark, sf_dir, near))
+
+
+@register("rrf_fusion", f"WITH {_bm25_sql(_DOC_TEXTS)}, {_vq(50)}, bt AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sparse QUALIFY rank <= 50), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM bt UNION ALL SELECT query_id, id, rank FROM vd) GROUP BY 1, 2) SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 20")
 def rrf_fusion(spark, sf_dir):
-    sparse = search.top(search.bm25(_questions(spark, sf_dir), _corpus_texts(spark, sf_dir), fold=False), ["query_id"], 50)
-    return search.top(search.reciprocal_rank_fusion([sparse, _dense_items(spark, sf_dir)]), ["query_id"], 20)
+    sparse = search.top(search.bm25(_questions(spark, sf_dir), _corpus_index(spark, sf_dir), fold=False), ["query_id"], 50)
+    return search.top(search.reciprocal_rank_fusion([sparse, _dense_items(spark, sf_dir, 50)]), ["query_id"], 20)
 
 
-@register("hybrid_doc", f"""WITH {_bm25_sql(_DOC_TEXTS)}, {_VQ}, ms AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM sparse GROUP BY 1), md AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM vd GROUP BY 1),
+@register("hybrid_doc", f"""WITH {_bm25_sql(_DOC_TEXTS)}, {_vq(16)}, ms AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM sparse GROUP BY 1), md AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM vd GROUP BY 1),
 s AS (SELECT query_id, id, CASE WHEN hi - lo <= 1e-9 * greatest(abs(lo), abs(hi)) THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END AS s FROM sparse JOIN ms USING (query_id)), d AS (SELECT query_id, id, CASE WHEN hi - lo <= 1e-9 * greatest(abs(lo), abs(hi)) THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END AS d FROM vd JOIN md USING (query_id)),
 c AS (SELECT query_id, id, round(0.65 * coalesce(d, 0) + 0.35 * coalesce(s, 0), 6) AS score FROM s FULL JOIN d USING (query_id, id)) SELECT query_id, 'doc' AS level, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM c QUALIFY rank <= 8""")
 def hybrid_doc(spark, sf_dir):
-    sparse = search.bm25(_questions(spark, sf_dir), _corpus_texts(spark, sf_dir), fold=False)
-    near = _dense_items(spark, sf_dir).withColumn("level", F.lit("doc"))
+    sparse = search.bm25(_questions(spark, sf_dir), _corpus_index(spark, sf_dir), fold=False)
+    near = _dense_items(spark, sf_dir, NEAR["doc"]).withColumn("level", F.lit("doc"))
     return search.top(search.combined(sparse, near), ["query_id", "level"], 8)
 
 
 # --- assembly and evaluation --------------------------------------------------------------------------------------
 
 
-@register("context_build", f"""WITH {_RANKED}, pk AS (SELECT r.query_id, r.page_id, r.rank, c.chunk_text_clean, row_number() OVER (PARTITION BY r.query_id, r.page_id ORDER BY chunk_order NULLS FIRST, chunk_id) AS n FROM ranked r JOIN chunks c USING (page_id) QUALIFY n <= 3),
-bd AS (SELECT query_id, page_id, rank, string_agg(coalesce(chunk_text_clean, ''), chr(10) ORDER BY n) AS t FROM pk GROUP BY 1, 2, 3), bl AS (SELECT query_id, rank, '[' || rank || '] ' || coalesce(doc_title, '') || ' p' || coalesce(CAST(page_no AS VARCHAR), 'null') || chr(10) || t AS b FROM bd JOIN pages USING (page_id))
-SELECT query_id, substring(string_agg(b, chr(10) || chr(10) ORDER BY rank), 1, 12000) AS context, count(*) AS n_results FROM bl GROUP BY 1""")
+_BODY = f"{strip('page_summary')}"
+
+
+def _media_sql(column: str) -> str:
+    p = f"ltrim(replace({strip(column)}, chr(92), '/'), './')"
+    return f"CASE WHEN {p} = '' THEN '' WHEN starts_with(lower({p}), 'assets/images/') THEN 'assets/images/' || substring({p}, 15) WHEN starts_with(lower({p}), 'assets/tables/') THEN 'assets/tables/' || substring({p}, 15) WHEN starts_with(lower({p}), 'assets/') THEN 'assets/images/' || {p} WHEN strpos(lower({p}), 'assets/images/') > 0 THEN substring({p}, strpos(lower({p}), 'assets/images/')) WHEN strpos(lower({p}), 'assets/tables/') > 0 THEN substring({p}, strpos(lower({p}), 'assets/tables/')) ELSE '' END"
+
+
+#: Folders that media may come from; a parameter of assembly.
+MEDIA_ROOTS = ("assets/images/", "assets/tables/")
+
+
+@register("media_rel_path", f"SELECT DISTINCT image_id, {_media_sql('image_path')} AS out FROM image_records")
+def media_rel_path(spark, sf_dir):
+    return table(spark, sf_dir, "image_records").select("image_id", T.media_path(F.col("image_path"), MEDIA_ROOTS).alias("out")).distinct()
+
+
+_PATHS = "coalesce((SELECT string_agg(path, ', ' ORDER BY first) FROM (SELECT path, min(rank) AS first FROM pm WHERE pm.query_id = r.query_id AND pm.page_id = r.page_id AND pm.asset_type = '{kind}' AND path <> '' GROUP BY path)), '')"
+
+
+@register("context_build", f"""WITH {_assets_sql(_SCORES)}, pm AS (SELECT p.query_id, p.page_id, p.asset_type, p.rank, CASE WHEN p.asset_type = 'image' THEN {_media_sql('i.image_path')} ELSE {_media_sql('t.asset_path')} END AS path FROM picked p LEFT JOIN imgs i ON i.image_id = p.asset_id AND p.asset_type = 'image' LEFT JOIN tabs t ON t.table_id = p.asset_id AND p.asset_type = 'table'),
+bd AS (SELECT r.query_id, r.rank, r.bundle, coalesce(nullif(doc_title, ''), 'Unknown') AS title, coalesce(CAST(nullif(page_no, 0) AS VARCHAR), '?') AS pno, {_BODY} AS summary, (SELECT string_agg(t, chr(10) || chr(10) ORDER BY n) FROM (SELECT n, {strip("coalesce(nullif(chunk_text_display, ''), chunk_text_clean)")} AS t FROM ch WHERE ch.query_id = r.query_id AND ch.page_id = r.page_id) WHERE t <> '') AS texts, {_PATHS.format(kind='image')} AS ip, {_PATHS.format(kind='table')} AS tp FROM ranked r JOIN pages USING (page_id)),
+bl AS (SELECT query_id, rank, '<chunk fileId="v2_' || rank || '" fileName="' || title || '_p' || pno || '" score="' || printf('%.4f', bundle) || '">' || coalesce(nullif(concat_ws(chr(10) || chr(10), nullif(summary, ''), nullif(texts, '')), ''), 'No textual content.') || CASE WHEN ip <> '' THEN chr(10) || chr(10) || '[相关图片路径: ' || ip || ']' ELSE '' END || CASE WHEN tp <> '' THEN chr(10) || chr(10) || '[相关表格路径: ' || tp || ']' ELSE '' END || '</chunk>' AS b FROM bd),
+cx AS (SELECT query_id, '<retrieved_chunks>' || chr(10) || string_agg(b, chr(10) ORDER BY rank) || chr(10) || '</retrieved_chunks>' AS c, count(*) AS n_results FROM bl GROUP BY 1)
+SELECT item_id AS query_id, CASE WHEN c IS NULL THEN '<retrieved_chunks>No relevant information found.</retrieved_chunks>' WHEN length(c) > 12000 THEN substring(c, 1, 12000) || chr(10) || '<!-- Context truncated -->' ELSE c END AS context, coalesce(n_results, 0) AS n_results FROM eval_items LEFT JOIN cx ON cx.query_id = item_id""")
 def context_build(spark, sf_dir):
     s = _store(spark, sf_dir, once=True)
-    return assemble.contexts(_ranked(spark, sf_dir, s, _scores(spark, sf_dir, s)), s["page"], s["chunk"])
+    scores = _scores(spark, sf_dir, s)
+    ranked = _ranked(spark, sf_dir, s, scores)
+    paths = s["table"].select(F.col("table_id").alias("asset_id"), F.lit("table").alias("asset_type"), T.media_path(F.col("asset_path"), MEDIA_ROOTS).alias("path")).unionByName(s["image"].select(F.col("image_id").alias("asset_id"), F.lit("image").alias("asset_type"), T.media_path(F.col("image_path"), MEDIA_ROOTS).alias("path")))
+    return assemble.contexts(_questions(spark, sf_dir), ranked, s["page"], search.best_chunks(ranked, scores, s["chunk"]), s["chunk"], _selected(s, scores, ranked), paths)
 
 
 @register("reference_preview", f"""WITH {_RANKED}, fc AS (SELECT page_id, chunk_text_clean AS chunk FROM chunks WHERE NOT {_low('chunk_text_clean')} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY chunk_order NULLS FIRST, chunk_id) = 1),
@@ -483,17 +640,18 @@ def dedupe_paths(spark, sf_dir):
     return table(spark, sf_dir, "chunk_records").select("chunk_id", F.array_join(assemble.distinct_paths(paths), "|").alias("paths")).distinct()
 
 
-@register("eval_recall_mrr_ndcg", f"""WITH {_bm25_sql(_DOC_TEXTS)}, b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sparse QUALIFY rank <= 5),
+@register("eval_recall_mrr_ndcg", f"""WITH pq AS (SELECT item_id, passage AS query FROM eval_items), {_bm25_sql(_DOC_TEXTS, items='pq')}, b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sparse QUALIFY rank <= 5),
 tr AS (SELECT DISTINCT item_id AS query_id, doc_id AS id FROM eval_items JOIN documents ON contains(text, passage)), h AS (SELECT * FROM b JOIN tr USING (query_id, id)),
 p AS (SELECT query_id, count(*) AS n, min(rank) AS f, sum(1.0 / log2(rank + 1)) AS g FROM h GROUP BY 1), z AS (SELECT query_id, count(*) AS relevant FROM tr GROUP BY 1),
 j AS (SELECT *, list_sum(list_transform(range(1, least(relevant, 5) + 1), lambda i: 1.0 / log2(i + 1))) AS ideal FROM z LEFT JOIN p USING (query_id))
 SELECT count(*) AS n_queries, round(avg(CASE WHEN coalesce(n, 0) > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate, round(avg(coalesce(n, 0) / least(relevant, 5)), 6) AS recall, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(coalesce(g, 0) / ideal), 6) AS ndcg FROM j""")
 def eval_recall_mrr_ndcg(spark, sf_dir):
-    """Documents that hold an item's passage are what its question should find; items without one don't count."""
+    """Passages as questions: the documents that hold a passage are what it should find; items without one don't count."""
     items = table(spark, sf_dir, "eval_items")
-    found = search.top(search.bm25(_questions(spark, sf_dir), _corpus_texts(spark, sf_dir), fold=False), ["query_id"], 5)
-    held = table(spark, sf_dir, "documents").join(F.broadcast(items.select("item_id", "passage")), F.contains(F.col("text"), F.col("passage")))  # the stated items
-    return search.retrieval_quality(found, held.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")))
+    index = _corpus_index(spark, sf_dir)
+    found = search.top(search.bm25(items.select(F.col("item_id").alias("query_id"), F.col("passage").alias("query")), index, fold=False), ["query_id"], 5)
+    held = search.holding(items.select(F.col("item_id").alias("query_id"), F.col("passage").alias("query")), index, _corpus_texts(spark, sf_dir), fold=False)
+    return search.retrieval_quality(found, held)
 
 
 # --- the run log --------------------------------------------------------------------------------------------------
@@ -540,11 +698,11 @@ def rate_window(spark, sf_dir):
     return runlog.admission_rate(table(spark, sf_dir, "events"))
 
 
-@register("stream_pieces", "WITH l AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS piece FROM events), f AS (SELECT run_id, arg_min(piece, seq) AS one, count(*) AS k FROM l GROUP BY 1), d AS (SELECT run_id, min(seq) AS other FROM l JOIN f USING (run_id) WHERE piece <> one GROUP BY 1) SELECT run_id, k - coalesce(other, k + 1) + 2 AS n FROM f LEFT JOIN d USING (run_id)")
+@register("stream_pieces", "WITH l AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS piece FROM events), f AS (SELECT run_id, arg_min(piece, seq) AS one, count(*) AS k FROM l GROUP BY 1), d AS (SELECT run_id, min(seq) AS other FROM l JOIN f USING (run_id) WHERE piece <> one GROUP BY 1) SELECT run_id, '|' || any_value(one) || coalesce(string_agg('|' || piece, '' ORDER BY seq) FILTER (seq >= other), '') AS text FROM l JOIN f USING (run_id) LEFT JOIN d USING (run_id) GROUP BY 1")
 def stream_pieces(spark, sf_dir):
-    """How many pieces each run's stream holds once merged; equal pieces at the start replace each other."""
+    """The text of each run's stream once merged; equal pieces at the start replace each other."""
     pieces = _log(spark, sf_dir).select("run_id", "seq", F.concat(F.lit("|"), "phase").alias("piece"))
-    return runlog.merged_pieces(pieces).select("run_id", F.regexp_count("text", F.lit(r"\|")).cast("bigint").alias("n"))
+    return runlog.merged_pieces(pieces)
 
 
 @register("recent_runs", "SELECT user_id AS run_id, max(ts) AS last_ts FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 18")

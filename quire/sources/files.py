@@ -154,18 +154,42 @@ def text_files(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInArrow(read, "path string, text string")
 
 
-def read_state(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A state table; an empty one where nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:
-        return spark.createDataFrame([], schema)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of a state table, in order."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(root))
+    return sorted(int(n[2:]) for n in names if re.fullmatch(r"v=\d+", n) and fs.exists(jvm.Path(f"{path}/{n}/_SUCCESS")))
 
 
-def write_state(df: DataFrame, path: str, version: int) -> None:
-    """A new version of a table beside the old ones; readers follow the pointer, so a crash leaves the last whole version."""
-    df.write.mode("overwrite").parquet(f"{path}/v={version}")
-    df.sparkSession.createDataFrame([(version,)], "version int").write.mode("overwrite").json(f"{path}/current")
+def read_state(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The last whole version of a state table; an empty table where none was written yet. A version that can't be read is an error."""
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").parquet(f"{path}/v={versions[-1]}")
+
+
+def write_state(df: DataFrame, path: str, version: int, keep: int = 2) -> None:
+    """A new version of a table beside the old ones, of which the last ``keep`` stay.
+
+    It is written under a name that no reader follows and takes its own by one rename, once whole: a job that ends in
+    between leaves the version before. Writing a version that is there already is an error.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fresh, place = jvm.Path(f"{path}/_writing-{version}"), jvm.Path(f"{path}/v={version}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        raise FileExistsError(f"{path} has a version {version}")
+    df.write.mode("overwrite").parquet(fresh.toString())
+    if not fs.rename(fresh, place):
+        raise OSError(f"{fresh} could not take the name {place}")
+    for old in _versions(spark, path)[:-keep]:
+        fs.delete(jvm.Path(f"{path}/v={old}"), True)
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int) -> DataFrame:

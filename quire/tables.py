@@ -14,13 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a fresh local one only where it is unset, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``); a fresh local one only where it is unset and the session is local."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quire-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-quire-"))
+    return jsc.getCheckpointDir().get()
+
+
+def file_signature(spark: SparkSession, paths: list[str]) -> str:
+    """A key of the files below some paths, by their names, sizes and times; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    one = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    r = found.agg(F.count("*").alias("n"), F.sum(one.cast("decimal(38,0)")).alias("s"), F.bit_xor(one).alias("x")).first()
+    return f"{r.n}-{r.s % (1 << 63) if r.s is not None else 0}-{r.x & (1 << 64) - 1 if r.x is not None else 0:x}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quire.sources import files as S
@@ -66,7 +67,24 @@ def test_lines_matrices_texts_and_state(spark, tmp_path):
     (m / "g.md").write_bytes("表格".encode("gbk"))
     assert {r.text for r in S.text_files(S.files(spark, str(m), ("md",))).collect()} == {"表格"}
     assert S.read_state(spark, str(tmp_path / "none"), schema).count() == 0
-    S.write_state(spark.createDataFrame([(1, "x")], schema), str(tmp_path / "state"), 3)
-    assert S.read_state(spark, str(tmp_path / "state" / "v=3"), schema).count() == 1
     wanted = spark.createDataFrame([(1, ["no.md", "u.md", "g.md"]), (2, ["no.md"])], "wanted_id int, candidates array<string>")
     assert [(r.wanted_id, r.path.rsplit("/", 1)[1]) for r in S.resolved_files(wanted, S.files(spark, str(m), ("md",))).collect()] == [(1, "u.md")]
+
+
+def test_state_follows_the_last_whole_version(spark, tmp_path):
+    schema = StructType([StructField("id", LongType()), StructField("text", StringType())])
+    state = str(tmp_path / "state")
+    read = lambda: sorted(tuple(r) for r in S.read_state(spark, state, schema).collect())
+    S.write_state(spark.createDataFrame([(1, "a")], schema), state, 1)
+    S.write_state(spark.createDataFrame([(1, "b"), (2, "c")], schema), state, 2)
+    assert read() == [(1, "b"), (2, "c")]
+    spark.createDataFrame([(9, "half")], schema).write.parquet(f"{state}/_writing-3")  # a job that ended before its rename
+    assert read() == [(1, "b"), (2, "c")]
+    S.write_state(S.read_state(spark, state, schema).where("id = 1"), state, 3)
+    assert read() == [(1, "b")]
+    with pytest.raises(FileExistsError):
+        S.write_state(spark.createDataFrame([], schema), state, 3)
+    for f in (tmp_path / "state" / "v=3").glob("part-*"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        read()
