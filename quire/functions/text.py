@@ -112,6 +112,12 @@ def file_kind(c: Column) -> Column:
     return F.when(t.startswith("ppt"), "pptx").when(t.startswith("doc") | (t == "word"), "docx").when(t.startswith("xls"), "xlsx").when(t.startswith("pdf"), "pdf").otherwise(t)
 
 
+def suffix_of_kind(c: Column) -> Column:
+    """The file suffix that a kind, in whatever words, names somewhere."""
+    t = name_token(c)
+    return F.when(t.contains("pptx"), ".pptx").when(t.contains("ppt"), ".ppt").when(t.contains("docx"), ".docx").when(t.contains("doc") | t.contains("word"), ".doc").when(t.contains("pdf"), ".pdf").otherwise("")
+
+
 def directory_key(c: Column) -> Column:
     parts = F.filter(F.split(F.regexp_replace(strip(c), r"\\", "/"), "/"), lambda p: (p != "") & (p != "source_data"))
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/")

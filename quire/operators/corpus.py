@@ -144,3 +144,16 @@ def related_assets(chunks: DataFrame, assets: DataFrame, least: float = 0.18) ->
 def mean_vectors(vectors: DataFrame, parent: str) -> DataFrame:
     """The mean vector of each parent, a row per dimension."""
     return vectors.select(parent, F.posexplode("embedding").alias("dim", "x")).groupBy(parent, "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+def mean_of_means(vectors: DataFrame, parents: DataFrame, width: int) -> DataFrame:
+    """``(parent, embedding)``: the mean of each parent's child means, unweighted; a parent without vectors gets zeros.
+
+    ``vectors (child, embedding)``, ``parents (parent, child)``. A child's own mean comes first, then that of its siblings.
+    """
+    flat = vectors.where("embedding IS NOT NULL").select("child", F.posexplode("embedding").alias("dim", "x"))
+    child = flat.groupBy("child", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    mean = parents.distinct().join(child, "child").groupBy("parent", "dim").agg(F.avg("m").alias("m"))
+    arrays = mean.groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: F.round(x["m"], 6)).alias("embedding"))  # width entries a parent
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return parents.select("parent").distinct().join(arrays, "parent", "left").select("parent", F.coalesce("embedding", zeros).alias("embedding"))

@@ -133,7 +133,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         hashes.append(_hash(value, quoted))
                         bits.append(literal_bits(value, quoted))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(fids, pa.int64()), pa.array(cands, pa.int32()), pa.array(hashes, pa.int64()), pa.array(bits, pa.float64())], names=["fid", "cand", "vhash", "bits"]
+            [pa.array(fids, pa.binary()), pa.array(cands, pa.int32()), pa.array(hashes, pa.int64()), pa.array(bits, pa.float64())], names=["fid", "cand", "vhash", "bits"]
         )
 
 
@@ -161,7 +161,7 @@ def cheapest_dialect(fields: DataFrame) -> DataFrame:
     total = words.agg(F.greatest(F.sum("n"), F.lit(1)).cast("double").alias("total"))
     costs = words.crossJoin(F.broadcast(total)).select("vhash", F.log2((F.col("total") + 1) / F.col("n")).alias("known"))  # one row on the right
     distinct = fields.select("fid", "packed").dropDuplicates(["fid"])
-    parts = distinct.mapInArrow(_candidates, "fid long, cand int, vhash long, bits double")
+    parts = distinct.mapInArrow(_candidates, "fid binary, cand int, vhash long, bits double")
     cost = F.least("bits", F.coalesce("known", "bits"))
     return (
         parts.join(costs, "vhash", "left")
@@ -176,7 +176,7 @@ def unpack_values(records: DataFrame) -> DataFrame:
     """``(record_kind, record_id, pos, keyword)`` of ``records (record_kind, record_id, packed)``."""
     fields = (
         records.where(F.col("packed").isNotNull() & F.col("record_id").isNotNull())
-        .select("record_kind", "record_id", "packed", F.xxhash64("packed").alias("fid"))
+        .select("record_kind", "record_id", "packed", F.unhex(F.md5("packed")).alias("fid"))
         .distinct()
     )
     return (

@@ -162,7 +162,7 @@ _KEYS = {"doc_records": "doc_id", "page_records": "page_id", "chunk_records": "c
 _COLUMNS = {
     "doc": ["doc_id", "doc_title", "doc_summary", "top_keywords", "page_ids"],
     "page": ["page_id", "doc_id", "page_no", "doc_title", "page_summary", "page_keywords", "table_ids", "image_ids"],
-    "chunk": ["chunk_id", "page_id", "doc_id", "doc_title", "heading", "chunk_order", "chunk_text_clean", "chunk_text_display", "keywords", "table_ids_on_page", "image_ids_on_page"],
+    "chunk": ["chunk_id", "page_id", "doc_id", "doc_title", "heading", "chunk_order", "chunk_text_clean", "chunk_text_display", "keywords", "table_ids_on_page", "image_ids_on_page", "image_paths", "page_no"],
     "table": ["table_id", "page_id", "doc_id", "doc_title", "table_title", "table_headers", "table_summary", "keywords", "asset_path"],
     "image": ["image_id", "page_id", "image_title", "image_path", "keywords"],
 }

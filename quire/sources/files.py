@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 #: The kinds of files that hold documents and workbooks.
 DOCUMENTS, WORKBOOKS = ("pptx", "ppt", "pdf", "docx", "doc"), ("xlsx", "xlsm")
 _A, _W, _S = (f"{{http://schemas.openxmlformats.org/{p}/2006/main}}" for p in ("drawingml", "wordprocessingml", "spreadsheetml"))
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
@@ -95,6 +96,78 @@ def sheet_rows(data: bytes) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+def _shape_text(shape: ElementTree.Element) -> str:
+    return "\n".join(t for p in shape.iter(f"{_A}p") if (t := "".join(r.text or "" for r in p.iter(f"{_A}t")).strip()))
+
+
+def slide_parts(data: bytes) -> list[tuple[int, str, int, list[list[str]], str]]:
+    """``(page, kind, number, cells, text)`` of a PPTX: the tables of each slide, or, where it has none, its text blocks from top to bottom."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        for page, (_, name) in enumerate(slides, 1):
+            root = ElementTree.fromstring(z.read(name))
+            tables = [[[_shape_text(c) for c in row.iter(f"{_A}tc")] for row in t.iter(f"{_A}tr")] for t in root.iter(f"{_A}tbl")]
+            out += [(page, "table", k, cells, "") for k, cells in enumerate(tables, 1)]
+            blocks = []
+            for shape in () if tables else root.iter(f"{_P}sp"):
+                text, off, ext = _shape_text(shape), shape.find(f".//{_A}off"), shape.find(f".//{_A}ext")
+                number = lambda e, key: int(e.get(key, 0)) if e is not None else 0
+                if text:
+                    blocks.append((number(off, "y"), number(off, "x"), number(ext, "cx"), number(ext, "cy"), text))
+            lines = [f"left={x} top={y} width={w} height={h} text={text}" for y, x, w, h, text in sorted(blocks, key=lambda b: b[:2])]
+            if lines:
+                out.append((page, "layout", 1, [], "\n".join(lines)))
+    return out
+
+
+def presentation_tables(found: DataFrame) -> DataFrame:
+    """``(path, page_no, kind, number, cells, text)`` of PPTX files; a file that can't be read gives nothing."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, data in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    rows += [(path, *part) for part in slide_parts(data)]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                    continue
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["path", "page_no", "kind", "number", "cells", "text"])
+
+    return found.where("kind = 'pptx'").select("path", "content").mapInArrow(read, "path string, page_no int, kind string, number int, cells array<array<string>>, text string")
+
+
+def image_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the head of a PNG or JPEG."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 < len(data):
+        if data[at] != 0xFF:
+            return None
+        if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
+def image_sizes(found: DataFrame) -> DataFrame:
+    """``(path, width, height)`` of image files; null where the head tells none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [image_size(b or b"") or (None, None) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[k] for s in sizes], pa.int32()) for k in range(2))], names=["path", "width", "height"])
+
+    return found.select("path", "content").mapInArrow(read, "path string, width int, height int")
+
+
+def write_markdown(df: DataFrame, path: str) -> None:
+    """A Markdown file per ``(name, text)``, each in a folder of its name."""
+    df.select(F.col("text").alias("value"), "name").write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
+
+
 def document_pages(found: DataFrame) -> DataFrame:
     """``(path, page_no, text, error)``: the pages of PPTX and DOCX files; a file that can't be read gives one row with its error."""
 
