@@ -354,16 +354,20 @@ def holding(passages: DataFrame, index: Index, texts: DataFrame, fold: bool = Tr
     """``(query_id, id)``: texts that hold a passage ``(query_id, query)`` letter by letter.
 
     A text that holds a passage holds every token inside it, so only the texts of the passage's rarest token are read.
-    Tokens at its ends may go on in the text, and whole runs of Han characters too, so pairs and triples inside stand for them.
+    Tokens at its ends may go on in the text, and whole runs of Han characters too, so pairs and triples inside stand for
+    them. Passages without such a token are sought in every text.
     """
     body = T.strip(F.col("query"))
     inner = passages.withColumn("query", F.regexp_replace(body, rf"^[A-Za-z0-9._:/-]+|[A-Za-z0-9._:/-]+$", ""))
     q, found = hits(inner, index, fold)
-    sure = q.where((F.length("token") <= 3) | ~F.col("token").rlike(f"^[{T.HAN}]"))
+    sure = q.where(F.length("token").between(2, 3) | ~F.col("token").rlike(f"^[{T.HAN}]"))
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     rarest = sure.join(df, "token").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
     some = found.join(F.broadcast(rarest), "token").select("query_id", "id")  # of the stated passages
-    read = texts.select("id", "text").join(some, "id").join(F.broadcast(passages), "query_id")
+    read = texts.select("id", "text").join(some, "id").join(F.broadcast(passages), "query_id").select("query_id", "id", "text", "query")
+    bare = passages.join(sure.select("query_id").distinct(), "query_id", "left_anti")
+    if not bare.isEmpty():
+        read = read.unionByName(texts.select("id", "text").crossJoin(F.broadcast(bare)).select("query_id", "id", "text", "query"))  # a stated set against all texts
     return read.where(F.contains(F.col("text"), F.col("query"))).select("query_id", "id").distinct()
 
 

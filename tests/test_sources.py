@@ -88,3 +88,26 @@ def test_state_follows_the_last_whole_version(spark, tmp_path):
         f.write_bytes(b"broken")
     with pytest.raises(Exception):
         read()
+
+
+def test_presentation_tables_and_layout(spark, tmp_path):
+    P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    cell = lambda t: f"<a:tc><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc>"
+    box = lambda x, y, t: f'<p:sp><p:spPr><a:xfrm><a:off x="{x}" y="{y}"/><a:ext cx="5" cy="6"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
+    table = f"<a:tbl><a:tr>{cell('h')}{cell('i')}</a:tr><a:tr>{cell('1')}</a:tr></a:tbl>"
+    slides = {"ppt/slides/slide1.xml": f"<p:s {P} {A}>{box(0, 0, 'over it')}<p:grpSp>{table}</p:grpSp>{table}</p:s>", "ppt/slides/slide2.xml": f"<p:s {P} {A}>{box(9, 4, 'b')}<p:grpSp>{box(1, 4, 'a')}</p:grpSp>{box(0, 9, 'c')}</p:s>"}
+    packed(tmp_path / "t.pptx", slides)
+    (tmp_path / "bad.pptx").write_bytes(b"broken")
+    got = S.presentation_tables(S.files(spark, str(tmp_path), ("pptx",))).orderBy("page_no", "number").collect()
+    assert [(r.page_no, r.kind, r.number, r.cells) for r in got[:2]] == [(1, "table", 1, [["h", "i"], ["1"]]), (1, "table", 2, [["h", "i"], ["1"]])]
+    assert [line.rsplit("=", 1)[1] for line in got[2].text.split("\n")] == ["a", "b", "c"] and got[2].text.startswith("left=1 top=4 width=5 height=6") and len(got) == 3
+
+
+def test_image_sizes_and_markdown_files(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big"))
+    (tmp_path / "b.jpg").write_bytes(b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\x11\x08" + (200).to_bytes(2, "big") + (300).to_bytes(2, "big") + b"\3")
+    (tmp_path / "c.png").write_bytes(b"none")
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in S.image_sizes(S.files(spark, str(tmp_path), ("png", "jpg"))).collect()}
+    assert got == {"a.png": (640, 480), "b.jpg": (300, 200), "c.png": (None, None)}
+    S.write_markdown(spark.createDataFrame([("t1", "# x\n\n| a |")], "name string, text string"), str(tmp_path / "md"))
+    assert next((tmp_path / "md" / "name=t1").glob("part-*")).read_text() == "# x\n\n| a |\n"
