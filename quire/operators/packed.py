@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 import xxhash
@@ -84,6 +85,10 @@ def parses(text: str) -> list[tuple[tuple[str, bool], ...]]:
             for quotes in (True, False) if quoted else (False,):
                 if values := split_field(body, delimiters, quotes):
                     found.setdefault(values)
+        for n in range(len(present) - 1, 1, -1):  # some of several delimiters, where the others belong to values
+            for delimiters in combinations(present, n):
+                if values := split_field(body, delimiters, quoted):
+                    found.setdefault(values)
     return list(found)
 
 
