@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.tables import cut, text_key
+from quire.tables import cut, near, text_key
 
 #: Levels of the prefix tree below the token count, and the parts that skeletons of a leaf are compared by.
 DEPTH, SEGMENTS = 4, 16
@@ -68,12 +68,24 @@ LOREM = set(
     "anim id est laborum consec tetur porta vitae nec vel ac at mauris donec integer".split()
 )
 
-#: Words that make a message worth scoring although it does not recur, by class.
+#: One of its words that stand in no other language, which it holds at least.
+MARKED = r"(?<![a-z])(?=[liadtmnecv])(?:lorem|ipsum|dolore?|amet|tempor|magna|aliqua|nulla|consec|consectetur|tetur|elit|adipiscing|eiusmod|labore|veniam|nostrud)(?![a-z])"
+
+#: Words that make a message worth scoring although it does not recur, by class, Latin ones and others.
 SEEDS = {
-    "error": "not found|denied|forbidden|unauthorized|unavailable|time-?d? ?out|expired|went wrong|could ?n[o']t|cannot|can't|unable|failed|failure|errors?\\b|gateway|oops|traceback|错误|失败|超时|不存在|已被删除|找不到|无法|权限|过期|失效|繁忙|异常|维护中|出错",
-    "script": "javascript|noscript|scripts?\\b|scripting|cookies|browser|脚本|浏览器",
-    "filler": "\\b(?:tbd|tba|todo|fixme|placeholder|dummy|sample|filler|click|insert|enter|xx+|asdf|qwer|blah|foo)\\b|xx公司|待补充|待定|待填|待完善|待更新|暂缺|占位|示例|样例|填充|此处|这里|单击|点击",
+    "error": ("not found|denied|forbidden|unauthorized|unavailable|time-?d? ?out|expired|went wrong|could ?n[o']t|cannot|can't|unable|failed|failure|errors?\\b|gateway|oops|traceback", "错误|失败|超时|不存在|已被删除|找不到|无法|权限|过期|失效|繁忙|异常|维护中|出错"),
+    "script": ("javascript|noscript|scripts?\\b|scripting|cookies|browser", "脚本|浏览器"),
+    "filler": ("(?:tbd|tba|todo|fixme|placeholder|dummy|sample|filler|click|insert|enter|xx+|asdf|qwer|blah|foo)\\b|xx公司", "待补充|待定|待填|待完善|待更新|暂缺|占位|示例|样例|填充|此处|这里|单击|点击"),
 }
+
+
+def _seeded(*classes: str) -> str:
+    """The pattern of some classes' words; a look at the first character spares most places the words."""
+    latin, other = ("|".join(SEEDS[c][k] for c in classes) for k in range(2))
+    heads = "".join(sorted({w[0] for w in other.split("|")}))
+    return f"(?<![a-z])(?=[a-z])(?:{latin})|(?=[{heads}])(?:{other})"
+
+
 #: Labelled messages that the fit begins with.
 EXAMPLES = [
     "∗ not found", "http ∗ bad gateway", "error ∗: unexpected response", "∗ internal server error", "∗ forbidden", "access denied.", "permission denied.", "your session has expired. please sign in again.", "service temporarily unavailable",
@@ -123,23 +135,29 @@ def skeletons(records: DataFrame) -> DataFrame:
 
 
 def placed_skeletons(messages: DataFrame) -> DataFrame:
-    """Every skeleton once, with its leaf in the tree and the hashes of its parts; behind a checkpoint, the only one that holds texts.
+    """Every skeleton once, with its leaf in the tree; behind a checkpoint, the only one that holds texts.
 
-    ``(s1, s2, n, recurs, skeleton, class, leaf, parts)``; ``recurs``: one and the same message of it fills ``SPREAD`` records or more.
+    ``(s1, s2, n, recurs, skeleton, class, leaf)``; ``recurs``: one and the same message of it fills ``SPREAD`` records or more.
     """
     per = messages.groupBy("s1", "s2").agg(F.min("message").alias("message"), (F.min("message") == F.max("message")).alias("fixed"), F.count("*").alias("n"))
-    split = per.select("s1", "s2", "n", (F.col("fixed") & (F.col("n") >= SPREAD)).alias("recurs"), masked(F.col("message")).alias("skeleton")).withColumn("tokens", tokens_of(F.col("skeleton")))
-    size = F.size("tokens")
-    many = F.greatest(F.lit(1), F.least(F.lit(SEGMENTS), size))
-    at = lambda i: F.floor(i * size / many).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.xxhash64(F.slice("tokens", at(i) + 1, at(i + 1) - at(i))))
-    return cut(split.select("s1", "s2", "n", "recurs", "skeleton", seed_class(F.col("skeleton")).alias("class"), F.xxhash64(size, F.slice("tokens", 1, DEPTH)).alias("leaf"), parts.alias("parts")))
+    placed = per.select("s1", "s2", "n", (F.col("fixed") & (F.col("n") >= SPREAD)).alias("recurs"), masked(F.col("message")).alias("skeleton"))
+    size = F.length(F.regexp_replace(F.regexp_replace("skeleton", r"[a-z_']+", "w"), r"\s+", ""))
+    first = F.regexp_extract("skeleton", rf"^(?:\s*(?:[a-z_']+|∗|[^\sa-z])){{0,{DEPTH}}}", 0)
+    return cut(placed.select("s1", "s2", "n", "recurs", "skeleton", seed_class(F.col("skeleton")).alias("class"), F.xxhash64(size, first).alias("leaf")))
+
+
+def _parts(tokens: Column) -> Column:
+    """The hashes of ``SEGMENTS`` equal parts of a skeleton, a token at least each."""
+    many = F.greatest(F.lit(1), F.least(F.lit(SEGMENTS), F.size(tokens)))
+    at = lambda i: F.floor(i * F.size(tokens) / many).cast("int")
+    return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.xxhash64(F.slice(tokens, at(i) + 1, at(i + 1) - at(i))))
 
 
 def mined_templates(placed: DataFrame) -> DataFrame:
     """``(s1, s2, template, n_records)``: the template that every skeleton merges into, by its key, and how many records that fills."""
-    shared = placed.groupBy("leaf").agg(F.count("*").alias("leaf_size")).where("leaf_size > 1")
-    spread = placed.select("leaf", "s1", "s2", "parts").join(shared, "leaf").select("leaf", "s1", "s2", "leaf_size", F.posexplode("parts").alias("at", "part"))
+    shared = cut(placed.groupBy("leaf").agg(F.count("*").alias("leaf_size")).where("leaf_size > 1"))
+    several = near(placed.select("leaf", "s1", "s2", "skeleton"), shared, "leaf").withColumn("tokens", tokens_of(F.col("skeleton"))).select("leaf", "s1", "s2", _parts(F.col("tokens")).alias("parts"))
+    spread = several.join(shared, "leaf").select("leaf", "s1", "s2", "leaf_size", F.posexplode("parts").alias("at", "part"))
     constant = spread.groupBy("leaf", "at", "part").agg(F.count("*").alias("n"), F.first("leaf_size").alias("size")).where("2 * n > size").select("leaf", "at", "part", F.lit(True).alias("constant"))
     marked = spread.join(constant, ["leaf", "at", "part"], "left")
     kept = F.when(F.col("constant"), F.xxhash64("at", "part")).otherwise(F.xxhash64("at"))
@@ -150,14 +168,14 @@ def mined_templates(placed: DataFrame) -> DataFrame:
 
 def seed_class(skeleton: Column) -> Column:
     """The first class one of whose seed words stands in the text, else null."""
-    return F.coalesce(*(F.when(skeleton.rlike(words), name) for name, words in SEEDS.items()))
+    return F.when(skeleton.rlike(_seeded(*SEEDS)), F.coalesce(*(F.when(skeleton.rlike(_seeded(name)), name) for name in SEEDS)))
 
 
 def fills_itself(skeleton: Column) -> Column:
     """Whether a message only repeats itself, or is nonsense Latin."""
     words = F.regexp_extract_all(skeleton, F.lit(r"([a-z]+)"), 1)
     latin = F.size(F.filter(words, lambda w: w.isin(*sorted(LOREM))))
-    lorem = F.when(skeleton.rlike(r"\p{IsHan}"), False).when(skeleton.rlike(r"(?:\b(?:%s)\b.*?){2}" % "|".join(sorted(LOREM))), (F.size(words) >= 3) & (latin >= 0.7 * F.size(words))).otherwise(False)
+    lorem = F.when(skeleton.rlike(MARKED), (F.size(words) >= 3) & (latin >= 0.7 * F.size(words)) & ~skeleton.rlike(r"\p{IsHan}")).otherwise(False)
     return lorem | skeleton.rlike(rf"(?s)^(?:{REPEATS}){_END}$")
 
 
