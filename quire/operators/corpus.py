@@ -157,3 +157,17 @@ def mean_of_means(vectors: DataFrame, parents: DataFrame, width: int) -> DataFra
     arrays = mean.groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: F.round(x["m"], 6)).alias("embedding"))  # width entries a parent
     zeros = F.array_repeat(F.lit(0.0), width)
     return parents.select("parent").distinct().join(arrays, "parent", "left").select("parent", F.coalesce("embedding", zeros).alias("embedding"))
+
+
+def sheet_order(rows: DataFrame) -> DataFrame:
+    """``(row_key, place)``: the place of each row in its directory's sheet.
+
+    Rows are numbered within their file only; a file begins after those of the files before it, which are counted.
+    """
+    keyed = rows.select("row_key", "directory", "file_name", T.first_int(F.col("page_no")).alias("page"), "text_id")
+    files = keyed.groupBy("directory", "file_name").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("directory").orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = files.select(F.col("directory").alias("d"), F.col("file_name").alias("f"), F.coalesce(before, F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("directory", "file_name").orderBy("page", "text_id", "row_key"))
+    numbered = keyed.withColumn("own", own)
+    return numbered.join(offsets, F.col("directory").eqNullSafe(F.col("d")) & F.col("file_name").eqNullSafe(F.col("f"))).select("row_key", (F.col("offset") + F.col("own")).cast("bigint").alias("place"))

@@ -130,16 +130,13 @@ def kb_active(spark, sf_dir):
 @register("text_order", f"SELECT row_key, row_number() OVER (PARTITION BY directory ORDER BY file_name NULLS FIRST, {R._PAGE_NO}, text_id NULLS FIRST, row_key) AS place FROM text_rows")
 def text_order(spark, sf_dir):
     """The place of each row in its directory's sheet."""
-    from pyspark.sql import Window
+    return corpus.sheet_order(table(spark, sf_dir, "text_rows"))
 
-    w = Window.partitionBy("directory").orderBy("file_name", T.first_int(F.col("page_no")), "text_id", "row_key")
-    return table(spark, sf_dir, "text_rows").select("row_key", F.row_number().over(w).cast("bigint").alias("place"))
 
-
-@register("alias_expand", "SELECT item_id AS query_id, CASE WHEN contains(query, '报废率') AND NOT contains(query, '次品率') THEN query || ' 次品率' ELSE query END AS query FROM eval_items")
+@register("alias_expand", f"SELECT item_id AS query_id, {R._ASKED} AS query FROM eval_items")
 def alias_expand(spark, sf_dir):
-    """Questions with other names of what they ask for; the map is a parameter."""
-    return search.expand_aliases(R._questions(spark, sf_dir), {"报废率": ("次品率",)})
+    """Questions with other names of what they ask for, as retrieval takes them."""
+    return R._asked(spark, sf_dir)
 
 
 @register("keywords_tfidf", f"""WITH w AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '{T.TOKEN}', 1), lambda x: length(x) >= 4)) AS word FROM documents), tf AS (SELECT id, word, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),

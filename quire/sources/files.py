@@ -27,8 +27,21 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict:
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Gives what was written under ``fresh`` the name ``path``; what stood there goes only then."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    new, place, old = jvm.Path(fresh), jvm.Path(path), jvm.Path(f"{path}._old")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(place) and not fs.rename(place, old) or not fs.rename(new, place):
+        raise OSError(f"{fresh} could not take the name {path}")
+    fs.delete(old, True)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+    """JSON lines, written whole before they take the place of those that were there."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(f"{path}._writing")
+    _swap(df.sparkSession, f"{path}._writing", path)
 
 
 def files(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> DataFrame:
@@ -73,8 +86,8 @@ def section_texts(data: bytes) -> list[tuple[str, str]]:
     return [(str(k), "\n".join(s)) for k, s in enumerate((s for s in sections if s), 1)]
 
 
-def sheet_rows(data: bytes) -> list[tuple[int, int, list[str]]]:
-    """``(sheet, row, cells)`` of a workbook, sheets in order, rows numbered as in the sheet."""
+def sheet_rows(data: bytes) -> list[tuple[int, str, int, list[str]]]:
+    """``(sheet, name, row, cells)`` of a workbook, sheets in order, rows numbered as in the sheet."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         strings = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")] if "xl/sharedStrings.xml" in names else []
@@ -92,7 +105,7 @@ def sheet_rows(data: bytes) -> list[tuple[int, int, list[str]]]:
                     text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if c.get("t") == "inlineStr" else "" if value is None else value.text or ""
                     cells += [""] * (at - len(cells))
                     cells[at - 1] = strings[int(text)] if c.get("t") == "s" and text else text
-                out.append((k, int(row.get("r", 0)), cells))
+                out.append((k, sheet.get("name", ""), int(row.get("r", 0)), cells))
     return out
 
 
@@ -185,15 +198,24 @@ def document_pages(found: DataFrame) -> DataFrame:
     return found.select("path", "kind", "content").mapInArrow(read, "path string, page_no string, text string, error string")
 
 
-def workbook_rows(found: DataFrame) -> DataFrame:
-    """``(path, sheet, row_index, cells)`` of workbooks without their header row and rows whose first cell is empty."""
+def workbook_rows(found: DataFrame, name: str | None = None, least: int = 0) -> DataFrame:
+    """``(path, sheet, sheet_name, row_index, cells)`` of workbooks without their header row and rows whose first cell is empty.
+
+    Of one sheet only where its ``name`` is given. A workbook of less than ``least`` sheets is an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(path, k, r, cells) for path, data in zip(*(c.to_pylist() for c in batch.columns)) for k, r, cells in sheet_rows(data) if r > 1 and cells and cells[0].strip()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["path", "sheet", "row_index", "cells"])
-
-    return found.select("path", "content").mapInArrow(read, "path string, sheet int, row_index int, cells array<string>")
+            rows = []
+            for path, data in zip(*(c.to_pylist() for c in batch.columns)):
+                own = sheet_rows(data)
+                if len({k for k, *_ in own}) < least:
+                    raise ValueError(f"{path} has less than {least} sheets")
+                rows += [(path, k, n, r, cells) for k, n, r, cells in own if r > 1 and cells and cells[0].strip() and name in (None, n)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["path", "sheet", "sheet_name", "row_index", "cells"])
+
+    return found.select("path", "content").mapInArrow(read, "path string, sheet int, sheet_name string, row_index int, cells array<string>")
 
 
 def matrix_rows(found: DataFrame) -> DataFrame:

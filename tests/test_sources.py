@@ -47,6 +47,9 @@ def test_workbooks(spark, tmp_path):
     )
     found = S.files(spark, str(tmp_path), S.WORKBOOKS)
     assert [(r.sheet, r.row_index, r.cells) for r in S.workbook_rows(found).collect()] == [(0, 2, ["k", "", "7"])]
+    assert S.workbook_rows(found, "one").first().sheet_name == "one" and S.workbook_rows(found, "two").count() == 0
+    with pytest.raises(Exception, match="less than 3 sheets"):
+        S.workbook_rows(found, least=3).collect()
     assert S.first_workbooks(found).count() == 1 and S.file_signatures(found).first().signature.size > 0
 
 
@@ -56,6 +59,8 @@ def test_lines_matrices_texts_and_state(spark, tmp_path):
     assert S.read_json_lines(spark, str(tmp_path / "x.jsonl"), schema, strict=False).where("id IS NOT NULL").count() == 2
     S.write_json_lines(spark.createDataFrame([(1, "é")], schema), str(tmp_path / "out"))
     assert S.read_json_lines(spark, str(tmp_path / "out"), schema).first().text == "é"
+    S.write_json_lines(S.read_json_lines(spark, str(tmp_path / "out"), schema).selectExpr("id + 1 AS id", "text"), str(tmp_path / "out"))
+    assert S.read_json_lines(spark, str(tmp_path / "out"), schema).first().id == 2
     m = tmp_path / "m"
     m.mkdir()
     buffer = io.BytesIO()
