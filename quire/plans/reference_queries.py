@@ -75,8 +75,12 @@ _rule("low_quality_text", *_TEXT, T.low_quality, f"({strip('text_content')} = ''
 _rule("table_bias", "eval_items", "item_id", "query", T.figure_bias, "CASE WHEN " + " OR ".join(f"contains(lower(query), '{t}')" for t in T.FIGURE_TERMS) + " THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END")
 _rule("document_key", "text_rows", "row_key", "text_id", corpus.document_key, "coalesce(nullif(regexp_extract(text_id, '(?s)^(.*)#[^#]*$', 1), ''), text_id)")
 _rule("summary_preview", "doc_records", "doc_id", "doc_summary", lambda c: T.preview(c, 60), "CASE WHEN length(doc_summary) > 60 THEN substring(doc_summary, 1, 60) || '...' ELSE doc_summary END")
-_LEAK = "(" + " OR ".join(f"regexp_matches(text, '{p.replace('|(?i)', '|')}')" for p in assemble.LEAKS) + ")"
-_rule("source_leak", "documents", "doc_id", "text", assemble.leaks_source, f"coalesce({_LEAK}, false)")
+#: What shows a source in an answer, what is written for it, and the line that stands for one that still shows it: parameters of the queries.
+TRACES = (r"\.(?:pdf|docx?|pptx?|xlsx?)\b", r"[A-Za-z]:\\", r"/(?:media|srv|home)/", r"(?:doc|chunk|page)_id\b")
+REWRITES = ((r"《[^》]+》", "该资料"), (r"(?i)\[(?:source|来源)[:：][^\]]*\]", ""))
+INSTEAD = "（来源从略）"
+_TRACE = "regexp_matches({}, '" + "|".join(f"(?:{p})" for p in TRACES) + "')"
+_rule("source_leak", "documents", "doc_id", "text", lambda c: assemble.leaks_source(c, TRACES), f"coalesce({_TRACE.format('text')}, false)")
 
 
 @register("norm_text_search")
@@ -85,15 +89,14 @@ def norm_text_search(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.search_text(F.col("text")).alias("text"))
 
 
-_L = f"regexp_replace(regexp_replace(regexp_replace(text, '在《[^》]{{1,120}}》[^。；\\n]*(?:标注|显示|写有)[^。；\\n]*', '根据相关内部资料，相关材料带有内部保密标识', 'g'), '全文未(?:提及|显示)', '检索知识库，未发现', 'g'), '《[^》]{{1,120}}》', '相关内部资料', 'g')"
+_REWRITTEN = "text"
+for _pattern, _new in REWRITES:
+    _REWRITTEN = f"regexp_replace({_REWRITTEN}, '{_pattern}', '{_new}', 'g')"
 
 
-@register(
-    "sanitize_answer",
-    f"SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split({_L}, chr(10)), lambda x: CASE WHEN {_LEAK.replace('(text,', '(x,')} THEN '{assemble.CONCLUSION}' ELSE x END), chr(10)), '(?:{assemble.CONCLUSION}){{2,}}', '{assemble.CONCLUSION}', 'g') AS answer FROM documents",
-)
+@register("sanitize_answer", f"SELECT doc_id, array_to_string(list_transform(string_split({_REWRITTEN}, chr(10)), lambda x: CASE WHEN {_TRACE.format('x')} THEN '{INSTEAD}' ELSE x END), chr(10)) AS answer FROM documents")
 def sanitize_answer(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", assemble.redacted(F.col("text")).alias("answer"))
+    return table(spark, sf_dir, "documents").select("doc_id", assemble.redacted(F.col("text"), REWRITES, TRACES, INSTEAD).alias("answer"))
 
 
 @register("keyword_output_clean", f"""WITH k AS (SELECT DISTINCT row_key, keywords, list_filter(list_transform(list_filter(list_transform(regexp_split_to_array({strip('keywords')}, '[、,，;；|\\n]+'), lambda x: {strip('x')}), lambda x: x <> ''),
