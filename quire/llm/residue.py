@@ -146,6 +146,11 @@ def placed_skeletons(messages: DataFrame) -> DataFrame:
     return cut(placed.select("s1", "s2", "n", "recurs", "skeleton", seed_class(F.col("skeleton")).alias("class"), F.xxhash64(size, first).alias("leaf")))
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _parts(tokens: Column) -> Column:
     """The hashes of ``SEGMENTS`` equal parts of a skeleton, a token at least each."""
     many = F.greatest(F.lit(1), F.least(F.lit(SEGMENTS), F.size(tokens)))
@@ -156,7 +161,7 @@ def _parts(tokens: Column) -> Column:
 def mined_templates(placed: DataFrame) -> DataFrame:
     """``(s1, s2, template, n_records)``: the template that every skeleton merges into, by its key, and how many records that fills."""
     shared = cut(placed.groupBy("leaf").agg(F.count("*").alias("leaf_size")).where("leaf_size > 1"))
-    several = near(placed.select("leaf", "s1", "s2", "skeleton"), shared, "leaf").withColumn("tokens", tokens_of(F.col("skeleton"))).select("leaf", "s1", "s2", _parts(F.col("tokens")).alias("parts"))
+    several = near(placed.select("leaf", "s1", "s2", "skeleton"), shared, "leaf").select("leaf", "s1", "s2", _once(tokens_of(F.col("skeleton")), _parts).alias("parts"))
     spread = several.join(shared, "leaf").select("leaf", "s1", "s2", "leaf_size", F.posexplode("parts").alias("at", "part"))
     constant = spread.groupBy("leaf", "at", "part").agg(F.count("*").alias("n"), F.first("leaf_size").alias("size")).where("2 * n > size").select("leaf", "at", "part", F.lit(True).alias("constant"))
     marked = spread.join(constant, ["leaf", "at", "part"], "left")
@@ -181,7 +186,7 @@ def fills_itself(skeleton: Column) -> Column:
 
 def _pairs(tokens: Column) -> Column:
     ends = F.concat(F.array(F.lit("^")), tokens, F.array(F.lit("$")))
-    return F.array_distinct(F.zip_with(F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    return _once(ends, lambda e: F.array_distinct(F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
 
 def _odds(good: DataFrame, bad: DataFrame, spark) -> DataFrame:
