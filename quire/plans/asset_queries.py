@@ -70,9 +70,7 @@ def rerank_gap(spark, sf_dir):
 
 def _media(spark, sf_dir):
     """Media of the best chunks of each question's results, with their scores."""
-    s = R._store(spark, sf_dir, once=True)
-    scores = R._scores(spark, sf_dir, s)
-    ranked = R._ranked(spark, sf_dir, s, scores)
+    ranked, scores, s = R._retrieval(spark, sf_dir).results()
     asked = R._questions(spark, sf_dir).select("query_id", assets.question_tokens(F.col("query")).alias("tokens"))
     chunks = search.best_chunks(ranked, scores, s["chunk"]).drop("page_id").join(s["chunk"].select("chunk_id", "page_id", "page_no", F.posexplode("image_paths").alias("idx", "path")), "chunk_id")
     of = chunks.where("path <> ''").join(ranked.select("query_id", "page_id", "rank"), ["query_id", "page_id"]).join(F.broadcast(asked), "query_id")
