@@ -4,8 +4,8 @@ Equal normalised texts are one class. A task hashes the 5-character substrings o
 bins by their hash, and takes for each of ``BANDS`` permutations the least value per bin: a band is one permutation's
 bins; the first ``COMPARED`` of all these values are the signature, a byte each. A count-min sketch of the bands
 leaves those that repeat. Spark groups bands; texts that share one are candidates, each
-set of texts forming its pairs once. A band of more than ``HOT`` texts forms no pairs by itself, only together with a
-second band that both texts share, as pairs that are alike do but for a chance of 0.002. Candidates are compared signature batch by batch: with a uniform prior on the
+set of texts forming its pairs once. The texts of a band of more than ``HOT`` are all compared too, in tiles of ``TILE`` by
+``TILE`` texts within tasks, so that only pairs that stay become rows. Candidates are compared signature batch by batch: with a uniform prior on the
 similarity, a pair leaves as soon as the posterior probability that it reaches the threshold falls below
 ``MISS``. The survivors' similarity is computed exactly on their texts.
 
@@ -37,8 +37,8 @@ from quire.tables import cut, near
 GRAM, SHORTEST, THRESHOLD = 5, 120, 0.70
 #: Permutations, values of each, signature values compared at a time, and the chance of losing a pair that is wanted.
 BANDS, ROWS, BATCH, MISS = 72, 7, 28, 1e-4
-#: Texts of one band beyond which a second band has to agree.
-HOT = 100
+#: Texts of one band beyond which its pairs are compared in tiles, and the texts on a side of a tile.
+HOT, TILE = 100, 2000
 #: Signature values that are compared first, and in all.
 FIRST, COMPARED = 56, 168
 
@@ -166,26 +166,54 @@ def text_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("record_kind", "record_id", "tid").distinct(), keyed.select("tid", "record_kind", "text")
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Distinct ``(doc_a, doc_b)`` of texts that share a band, or, where that is hot, a second one too. ``members (key, doc_id)``."""
+def _tile(part: pa.Table) -> pa.Table:
+    """The pairs that stay of the texts of one tile: all of one side, or each of one with each of the other."""
+    part = part.sort_by("tid")
+    tids, side = part.column("tid").combine_chunks(), part.column("side").to_numpy()
+    values = np.concatenate([np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("first", "rest")], axis=1)
+    bounds, out = least_matches(), []
+    for i in range(part.num_rows):
+        left = np.arange(i + 1, part.num_rows)
+        if part.column("i")[0] != part.column("j")[0]:
+            left = left[side[left] != side[i]]
+        matches, start = np.zeros(len(left), np.int64), 0
+        for n, m in bounds:
+            matches = matches + (values[left, start:n] == values[i, start:n]).sum(axis=1)
+            left, matches, start = left[matches >= m], matches[matches >= m], n
+        out.append(np.stack([np.full(len(left), i), left]))
+    a, b = np.concatenate(out, axis=1)
+    return pa.table({"doc_a": tids.take(pa.array(a)), "doc_b": tids.take(pa.array(b))})
+
+
+def _hot_pairs(members: DataFrame, sizes: DataFrame, signed: DataFrame) -> DataFrame:
+    """Distinct ``(doc_a, doc_b)`` that the signatures leave of all pairs of the texts of hot bands. ``members (key, doc_id)``."""
+    hot = members.join(sizes, "key")
+    same = hot.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("x"))
+    once = same.groupBy("n", "s", "x").agg(F.min("key").alias("key"))  # bands of the same texts are one
+    own = signed.select(F.col("tid").alias("doc_id"), "first", "rest").dropDuplicates(["doc_id"])
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = hot.drop("n").join(once.select("key", tiles.alias("tiles")), "key").withColumn("side", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("tiles")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = spread.join(own, "doc_id").select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", F.col("doc_id").alias("tid"), "first", "rest")
+    return rows.groupBy("key", "i", "j").applyInArrow(_tile, "doc_a binary, doc_b binary").distinct()
+
+
+def _likely(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """``(doc_a, doc_b)`` of texts that share a band and that the signatures leave. ``members (key, doc_id)``."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    many = sizes.where(F.col("n") > HOT)
-    if many.isEmpty():
-        return group_pairs(members, ["key"])
-    cold = members.join(sizes.where(F.col("n") <= HOT), "key", "left_semi")
-    hot = members.join(many, "key", "left_semi").select("doc_id", F.col("key").alias("first"))
-    second = members.join(sizes, "key", "left_semi").select("doc_id", F.col("key").alias("second"))
-    twice = hot.join(second, "doc_id").where(F.col("first") != F.col("second"))
-    both = twice.select("doc_id", F.least("first", "second").alias("k1"), F.greatest("first", "second").alias("k2")).distinct()
-    return group_pairs(cold, ["key"]).unionByName(group_pairs(cut(both), ["k1", "k2"])).distinct()
+    many = cut(sizes.where(F.col("n") > HOT))
+    hot = not many.isEmpty()
+    cold = members.join(many, "key", "left_anti") if hot else members
+    candidates = group_pairs(cold, ["key"]).select("doc_a", "doc_b", F.lit(0).cast("long").alias("matches"))
+    likely = _compare(cut(_compare(candidates, signed, "first", 0)), signed, "rest", FIRST).select("doc_a", "doc_b")
+    return likely.unionByName(_hot_pairs(members, many, signed)).distinct() if hot else likely
 
 
 def similar_texts(texts: DataFrame) -> DataFrame:
     """``(doc_a, doc_b, similarity)``: pairs of text classes whose similarity reaches the threshold."""
     signed = cut(texts.mapInArrow(_sign, "tid binary, bands array<long>, first binary, rest binary"))
     repeated = repeated_windows(signed.select(F.col("tid").alias("doc_id"), F.col("bands").alias("keys")), 1, 3)
-    candidates = _candidates(cut(repeated.distinct())).select("doc_a", "doc_b", F.lit(0).cast("long").alias("matches"))
-    likely = cut(_compare(cut(_compare(candidates, signed, "first", 0)), signed, "rest", FIRST))
+    likely = cut(_likely(cut(repeated.distinct()), signed))
     needed = likely.select(F.explode(F.array("doc_a", "doc_b")).alias("tid")).distinct()
     own = near(texts, needed, "tid").join(needed, "tid", "left_semi").dropDuplicates(["tid"])
     ta = own.select(F.col("tid").alias("doc_a"), F.col("text").alias("text_a"))

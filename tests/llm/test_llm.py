@@ -183,6 +183,31 @@ def test_hot_bands_and_kinds_of_one_beginning(spark, monkeypatch):
     assert got == want and len(want) > 40
 
 
+def test_texts_of_a_hot_band_need_no_second_one(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 1)
+    rng = random.Random(31)
+    rows = []
+    while len(rows) < 6:  # pairs that are alike and share one band only
+        t = words(rng, 60).split(" ")
+        u = [w if rng.random() > 0.13 else words(rng, 1) for w in t]
+        a, b = " ".join(t), " ".join(u)
+        one, two = neardup.signatures([a, b])
+        if (one == two).all(axis=1).sum() == 1 and neardup.similarity(a, b) >= 0.7:
+            rows += [("chunk", f"r{len(rows)}", a), ("chunk", f"r{len(rows) + 1}", b)]
+    want = {("chunk", f"r{i}", f"r{i + 1}") for i in (0, 2, 4)}
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, rows)).collect()} == want
+
+
+def test_tiles_compare_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "TILE", 4)
+    rng = random.Random(15)
+    base = words(rng, 60).split(" ")
+    texts = {f"r{i}": " ".join(words(rng, 1) if i and k % 60 == i % 8 * 7 else w for k, w in enumerate(base)) for i in range(30)}
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, [("chunk", k, t) for k, t in texts.items()])).collect()}
+    assert got == {("chunk", a, b) for a in texts for b in texts if a < b and neardup.similarity(texts[a], texts[b]) >= 0.7}
+
+
 def test_pruning_bounds_rise_and_keep_alike_pairs():
     bounds = neardup.least_matches()
     assert all(a[1] <= b[1] for a, b in zip(bounds, bounds[1:]))
