@@ -1,9 +1,9 @@
 """Noise of scanned pages: broken words, wrongly read characters, running lines and page marks; and repair of the text.
 
 A noisy channel, fitted on the corpus itself. Spark counts words, pairs of words and Han trigrams over all texts; the
-language model keeps the ``WORDS``, ``PAIRS`` and ``TRIGRAMS`` most frequent, which bounds what is broadcast; a form
-outside it is taken to be as frequent as the least that is kept, so that no real word is suspected for being rare. The
-probability of each character confusion is estimated by Spark from the counts: rare words one confusion away from a
+language model are all forms that occur ``LEAST`` times. Its ``WORDS``, ``PAIRS`` and ``TRIGRAMS`` most frequent are
+broadcast, and a sketch of at most ``SKETCH`` bits of the rest: a text that asks for a form of the rest is set aside
+with what it asks for, gets those counts by a join, and is read again, until it asks for nothing more. The probability of each character confusion is estimated by Spark from the counts: rare words one confusion away from a
 frequent one, and rare Han trigrams that differ in the middle from a trigram that dominates their context. A record's
 lines are read one by one; running lines and page marks fall out, broken words are joined, and where a word or a Han
 trigram is improbable the line is decoded by Viterbi over the candidates that the confusions allow; words without
@@ -27,10 +27,13 @@ from __future__ import annotations
 import difflib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 from quire.llm.spans import pieces
 from quire.tables import cut
 
-#: Entries of the language model.
-WORDS, PAIRS, TRIGRAMS, CONFUSIONS = 200_000, 400_000, 500_000, 2_000
+#: Entries of the language model that are broadcast, and bits of the sketch of the rest, at most.
+WORDS, PAIRS, TRIGRAMS, SKETCH = 200_000, 400_000, 500_000, 1 << 27
 #: How much more frequent a word or trigram has to be than its misread form, and occurrences a model entry needs.
 RATIO, LEAST = 25, 3
 #: The part of a page's widest line that a line has at least if the text runs on in the next.
@@ -163,20 +166,18 @@ def replacements(word: str) -> Iterator[tuple[str, tuple[str, str]]]:
             at = word.find(read, at + 1)
 
 
-def word_confusions(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
-    """``(read, true, n)`` of rare words one confusion away from a frequent one."""
-    shared = words.sparkSession.sparkContext.broadcast(frequent)
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(word, n, c, *shape) for word, n in zip(*(c.to_pylist() for c in batch.columns)) for c, shape in replacements(word)]
+        columns = zip(*rows) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["gram", "n", "other", "read", "true"])
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = shared.value, Counter()
-        for batch in batches:
-            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                best = max(((known.get(w, 0), c) for w, c in replacements(word)), default=(0, None))
-                if best[0] >= RATIO * n:
-                    found[best[1]] += n
-        yield pa.RecordBatch.from_pydict({"read": pa.array([c[0] for c in found], pa.string()), "true": pa.array([c[1] for c in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    return words.select("gram", "n").mapInArrow(tally, "read string, true string, n long").groupBy("read", "true").agg(F.sum("n").alias("n"))
+def misread_words(words: DataFrame) -> DataFrame:
+    """``(gram, n, read, true)`` of words one confusion away from one that is ``RATIO`` times as frequent, the most frequent of these."""
+    frequent = words.where(F.col("n") >= RATIO).select(F.col("gram").alias("other"), F.col("n").alias("m"))
+    found = words.select("gram", "n").mapInArrow(_replaced, "gram string, n long, other string, read string, true string").join(frequent, "other").where(F.col("m") >= RATIO * F.col("n"))
+    return found.groupBy("gram", "n").agg(F.max(F.struct("m", "read", "true")).alias("top")).select("gram", "n", "top.read", "top.true")
 
 
 def han_confusions(grams: DataFrame) -> DataFrame:
@@ -196,18 +197,35 @@ def han_confusions(grams: DataFrame) -> DataFrame:
 class Model:
     """The language model and the channel."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], trigrams: dict[str, int], latin: dict[tuple[str, str], float], han: dict[str, dict[str, float]], floors: tuple[int, int] = (0, 0)):
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], trigrams: dict[str, int], latin: dict[tuple[str, str], float], han: dict[str, dict[str, float]], floors: tuple[int, int] = (0, 0), total: int | None = None, sketch: bytes | None = None):
         self.words, self.pairs, self.trigrams, self.latin, self.han, self.floors = words, pairs, trigrams, latin, han, floors
         self.most = max(words.values(), default=0)
-        self.total = sum(words.values()) + 1
+        self.total = (sum(words.values()) if total is None else total) + 1
+        self.sketch, self.known, self.missing = sketch, {}, []  # of the rest: its sketch, the counts at hand, and what was asked for beside
         self.suspects = re.compile("[" + re.escape("".join(han)) + "]") if han else None
         self.options: dict[str, list[tuple[str, float, int]]] = {}
+        self.asked: dict[str, list[str]] = {}
         self.decoded: dict[tuple[str, tuple[int, ...]], list[tuple[int, str]]] = {}
 
+    def rest(self, kind: str, gram: str) -> int:
+        """The count of a form that is not among those broadcast."""
+        if self.sketch is None:
+            return 0
+        n = self.known.get(kind + gram)
+        if n is None and all(self.sketch[at >> 3] >> (at & 7) & 1 for at in sketch_places(kind + gram, 8 * len(self.sketch))):
+            self.missing.append(kind + gram)
+        return n or 0
+
+    def word(self, word: str) -> int:
+        return self.words.get(word) or self.rest("w", word)
+
+    def trigram(self, gram: str) -> int:
+        return self.trigrams.get(gram) or self.rest("h", gram)
+
     def count(self, word: str) -> int:
-        n = self.words.get(word, 0)
+        n = self.word(word)
         if word[:1].isupper():
-            n = max(n, self.words.get(word.lower(), 0), self.words.get(word.capitalize(), 0) if word.isupper() else 0)
+            n = max(n, self.word(word.lower()), self.word(word.capitalize()) if word.isupper() else 0)
         return n
 
     def candidates(self, word: str) -> list[tuple[str, float, int]]:
@@ -216,7 +234,17 @@ class Model:
         if options is None:
             if len(self.options) > KEPT:
                 self.options.clear()
-            options = self.options[word] = self._candidates(word)
+            asked = self.asked.get(word)
+            if asked and not all(key in self.known for key in asked):  # as before, in vain
+                self.missing += asked
+                return [(word, 0.0, 0)]
+            before, options = len(self.missing), self._candidates(word)
+            if len(self.missing) == before:
+                self.options[word] = options
+            else:
+                if len(self.asked) > KEPT:
+                    self.asked.clear()
+                self.asked[word] = list(dict.fromkeys(self.missing[before:]))
         return options
 
     def _candidates(self, word: str) -> list[tuple[str, float, int]]:
@@ -240,7 +268,7 @@ class Model:
         return [(c, p, k) for c, (p, k) in found.items()]
 
     def word_score(self, before: str, word: str) -> float:
-        pair = self.pairs.get(f"{before} {word}", 0)
+        pair = self.pairs.get(f"{before} {word}") or self.rest("p", f"{before} {word}")
         n = self.count(word)
         return math.log((pair + 0.5 * (n + 0.01) / self.total * 100) / (self.count(before) + 50)) if before else math.log((n + 0.01) / self.total)
 
@@ -323,7 +351,9 @@ def correct_han(text: str, model: Model) -> tuple[str, int]:
         if changes is None:
             if len(model.decoded) > KEPT:
                 model.decoded.clear()
-            changes = model.decoded[key] = _decode_han(*key, model)
+            before, changes = len(model.missing), _decode_han(*key, model)
+            if len(model.missing) == before:
+                model.decoded[key] = changes
         for i, y in changes:
             out[place[lo + i]] = y
             wrong += 1
@@ -333,10 +363,10 @@ def correct_han(text: str, model: Model) -> tuple[str, int]:
 
 def _decode_han(s: str, spots: tuple[int, ...], model: Model) -> list[tuple[int, str]]:
     """Viterbi over the Han candidates at the spots and the characters around them; the replacements of the best path."""
-    n3 = model.trigrams.get
+    n3 = model.trigram
     lo, hi = max(0, spots[0] - 2), min(len(s), spots[-1] + 3)
     options = {i: [(s[i], 0.0), *model.han[s[i]].items()] for i in spots}
-    score = lambda a, b, c: math.log(n3(a + b + c, 0) + 0.05) if "一" <= b <= "鿿" else 0.0
+    score = lambda a, b, c: math.log(n3(a + b + c) + 0.05) if "一" <= b <= "鿿" else 0.0
     paths: dict[tuple[str, str], tuple[float, str]] = {}
     for k in range(lo, hi):
         step: dict[tuple[str, str], tuple[float, str]] = {}
@@ -350,7 +380,7 @@ def _decode_han(s: str, spots: tuple[int, ...], model: Model) -> list[tuple[int,
                     step[(b, c)] = max(step.get((b, c), (-math.inf, "")), (q + p + score(a, b, c), path + c))
         paths = step
     gain, best = max(paths.values())
-    known = lambda a, b, c: math.log(max(n3(a + b + c, 0), model.floors[1]) + 0.05) if "一" <= b <= "鿿" else 0.0
+    known = lambda a, b, c: math.log(max(n3(a + b + c), model.floors[1]) + 0.05) if "一" <= b <= "鿿" else 0.0
     own = sum(known(*s[k : k + 3]) for k in range(lo, hi - 2))
     if best == s[lo:hi] or gain - own <= GAIN:
         return []
@@ -410,65 +440,121 @@ def read_page(text: str, title: str, model: Model) -> tuple[set[str], str]:
     return noise, (fixed if text.strip() else text)
 
 
-def fit_model(texts: DataFrame) -> Model:
-    """The model of a corpus; every part of it that is collected has a bounded number of entries."""
+def sketch_places(key: str, size: int) -> tuple[int, int]:
+    """The two bits of a key in a sketch of ``size`` bits, a power of two."""
+    h = zlib.crc32(key.encode("utf-8", "surrogatepass"))
+    return h & size - 1, (h * 0x9E3779B1 >> 5) & size - 1
+
+
+def rest_sketch(rest: DataFrame) -> bytes:
+    """The bits of all keys, of which a set without the key holds both by chance only."""
+    size = min(SKETCH, 1 << max(10, (16 * rest.count()).bit_length()))
+    part = min(size, 1 << 18)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([x for key in batch.column(0).to_pylist() for x in sketch_places(key, size)], np.int64)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(at // part), "at": pa.array(at % part)})
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(part, np.uint8)
+        bits[rows["at"].to_numpy()] = 1
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    packed = rest.select("key").mapInArrow(places, "part long, at long").groupBy("part").applyInPandas(pack, "part long, bits binary")
+    bits = {r.part: bytes(r.bits) for r in packed.collect()}  # of bounded size: SKETCH bits
+    return b"".join(bits.get(k, bytes(part // 8)) for k in range(size // part))
+
+
+def fit_model(texts: DataFrame) -> tuple[Model, DataFrame | None]:
+    """The model of a corpus, and ``(key, n)`` of its forms beyond those that are broadcast, if any."""
     grams = cut(gram_counts(texts))
-    top = lambda kind, most: {r.gram: r.n for r in grams.where((F.col("kind") == kind) & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "gram").limit(most).collect()}
-    words, pairs, trigrams = top("w", WORDS), top("p", PAIRS), top("h", TRIGRAMS)
-    floors = min(words.values()) if len(words) == WORDS else 0, min(trigrams.values()) if len(trigrams) == TRIGRAMS else 0
-    bound = lambda df: {(r.read, r.true): r.n for r in df.orderBy(F.desc("n"), "read", "true").limit(CONFUSIONS).collect()}
-    latin, han = bound(word_confusions(grams.where("kind = 'w'"), words)), bound(han_confusions(grams))
-    misread = {w for w, n in words.items() if any(words.get(c, 0) >= RATIO * n for c, _ in replacements(w))}
-    words = {w: n for w, n in words.items() if w not in misread}
-    pairs = {p: n for p, n in pairs.items() if misread.isdisjoint(p.split(" "))}
-    letters: Counter[str] = Counter()
-    for w, n in words.items():
-        for c in w:
-            letters[c] += n
-    middles: Counter[str] = Counter()
-    for g, n in trigrams.items():
-        middles[g[1]] += n
+    sure = lambda kind: grams.where((F.col("kind") == kind) & (F.col("n") >= LEAST))
+    misread = cut(misread_words(grams.where("kind = 'w'")))
+    latin = {(r.read, r.true): r.n for r in misread.groupBy("read", "true").agg(F.sum("n").alias("n")).collect()}  # bounded by SHAPES
+    wrong = misread.where(F.col("n") >= LEAST).select("gram")
+    pairs = sure("p").withColumn("a", F.substring_index("gram", " ", 1)).withColumn("b", F.substring_index("gram", " ", -1))
+    for side in "ab":
+        pairs = pairs.join(wrong.withColumnRenamed("gram", side), side, "left_anti")
+    forms = cut(sure("w").join(wrong, "gram", "left_anti").unionByName(pairs.drop("a", "b")).unionByName(sure("h")))
+    kept, rest = {}, None
+    for kind, most in (("w", WORDS), ("p", PAIRS), ("h", TRIGRAMS)):
+        own = forms.where(F.col("kind") == kind)
+        kept[kind] = {r.gram: r.n for r in own.orderBy(F.desc("n"), "gram").limit(most).collect()}
+        if len(kept[kind]) == most:
+            last, least = next(reversed(kept[kind].items()))
+            left = own.where((F.col("n") < least) | (F.col("n") == least) & (F.col("gram") > last))
+            rest = left if rest is None else rest.unionByName(left)
+    if rest is not None:
+        rest = cut(rest.select(F.concat("kind", "gram").alias("key"), "n"))
+        rest = None if rest.isEmpty() else rest
+    total = forms.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
+    letters = Counter({r.c: r.n for r in forms.where("kind = 'w'").select(F.explode(F.split("gram", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).collect()})  # bounded by the script
+    middles = forms.where("kind = 'h'").groupBy(F.substring("gram", 2, 1).alias("read")).agg(F.sum("n").alias("m"))
     channel = {s: math.log(max(latin.get(s, 0), 0.01) / (letters[s[1][0]] + 100)) for s in SHAPES}
     table: dict[str, dict[str, float]] = defaultdict(dict)
     for pair in HAN_SHAPES:
         table[pair[0]][pair[1]] = math.log(1e-3)
-    for (read, true), n in han.items():
-        if n >= 0.5 * middles[read] or true in table.get(read, {}):
-            table[read][true] = max(math.log(n / (middles[true] + 100)), table[read].get(true, -99))
-    return Model(words, pairs, trigrams, channel, dict(table), floors)
+    of = Counter({r.read: r.m for r in middles.collect()})
+    han = han_confusions(grams).join(middles, "read", "left").where((F.col("n") >= 0.5 * F.coalesce("m", F.lit(0))) | F.concat("read", "true").isin(HAN_SHAPES))
+    for r in han.collect():  # bounded by the script
+        table[r.read][r.true] = max(math.log(r.n / (of[r.true] + 100)), table[r.read].get(r.true, -99))
+    return Model(kept["w"], kept["p"], kept["h"], channel, dict(table), (0, 0), total, None if rest is None else rest_sketch(rest)), rest
 
 
-def _read(records: DataFrame, model: Model, repaired: bool) -> DataFrame:
-    shared = records.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.trigrams, model.latin, model.han, model.floors))
+def _read(records: DataFrame, model: Model, rest: DataFrame | None, repaired: bool) -> DataFrame:
+    """``(record_kind, record_id, value)`` of each text: its kinds of noise, or itself repaired."""
+    shared = records.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.trigrams, model.latin, model.han, model.floors, model.total - 1, model.sketch))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         titles: dict[str, str] = {}
         for batch in batches:
-            kinds, ids, out = [], [], []
-            for kind, rid, title, text in zip(*(c.to_pylist() for c in batch.columns)):
+            kinds, ids, out, again = [], [], [], []
+            for kind, rid, title, text, known in zip(*(c.to_pylist() for c in batch.columns)):
                 t = titles.get(title)
                 if t is None:
                     if len(titles) > 100_000:
                         titles.clear()
                     t = titles[title] = plain_title(title or "")
+                own.known, own.missing = {k["key"]: k["n"] for k in known or []}, []
                 noise, fixed = read_page(text, t, own)
+                if own.missing:
+                    again.append((kind, rid, title, text, known or [], list(dict.fromkeys(own.missing))))
+                    continue
                 for value in [fixed] if repaired else sorted(noise):
                     kinds.append(kind)
                     ids.append(rid)
                     out.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (kinds, ids, out)], names=["record_kind", "record_id", "value"])
-
-    return records.where(F.col("record_id").isNotNull() & F.col("text").isNotNull()).select("record_kind", "record_id", "title", "text").mapInArrow(read, "record_kind string, record_id string, value string")
+            done, nothing = len(out), [None] * len(out)
+            columns = [[*x, *y] for x, y in zip((kinds, ids, nothing, nothing, nothing, nothing), zip(*again))] if again else [kinds, ids, nothing, nothing, nothing, nothing]
+            kind_of = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())])), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kind_of)), pa.array([*out, *[None] * (len(columns[0]) - done)], pa.string())], names=["record_kind", "record_id", "title", "text", "known", "missing", "value"])
+
+    known = "array<struct<key:string,n:bigint>>"
+    texts = records.where(F.col("record_id").isNotNull() & F.col("text").isNotNull()).select("record_kind", "record_id", "title", "text", F.lit(None).cast(known).alias("known"))
+    look = lambda df: df.mapInArrow(read, f"record_kind string, record_id string, title string, text string, known {known}, missing array<string>, value string")
+    seen = look(texts)
+    if rest is None:
+        return seen.select("record_kind", "record_id", "value")
+    parts = []
+    while True:  # every round a text knows more of what it asks for
+        seen = cut(seen)
+        parts.append(seen.where("missing IS NULL").select("record_kind", "record_id", "value"))
+        left = seen.where("missing IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        asked = left.select("row", F.explode("missing").alias("key")).join(rest, "key", "left").groupBy("row").agg(F.collect_list(F.struct("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"))).alias("more"))
+        seen = look(left.join(asked, "row").select("record_kind", "record_id", "title", "text", F.concat("known", "more").alias("known")))
 
 
 def page_noise(records: DataFrame) -> DataFrame:
     """``(record_kind, record_id, noise)`` of ``records (record_kind, record_id, title, text)``."""
-    model = fit_model(records.where(F.col("text").isNotNull()).select("text"))
-    return _read(records, model, False).withColumnRenamed("value", "noise").distinct()
+    model, rest = fit_model(records.where(F.col("text").isNotNull()).select("text"))
+    return _read(records, model, rest, False).withColumnRenamed("value", "noise").distinct()
 
 
 def repaired_texts(records: DataFrame) -> DataFrame:
     """``(record_kind, record_id, text)``: each text as continuous paragraphs without its noise."""
-    model = fit_model(records.where(F.col("text").isNotNull()).select("text"))
-    return _read(records, model, True).withColumnRenamed("value", "text").distinct()
+    model, rest = fit_model(records.where(F.col("text").isNotNull()).select("text"))
+    return _read(records, model, rest, True).withColumnRenamed("value", "text").distinct()

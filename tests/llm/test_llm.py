@@ -350,6 +350,20 @@ def test_noise_and_repair(spark):
     assert scanned.page_noise(df.limit(0)).count() == 0
 
 
+def test_forms_beyond_those_broadcast_count_as_well(spark, monkeypatch):
+    rng = random.Random(7)
+    rare = ["".join(rng.choice("bdghkpstz") + rng.choice("aeou") for _ in range(4)) + "mark" for _ in range(30)]
+    rows = [("chunk", f"r{i}", TITLE, f"the carrier of {w} passed the {w} check 检测发现环境测试仍在持续") for i, w in enumerate(rare * 30)]
+    rows += [("chunk", f"bad{i}", TITLE, f"the carrier of {w.replace('m', 'rn')} passed\nthe {w.replace('m', 'rn')} check 检测发现坏境测试仍在持续") for i, w in enumerate(rare)]
+    rows += [("chunk", "hyphen", TITLE, f"the carrier of {rare[0][:4]}-\n{rare[0][4:]} passed")]
+    df = spark.createDataFrame(rows, "record_kind string, record_id string, title string, text string")
+    want = [sorted(tuple(r) for r in f(df).collect()) for f in (scanned.page_noise, scanned.repaired_texts)]
+    assert {r[1] for r in want[0]} == {f"bad{i}" for i in range(30)} | {"hyphen"}
+    for name in ("WORDS", "PAIRS", "TRIGRAMS"):
+        monkeypatch.setattr(scanned, name, 5)
+    assert [sorted(tuple(r) for r in f(df).collect()) for f in (scanned.page_noise, scanned.repaired_texts)] == want
+
+
 def test_long_running_lines_and_forms_outside_the_model():
     title = scanned.plain_title("carbon fabric quality notes " * 10)
     noise, text = scanned.read_page("Carbon fabric quality notes " * 10 + "  5\nThe carrier passed.", title, scanned.Model({}, {}, {}, {}, {}))
