@@ -3,10 +3,10 @@
 Latent semantic retrieval. Texts are folded (width, case) and cut into tokens: a Han character, or a word of other
 letters and digits; punctuation and white space fall away. Features are pairs of neighbouring tokens. The evaluation set
 is taken in blocks of at most ``ITEM_CHARS`` characters (an item at least), each of which is sought in the whole corpus;
-the vocabulary of a block are the features of its passages, which bounds all that is broadcast. The features' document
-frequencies are counted by Spark over the whole corpus. The basis is a randomised SVD of TF-IDF passages of the corpus,
-with the products ``A^T (A B)`` summed over partitions by Spark; it is the fitted part of the index and is fitted on
-about ``FIT_DOCUMENTS`` documents, drawn by the hash of their id, and on all passages. Every window of every document is
+the vocabulary of a block are the features of its passages, which bounds all that is broadcast. One pass over the corpus
+finds the features, packed and kept for the passes that follow: their document frequencies are counted by Spark over the
+whole corpus, and the basis is a randomised SVD of all TF-IDF passages of the corpus and of the evaluation set, with the
+products ``A^T (A B)`` summed over partitions by Spark. Every window of every document is
 projected on the basis, block by block, and compared with the segments of every passage: halves, or for long passages
 stretches of about a window's length, so that the cosine does not fall with the length. A cosine of ``LATENT`` in the
 latent space makes a candidate, if besides either window and segment reach ``FULL`` in the whole vocabulary, as every
@@ -40,16 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.spans import mix, pieces, powers
+from quire.tables import cut, near
 
 #: Units of a block and of a window: a Han character is one unit, a word is WORD.
 BLOCK, PER_WINDOW, WORD = 20, 3, 3
-#: Dimensions of the latent space, power iterations, documents the basis is fitted on, about.
-DIMENSIONS, ITERATIONS, FIT_DOCUMENTS = 64, 1, 2000
+#: Dimensions of the latent space and power iterations.
+DIMENSIONS, ITERATIONS = 64, 1
 #: Characters of passages and queries that are sought together, and units of a passage's segment at most, two windows.
 ITEM_CHARS, SEGMENT = 200_000, 2 * BLOCK * PER_WINDOW
 #: Least cosines of a candidate, in the latent space and in the whole vocabulary, and the least part of the answer that stands for the latter.
 LATENT, FULL, ANSWER = 0.75, 0.36, 0.5
-#: The part of a passage a stretch has to carry, the part two stretches have to, how much of a stretch has to match, tokens aligned at a time, and cells of an alignment that are kept.
+#: The part of a passage a stretch has to carry, the part two stretches have to, how much of a stretch has to match, tokens aligned at a time, and cells of an alignment, or of weights, that are kept.
 PART, BOTH, DENSE, ALIGNED, CELLS = 0.48, 0.90, 0.86, 4000, 4_000_000
 #: The part of a passage's tokens that a paraphrase has in order, and of its answer.
 COMMON, TOLD = 0.6, 0.5
@@ -145,10 +146,18 @@ def features(tokens: Tokens, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     return found[on], tokens.owner[on], tokens.unit[on] // BLOCK
 
 
-def _sum_rows(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows of equal, sorted keys."""
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(rows, starts)
+def _sums(weights: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each row of weights those that the index names, summed from start to start."""
+    out, named = np.empty((len(weights), len(starts)), weights.dtype), np.empty(len(index), weights.dtype)
+    for row, to in zip(weights, out):
+        np.take(row, index, out=named, mode="clip")
+        np.add.reduceat(named, starts, out=to)
+    return out
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each of the distinct ones of sorted keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
 def segments(feature: np.ndarray, unit: np.ndarray) -> list[np.ndarray]:
@@ -318,6 +327,10 @@ class Index:
         weights = [self.idf[f] * n for f, n in cells]
         self.cells = np.concatenate([f + k * self.vocabulary.size for k, (f, _) in enumerate(cells)])
         self.weights = np.concatenate([w / max(float(np.linalg.norm(w)), 1e-9) for w in weights]).astype(np.float32)
+        self.table = None
+        if len(self.queries) * self.vocabulary.size <= CELLS:  # else they are sought
+            self.table = np.zeros(len(self.queries) * self.vocabulary.size, np.float32)
+            self.table[self.cells] = self.weights
         rare, answers = np.minimum(self.idf, self.idf.max() - np.float32(np.log(3))), []  # features of very few documents weigh alike
         for f in self.untold:  # the rarer half of what the query leaves open
             f = f[rare[f] >= np.median(rare[f])] if len(f) else f
@@ -328,6 +341,8 @@ class Index:
     def weight(self, query: np.ndarray, feature: np.ndarray) -> np.ndarray:
         """The weights of features in segments, 0 where a segment lacks one."""
         key = query.astype(np.int64) * self.vocabulary.size + feature
+        if self.table is not None:
+            return self.table[key]
         at = np.minimum(np.searchsorted(self.cells, key), len(self.cells) - 1)
         return np.where(self.cells[at] == key, self.weights[at], np.float32(0))
 
@@ -337,22 +352,6 @@ class Index:
         return float(self.answer_weight[on][np.isin(self.answer[on], features)].sum())
 
 
-def _blocks(feature: np.ndarray, owner: np.ndarray, block: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per (text, block) key the sum of the features' rows, taken in slices to bound memory."""
-    keys = owner.astype(np.int64) << 32 | block
-    out_k, out_r = [], []
-    for s in range(0, len(keys), 100_000):
-        e = min(len(keys), s + 100_000)
-        k, r = _sum_rows(rows[feature[s:e]], keys[s:e])
-        if out_k and out_k[-1][-1] == k[0]:
-            out_r[-1][-1] += r[0]
-            k, r = k[1:], r[1:]
-        if len(k):
-            out_k.append(k)
-            out_r.append(r)
-    return np.concatenate(out_k), np.concatenate(out_r)
-
-
 def _windows(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums over the blocks of the window that begins at each block."""
     out = rows.copy()
@@ -364,47 +363,82 @@ def _windows(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _document_frequencies(index):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, of which most are zero."""
+    return pa.compress(np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), codec="lz4", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="lz4", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+
+
+PACKED = "ids array<long>, keys array<long>, n int, features binary, counts binary, steps binary"
+
+
+def _featured(index):
+    """For every piece of the texts their ids and keys, the features, how many each text has, and the steps between their blocks."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Index(*index.value).vocabulary
-        total = np.zeros(vocabulary.size, np.int64)
         for batch in batches:
-            for part in pieces(batch, 0, 2_000_000):
-                feature, owner, _ = features(Tokens(part.column(0).to_pylist()), vocabulary)
-                seen = np.zeros((part.num_rows, vocabulary.size), bool) if part.num_rows * vocabulary.size < 60_000_000 else None
-                if seen is None:
-                    total += np.bincount(np.unique(owner.astype(np.int64) * vocabulary.size + feature) % vocabulary.size, minlength=vocabulary.size)
-                else:
-                    seen[owner, feature] = True
-                    total += seen.sum(axis=0)
+            for part in pieces(batch, 1, 1_500_000):
+                feature, owner, block = features(Tokens(part.column(1).to_pylist()), vocabulary)
+                if len(feature):
+                    packed = (_pack(x) for x in (feature, np.bincount(owner, minlength=part.num_rows), np.diff(block, prepend=0)))
+                    lists = (pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in (0, 2))
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([len(feature)], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["ids", "keys", "n", "features", "counts", "steps"])
+
+    return find
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and keys of the texts of a piece, and of their features: the feature, its text and its block."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ids, keys, n, feature, counts, steps = (c[r].as_py() for c in batch.columns)
+            owner = np.repeat(np.arange(len(ids)), _unpack(counts, len(ids)))
+            yield ids, keys, _unpack(feature, n).astype(np.int64), owner, np.cumsum(_unpack(steps, n), dtype=np.int64)
+
+
+def _document_frequencies(size: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for ids, _, feature, owner, _ in _pieces(batches):
+            if len(ids) * size < 60_000_000:
+                seen = np.zeros((len(ids), size), bool)
+                seen[owner, feature] = True
+                total += seen.sum(axis=0)
+            else:
+                total += np.bincount(np.unique(owner * size + feature) % size, minlength=size)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"feature": pa.array(on.astype(np.int32)), "n": pa.array(total[on])})
 
     return count
 
 
-def _products(index, idf: np.ndarray, basis: np.ndarray):
-    """Partial sums of ``A^T (A B)`` over the passages of a partition, in blocks of rows."""
+def _products(idf: np.ndarray, basis: np.ndarray):
+    """Partial sums of ``A^T (A B)`` over the passages of a partition, in blocks of rows. A ``B`` of one cell a row takes one sum."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Index(*index.value).vocabulary
-        rows = (basis * idf[:, None]).astype(np.float32)
-        total = np.zeros((vocabulary.size, basis.shape[1]), np.float32)
-        for batch in batches:
-            for part in pieces(batch, 0, 1_000_000):
-                feature, owner, block = features(Tokens(part.column(0).to_pylist()), vocabulary)
-                if not len(feature):
-                    continue
-                keys = owner.astype(np.int64) << 32 | block // PER_WINDOW
-                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                norms = np.sqrt(np.add.reduceat(idf[feature] ** 2, starts))
-                product = np.add.reduceat(rows[feature], starts) / np.maximum(norms, 1e-9)[:, None] ** 2
-                spread = np.repeat(product, np.diff([*starts, len(feature)]), axis=0) * idf[feature][:, None]
-                order = np.argsort(feature, kind="stable")
-                at, sums = _sum_rows(spread[order], feature[order])
-                total[at] += sums
-        for s in range(0, len(total), 512):
-            yield pa.RecordBatch.from_pydict({"rows": pa.array([s], pa.int32()), "part": [total[s : s + 512].tobytes()]})
+        rows = np.ascontiguousarray((basis * idf[:, None]).T.astype(np.float32))
+        total = np.zeros(rows.shape)
+        single = np.abs(basis).argmax(axis=1) if np.count_nonzero(basis) == len(basis) else None
+        for _, _, feature, owner, block in _pieces(batches):
+            starts = _starts(owner << 32 | block // PER_WINDOW)
+            at = np.repeat(np.arange(len(starts)), np.diff([*starts, len(feature)]))
+            if single is None:
+                product = _sums(rows, feature, starts)
+            else:
+                row = single[feature]
+                product = np.bincount(row * len(starts) + at, rows[row, feature], len(rows) * len(starts)).reshape(len(rows), -1).astype(np.float32)
+            product /= np.maximum(np.add.reduceat(idf[feature] ** 2, starts), 1e-18).astype(np.float32)
+            order = np.argsort(feature.astype(np.uint16) if len(idf) <= 1 << 16 else feature, kind="stable")
+            starts = _starts(feature[order])
+            total[:, feature[order[starts]]] += _sums(product, at[order], starts)
+        whole = np.ascontiguousarray((total * idf).T.astype(np.float32))
+        for s in range(0, len(whole), 512):
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([s], pa.int32()), "part": [whole[s : s + 512].tobytes()]})
 
     return multiply
 
@@ -414,12 +448,13 @@ def _add(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rows": [part["rows"].iloc[0]], "total": [total.tobytes()]})
 
 
-def latent_basis(texts: DataFrame, shared, index: Index, idf: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of the leading directions of the TF-IDF passages."""
+def latent_basis(featured: DataFrame, index: Index, idf: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the leading directions of all TF-IDF passages."""
     size = len(idf)
-    basis = np.random.default_rng(7).standard_normal((size, min(DIMENSIONS, size)))
+    rng, basis = np.random.default_rng(7), np.zeros((size, min(DIMENSIONS, size)))
+    basis[np.arange(size), rng.permutation(size) % basis.shape[1]] = rng.choice([-1.0, 1.0], size)  # each feature in one random direction
     for _ in range(ITERATIONS + 1):
-        parts = texts.mapInArrow(_products(shared, idf, basis.astype(np.float32)), "rows int, part binary").groupBy("rows").applyInPandas(_add, "rows int, total binary").collect()  # bounded by the vocabulary
+        parts = featured.mapInArrow(_products(idf, basis.astype(np.float32)), "rows int, part binary").groupBy("rows").applyInPandas(_add, "rows int, total binary").collect()  # bounded by the vocabulary
         total = np.zeros(basis.shape)
         for p in parts:
             block = np.frombuffer(p.total, np.float64).reshape(-1, basis.shape[1])
@@ -432,42 +467,56 @@ def latent_basis(texts: DataFrame, shared, index: Index, idf: np.ndarray) -> np.
 
 
 def _search(index):
+    """``(doc_id, key, item, blocks)``: the windows of a text that are candidates for an item, both by their places."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = Index(*index.value)
-        latent = np.ascontiguousarray(x.latent.T)
+        latent, basis = np.ascontiguousarray(x.latent.T), np.ascontiguousarray(x.basis.T)
+        for ids, hashes, feature, owner, block in _pieces(batches):
+            places = owner << 32 | block
+            starts = _starts(places)
+            keys = places[starts]
+            windows = _windows(keys, np.ascontiguousarray(_sums(basis, feature, starts).T))
+            windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-9)[:, None]
+            place = np.searchsorted(places, np.stack([keys, keys + PER_WINDOW]))
+            holds = _held(len(ids), x.vocabulary.size, owner, feature)
+            candidates: dict[tuple[int, int], list[int]] = {}
+            for s in range(0, len(keys), 8192):  # every window with every segment, whatever their scripts
+                row, query = np.divmod(np.flatnonzero((windows[s : s + 8192] @ latent > LATENT).ravel()), len(x.queries))
+                for doc, item, b in _confirmed(x, feature, place, row + s, query, keys, holds):
+                    candidates.setdefault((doc, item), []).append(b)
+            of = sorted(candidates)
+            columns = [pa.array([ids[d] for d, _ in of], pa.int64()), pa.array([hashes[d] for d, _ in of], pa.int64()), pa.array([i for _, i in of], pa.int32()), pa.array([sorted(set(candidates[c])) for c in of], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "item", "blocks"])
+
+    return search
+
+
+def _check(index):
+    """``(doc_id, item_id, kind)`` of the candidates ``(doc_id, text, found)`` that are one."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = Index(*index.value)
         for batch in batches:
             for part in pieces(batch, 1, 1_500_000):
                 tokens = Tokens(part.column(1).to_pylist())
-                feature, owner, block = features(tokens, x.vocabulary)
-                if not len(feature):
-                    continue
-                keys, rows = _blocks(feature, owner, block, x.basis)
-                windows = _windows(keys, rows)
-                windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-9)[:, None]
-                place = np.searchsorted(owner.astype(np.int64) << 32 | block, np.stack([keys, keys + PER_WINDOW]))
                 first = np.searchsorted(tokens.owner, np.arange(part.num_rows + 1))
-                holds = _held(part.num_rows, x.vocabulary.size, owner, feature)
-                candidates: dict[tuple[int, int], list[int]] = {}
-                for s in range(0, len(keys), 8192):  # every window with every segment, whatever their scripts
-                    row, query = np.divmod(np.flatnonzero((windows[s : s + 8192] @ latent > LATENT).ravel()), len(x.queries))
-                    for doc, item, at in _confirmed(x, feature, place, row + s, query, keys, holds):
-                        candidates.setdefault((doc, item), []).append(at)
                 ids, items, kinds = [], [], []
-                docs = part.column(0).to_pylist()
-                for (doc, item), at in sorted(candidates.items()):
-                    near = _around(tokens.unit[first[doc] : first[doc + 1]], at, x.units[item])
-                    text = tokens.hash[first[doc] : first[doc + 1]][near]
-                    common = common_tokens(x.tokens[item], text)  # no stretch can match in more
-                    kind = "leaked" if common >= PART * len(x.tokens[item]) and leaked(x.tokens[item], text) else None
-                    if kind is None and common >= COMMON * len(x.tokens[item]) and x.told(item, x.vocabulary.find(tokens.pair[first[doc] + near[:-1]])) >= TOLD:
-                        kind = "paraphrased"
-                    if kind:
-                        ids.append(docs[doc])
-                        items.append(int(x.ids[item]))
-                        kinds.append(kind)
+                for doc, (id_, found) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
+                    for item, at in ((f["item"], f["blocks"]) for f in found):
+                        around = _around(tokens.unit[first[doc] : first[doc + 1]], at, x.units[item])
+                        text = tokens.hash[first[doc] : first[doc + 1]][around]
+                        common = common_tokens(x.tokens[item], text)  # no stretch can match in more
+                        kind = "leaked" if common >= PART * len(x.tokens[item]) and leaked(x.tokens[item], text) else None
+                        if kind is None and common >= COMMON * len(x.tokens[item]) and x.told(item, x.vocabulary.find(tokens.pair[first[doc] + around[:-1]])) >= TOLD:
+                            kind = "paraphrased"
+                        if kind:
+                            ids.append(id_)
+                            items.append(int(x.ids[item]))
+                            kinds.append(kind)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "item_id": pa.array(items, pa.int64()), "kind": pa.array(kinds, pa.string())})
 
-    return search
+    return check
 
 
 def _around(unit: np.ndarray, blocks: list[int], reach: int) -> np.ndarray:
@@ -532,23 +581,25 @@ def _block_found(texts: DataFrame, n_texts: int, items: DataFrame) -> DataFrame
     if not index.queries:
         return None
     shared = spark.sparkContext.broadcast(stated)
-    counts = texts.select("text").mapInArrow(_document_frequencies(shared), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # bounded by the vocabulary
+    featured = cut(texts.mapInArrow(_featured(shared), PACKED))
+    counts = featured.mapInArrow(_document_frequencies(index.vocabulary.size), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # bounded by the vocabulary
     df = np.zeros(index.vocabulary.size)
     for r in counts:
         df[r.feature] = r.n
     idf = np.log((n_texts + 1) / (df + 1)) + 0.1
-    share = min(1.0, FIT_DOCUMENTS / max(1, n_texts))
-    sample = texts.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    basis = latent_basis(sample, shared, index, idf)
+    basis = latent_basis(featured, index, idf)
     ready = spark.sparkContext.broadcast((*stated, idf.astype(np.float32), basis.astype(np.float32)))
-    return texts.mapInArrow(_search(ready), "doc_id long, item_id long, kind string")
+    candidates = cut(featured.mapInArrow(_search(ready), "doc_id long, key long, item int, blocks array<int>"))
+    found = candidates.groupBy("doc_id", "key").agg(F.collect_set(F.struct("item", "blocks")).alias("found"))  # of one text: bounded by the block
+    wanted = near(texts, candidates, "doc_id").join(found, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    return wanted.select("doc_id", "text", "found").repartition(max(1, texts.rdd.getNumPartitions()), "doc_id").mapInArrow(_check(ready), "doc_id long, item_id long, kind string")
 
 
 def found_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, kind)``: documents that carry at least half of an item's passage, and those that tell it in other words."""
     query = F.col("query").cast("string") if "query" in items.columns else F.lit(None).cast("string")
     known = items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select("item_id", "passage", query.alias("query")).dropDuplicates(["item_id", "passage"])
-    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     size = known.agg(F.sum(F.length("passage") + F.coalesce(F.length("query"), F.lit(0)))).first()[0] or 0
     n_blocks, n_texts = 1 + size // ITEM_CHARS, texts.count()
     block = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))

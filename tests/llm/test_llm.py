@@ -303,6 +303,42 @@ def test_a_verbatim_half_counts_beside_text_that_only_resembles():
     assert leak.dense_part(np.array([0, 1, 2, 3, 9, 10, 11])) == (4, 0, 4) and leak.dense_part(np.array([], int)) == (0, 0, 0)
 
 
+def test_the_basis_is_fitted_on_all_documents(spark, monkeypatch):
+    fitted = []
+    own = leak.latent_basis
+    monkeypatch.setattr(leak, "latent_basis", lambda *args: fitted.append((args[0], own(*args))) or fitted[-1][1])
+    rng = random.Random(17)
+    passage = words(rng, 40)
+    docs = [(i, f"{words(rng, 5)} {' '.join(rng.sample(passage.split(' '), 8))} {' '.join(passage.split(' ')[i % 30 : i % 30 + 6])}") for i in range(3000)] + [(9000, passage)]
+    items = spark.createDataFrame([(7, passage, None)], "item_id long, passage string, query string")
+    got = leak.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert [tuple(r) for r in got.collect()] == [(9000, 7)]
+    featured, basis = fitted[0]
+    assert sum(len(r.ids) for r in featured.select("ids").collect()) == len(docs)  # before: about 2,000 of them
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-6)
+
+
+def test_products_over_all_passages():
+    rng = np.random.default_rng(5)
+    size, n = 50, 400
+    owner, block = np.sort(rng.integers(0, 20, n)), rng.integers(0, 12, n)
+    order = np.lexsort([block, owner])
+    owner, block, feature = owner[order], block[order], rng.integers(0, size, n)
+    idf = rng.random(size) + 0.1
+    packed = [leak._pack(x) for x in (feature, np.bincount(owner, minlength=20), np.diff(block, prepend=0))]
+    batch = leak.pa.RecordBatch.from_pydict({"ids": [list(range(20))], "keys": [list(range(20))], "n": [n], "features": [packed[0]], "counts": [packed[1]], "steps": [packed[2]]})
+    rows = np.zeros((20 * 4, size))
+    np.add.at(rows, (owner * 4 + block // leak.PER_WINDOW, feature), idf[feature])
+    norms = np.zeros(len(rows))
+    np.add.at(norms, owner * 4 + block // leak.PER_WINDOW, idf[feature] ** 2)
+    single = np.zeros((size, 8))
+    single[np.arange(size), np.arange(size) % 8] = -1
+    for basis in (rng.standard_normal((size, 8)), single):
+        (out,) = leak._products(idf, basis)(iter([batch]))
+        got = np.frombuffer(out.column(1)[0].as_py(), np.float32).reshape(size, 8)
+        assert np.allclose(got, rows.T @ ((rows @ basis) / np.maximum(norms, 1e-18)[:, None]), rtol=1e-3, atol=1e-4)
+
+
 def test_passages_in_long_texts_of_the_other_script(spark):
     rng = random.Random(4)
     han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
