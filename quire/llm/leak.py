@@ -50,10 +50,12 @@ DIMENSIONS, ITERATIONS = 64, 1
 ITEM_CHARS, SEGMENT = 200_000, 2 * BLOCK * PER_WINDOW
 #: Least cosines of a candidate, in the latent space and in the whole vocabulary, and the least part of the answer that stands for the latter.
 LATENT, FULL, ANSWER = 0.75, 0.36, 0.5
-#: The part of a passage a stretch has to carry, the part two stretches have to, how much of a stretch has to match, tokens aligned at a time, and cells of an alignment, or of weights, that are kept.
+#: The part of a passage a stretch has to carry, the part two stretches have to, how much of a stretch has to match, tokens aligned at a time, and cells of an alignment that are kept.
 PART, BOTH, DENSE, ALIGNED, CELLS = 0.48, 0.90, 0.86, 4000, 4_000_000
 #: The part of a passage's tokens that a paraphrase has in order, and of its answer.
 COMMON, TOLD = 0.6, 0.5
+#: Rows that are summed one by one, cosines that are looked at together, and windows whose features are.
+RUN, COSINES, LOOKED = 32, 1 << 19, 5000
 _MASK = (1 << 22) - 1
 
 
@@ -146,12 +148,22 @@ def features(tokens: Tokens, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     return found[on], tokens.owner[on], tokens.unit[on] // BLOCK
 
 
-def _sums(weights: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Of each row of weights those that the index names, summed from start to start."""
-    out, named = np.empty((len(weights), len(starts)), weights.dtype), np.empty(len(index), weights.dtype)
-    for row, to in zip(weights, out):
-        np.take(row, index, out=named, mode="clip")
-        np.add.reduceat(named, starts, out=to)
+def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sums, from start to start, of the rows that the index names: a sum's k-th row is added to all sums at once, long sums are made of parts."""
+    n = np.diff(np.append(starts, len(index)))
+    if n.max() > RUN:
+        parts = -(-n // RUN)
+        first = np.cumsum(parts) - parts
+        begin = np.repeat(starts - RUN * first, parts) + RUN * np.arange(parts.sum())
+        return _sums(_sums(rows, index, begin), np.arange(len(begin)), first)
+    out = np.empty((len(starts), rows.shape[1]), rows.dtype)
+    for s in range(0, len(starts), 4096):
+        order = np.argsort(-n[s : s + 4096], kind="stable")
+        first, left = starts[s : s + 4096][order], -n[s : s + 4096][order]
+        sums = np.take(rows, index[first], axis=0)
+        for k, more in enumerate(np.searchsorted(left, -np.arange(1, -left[0])).tolist(), 1):
+            sums[:more] += np.take(rows, index[first[:more] + k], axis=0)
+        out[s + order] = sums
     return out
 
 
@@ -171,21 +183,21 @@ def segments(feature: np.ndarray, unit: np.ndarray) -> list[np.ndarray]:
 
 def _fill(block: np.ndarray, passage: np.ndarray, text: np.ndarray, used: dict[int, np.ndarray], first: int) -> None:
     """The rows of scores of the passage's tokens from ``first`` on; the block's first row is that before them."""
-    n = len(block) - 1
-    step = np.where(passage[first : first + n, None] == text[None, :], 1, -1).astype(block.dtype)
+    n, m = len(block) - 1, len(text)
+    step = np.where(passage[first : first + n, None] == text[None, :], 3, 1).astype(block.dtype)
     for i in used:
         if first <= i < first + n:
-            step[i - first, used[i]] = -1
-    ramp = np.arange(len(text) + 1, dtype=block.dtype)
+            step[i - first, used[i]] = 1
+    ramp = np.arange(n + m + 1, dtype=block.dtype)  # scores are taken with their row and column added, so that tokens left out cost nothing
+    block[0] += ramp[: m + 1]
     for i in range(n):
-        row = block[i + 1]
-        row[0] = 0
-        np.maximum(block[i, 1:] - 1, 0, out=row[1:])
-        step[i] += block[i, :-1]
+        row, before = block[i + 1], block[i]
+        np.maximum(before, ramp[i + 1 : i + m + 2], out=row)
+        np.add(step[i], before[:-1], out=step[i])
         np.maximum(row[1:], step[i], out=row[1:])
-        row += ramp
-        np.maximum.accumulate(row, out=row)  # tokens of the text left out
-        row -= ramp
+        np.maximum.accumulate(row, out=row)
+    block -= ramp[: m + 1]
+    block -= ramp[: n + 1, None]
 
 
 def _alignment(passage: np.ndarray, text: np.ndarray, used: dict[int, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -194,7 +206,7 @@ def _alignment(passage: np.ndarray, text: np.ndarray, used: dict[int, np.ndarray
     Matches in ``used`` don't count. Only every so many rows of scores are kept, and those between made again on the way back.
     """
     n, m = len(passage), len(text)
-    kind = np.int16 if n < 30_000 and m < 30_000 else np.int32
+    kind = np.int16 if 2 * n + m < 32_000 else np.int32
     every = max(1, min(n, CELLS // (m + 1)))
     kept = {0: np.zeros(m + 1, kind)}
     score, i, j, whole = 0, 0, 0, None
@@ -280,17 +292,22 @@ def leaked(passage: np.ndarray, text: np.ndarray) -> bool:
     return matched >= BOTH / 2 * n and any(best_stretch(side, text, rest, rest)[0] >= rest for side in (passage[:start], passage[end:]))
 
 
-def common_tokens(passage: np.ndarray, text: np.ndarray) -> int:
-    """The length of the longest common subsequence, by rows of bits."""
+def common_tokens(passage: np.ndarray, text: np.ndarray, least: float = 0) -> int:
+    """The length of the longest common subsequence, by rows of bits. Where fewer than ``least`` of the passage's tokens are in the text, their number, which it can't exceed."""
+    tokens, others = passage.tolist(), text.tolist()
+    held = set(others).intersection(tokens)
+    tokens = [t for t in tokens if t in held]
+    if len(tokens) < least:
+        return len(tokens)
     places: dict[int, int] = {}
-    for j, t in enumerate(text.tolist()):
+    for j, t in enumerate(tokens):
         places[t] = places.get(t, 0) | 1 << j
-    row = (1 << len(text)) - 1
-    full = row
-    for t in passage.tolist():
-        hit = row & places.get(t, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(text) - row.bit_count()
+    row = full = (1 << len(tokens)) - 1
+    for t in others:
+        if t in held:
+            hit = row & places[t]
+            row = ((row + hit) | (row - hit)) & full
+    return len(tokens) - row.bit_count()
 
 
 class Index:
@@ -327,10 +344,11 @@ class Index:
         weights = [self.idf[f] * n for f, n in cells]
         self.cells = np.concatenate([f + k * self.vocabulary.size for k, (f, _) in enumerate(cells)])
         self.weights = np.concatenate([w / max(float(np.linalg.norm(w)), 1e-9) for w in weights]).astype(np.float32)
-        self.table = None
-        if len(self.queries) * self.vocabulary.size <= CELLS:  # else they are sought
-            self.table = np.zeros(len(self.queries) * self.vocabulary.size, np.float32)
-            self.table[self.cells] = self.weights
+        self.mask = min(_MASK, (1 << (16 * len(self.cells)).bit_length()) - 1)
+        self.slots = np.zeros(self.mask + 1, np.int32)
+        self.slots[self.cells & self.mask] = np.arange(len(self.cells))
+        self.taken = np.zeros(self.mask + 1, bool)
+        self.taken[self.cells & self.mask] = True
         rare, answers = np.minimum(self.idf, self.idf.max() - np.float32(np.log(3))), []  # features of very few documents weigh alike
         for f in self.untold:  # the rarer half of what the query leaves open
             f = f[rare[f] >= np.median(rare[f])] if len(f) else f
@@ -338,13 +356,17 @@ class Index:
         self.answer_at = np.cumsum([0, *(len(f) for f, _ in answers)])
         self.answer, self.answer_weight = (np.concatenate(x) for x in zip(*answers))
 
-    def weight(self, query: np.ndarray, feature: np.ndarray) -> np.ndarray:
-        """The weights of features in segments, 0 where a segment lacks one."""
-        key = query.astype(np.int64) * self.vocabulary.size + feature
-        if self.table is not None:
-            return self.table[key]
-        at = np.minimum(np.searchsorted(self.cells, key), len(self.cells) - 1)
-        return np.where(self.cells[at] == key, self.weights[at], np.float32(0))
+    def dots(self, query: np.ndarray, n: np.ndarray, feature: np.ndarray) -> np.ndarray:
+        """Products of segments and windows by weight in the whole vocabulary; the first ``n[0]`` features are those of the first window, and so on."""
+        key = np.repeat(query.astype(np.int64) * self.vocabulary.size, n)
+        key += feature
+        on = np.flatnonzero(self.taken[key & self.mask])  # most features are not in the segment
+        key, feature = key[on], feature[on]
+        at = self.slots[key & self.mask]
+        other = np.flatnonzero(self.cells[at] != key)
+        at[other] = np.minimum(np.searchsorted(self.cells, key[other]), len(self.cells) - 1)
+        weight = np.where(self.cells[at] == key, self.weights[at], np.float32(0))
+        return np.bincount(np.searchsorted(np.cumsum(n), on, side="right"), self.idf[feature] * weight, len(n))
 
     def told(self, item: int, features: np.ndarray) -> float:
         """The part of an item's answer among some features."""
@@ -380,7 +402,8 @@ def _featured(index):
     """For every piece of the texts their ids and keys, the features, how many each text has, and the steps between their blocks."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Index(*index.value).vocabulary
+        passages = Tokens(index.value[1])
+        vocabulary = Vocabulary(passages.pair[passages.inside])
         for batch in batches:
             for part in pieces(batch, 1, 1_500_000):
                 feature, owner, block = features(Tokens(part.column(1).to_pylist()), vocabulary)
@@ -421,7 +444,7 @@ def _products(idf: np.ndarray, basis: np.ndarray):
     """Partial sums of ``A^T (A B)`` over the passages of a partition, in blocks of rows. A ``B`` of one cell a row takes one sum."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.ascontiguousarray((basis * idf[:, None]).T.astype(np.float32))
+        rows = (basis * idf[:, None]).astype(np.float32)
         total = np.zeros(rows.shape)
         single = np.abs(basis).argmax(axis=1) if np.count_nonzero(basis) == len(basis) else None
         for _, _, feature, owner, block in _pieces(batches):
@@ -430,13 +453,13 @@ def _products(idf: np.ndarray, basis: np.ndarray):
             if single is None:
                 product = _sums(rows, feature, starts)
             else:
-                row = single[feature]
-                product = np.bincount(row * len(starts) + at, rows[row, feature], len(rows) * len(starts)).reshape(len(rows), -1).astype(np.float32)
-            product /= np.maximum(np.add.reduceat(idf[feature] ** 2, starts), 1e-18).astype(np.float32)
+                column = single[feature]
+                product = np.bincount(at * rows.shape[1] + column, rows[feature, column], len(starts) * rows.shape[1]).reshape(len(starts), -1).astype(np.float32)
+            product /= np.maximum(np.add.reduceat(idf[feature] ** 2, starts), 1e-18).astype(np.float32)[:, None]
             order = np.argsort(feature.astype(np.uint16) if len(idf) <= 1 << 16 else feature, kind="stable")
             starts = _starts(feature[order])
-            total[:, feature[order[starts]]] += _sums(product, at[order], starts)
-        whole = np.ascontiguousarray((total * idf).T.astype(np.float32))
+            total[feature[order[starts]]] += _sums(product, at[order], starts)
+        whole = (total * idf[:, None]).astype(np.float32)
         for s in range(0, len(whole), 512):
             yield pa.RecordBatch.from_pydict({"rows": pa.array([s], pa.int32()), "part": [whole[s : s + 512].tobytes()]})
 
@@ -466,24 +489,47 @@ def latent_basis(featured: DataFrame, index: Index, idf: np.ndarray) -> np.ndarr
     return basis
 
 
+def _columns(latent: np.ndarray) -> np.ndarray:
+    """The segments' vectors as columns, filled up with zeros to a multiple of eight."""
+    out = np.zeros((latent.shape[1], -(-len(latent) // 8) * 8), np.float32)
+    out[:, : len(latent)] = latent.T
+    return out
+
+
+def _close(windows: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows and segments of a cosine above ``LATENT``; few cosines are made at a time, and read in eights."""
+    width = latent.shape[1]
+    step = max(64, COSINES // width)
+    cosines, found = np.empty((min(step, len(windows)), width), np.float32), [np.zeros(0, np.int64)]
+    for s in range(0, len(windows), step):
+        some = windows[s : s + step]
+        above = (np.matmul(some, latent, out=cosines[: len(some)]) > LATENT).reshape(-1, 8)
+        eights = np.flatnonzero(above.view(np.uint64))
+        at, one = np.nonzero(above[eights])
+        found.append(s * width + eights[at] * 8 + one)
+    return np.divmod(np.concatenate(found), width)
+
+
 def _search(index):
     """``(doc_id, key, item, blocks)``: the windows of a text that are candidates for an item, both by their places."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = Index(*index.value)
-        latent, basis = np.ascontiguousarray(x.latent.T), np.ascontiguousarray(x.basis.T)
+        latent = _columns(x.latent)
         for ids, hashes, feature, owner, block in _pieces(batches):
             places = owner << 32 | block
             starts = _starts(places)
             keys = places[starts]
-            windows = _windows(keys, np.ascontiguousarray(_sums(basis, feature, starts).T))
+            windows = _windows(keys, _sums(x.basis, feature, starts))
             windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-9)[:, None]
-            place = np.searchsorted(places, np.stack([keys, keys + PER_WINDOW]))
+            place = np.stack([starts, np.append(starts, len(places))[np.searchsorted(keys, keys + PER_WINDOW)]])
+            squares = np.append(0, np.cumsum(x.idf[feature] ** 2, dtype=np.float64))
+            norms = np.maximum(np.sqrt(squares[place[1]] - squares[place[0]]), 1e-9)
             holds = _held(len(ids), x.vocabulary.size, owner, feature)
             candidates: dict[tuple[int, int], list[int]] = {}
             for s in range(0, len(keys), 8192):  # every window with every segment, whatever their scripts
-                row, query = np.divmod(np.flatnonzero((windows[s : s + 8192] @ latent > LATENT).ravel()), len(x.queries))
-                for doc, item, b in _confirmed(x, feature, place, row + s, query, keys, holds):
+                row, query = _close(windows[s : s + 8192], latent)
+                for doc, item, b in _confirmed(x, feature, place, row + s, query, keys, norms, holds):
                     candidates.setdefault((doc, item), []).append(b)
             of = sorted(candidates)
             columns = [pa.array([ids[d] for d, _ in of], pa.int64()), pa.array([hashes[d] for d, _ in of], pa.int64()), pa.array([i for _, i in of], pa.int32()), pa.array([sorted(set(candidates[c])) for c in of], pa.list_(pa.int32()))]
@@ -506,7 +552,7 @@ def _check(index):
                     for item, at in ((f["item"], f["blocks"]) for f in found):
                         around = _around(tokens.unit[first[doc] : first[doc + 1]], at, x.units[item])
                         text = tokens.hash[first[doc] : first[doc + 1]][around]
-                        common = common_tokens(x.tokens[item], text)  # no stretch can match in more
+                        common = common_tokens(x.tokens[item], text, min(PART, COMMON) * len(x.tokens[item]))  # no stretch can match in more
                         kind = "leaked" if common >= PART * len(x.tokens[item]) and leaked(x.tokens[item], text) else None
                         if kind is None and common >= COMMON * len(x.tokens[item]) and x.told(item, x.vocabulary.find(tokens.pair[first[doc] + around[:-1]])) >= TOLD:
                             kind = "paraphrased"
@@ -521,11 +567,10 @@ def _check(index):
 
 def _around(unit: np.ndarray, blocks: list[int], reach: int) -> np.ndarray:
     """The tokens within a passage's length of some candidate window of a text."""
-    at = np.unique(blocks) * BLOCK
-    on = np.zeros(len(unit) + 1, np.int32)
-    np.add.at(on, np.searchsorted(unit, at - reach), 1)
-    np.add.at(on, np.searchsorted(unit, at + PER_WINDOW * BLOCK + reach), -1)
-    return np.flatnonzero(np.cumsum(on)[:-1] > 0)
+    at = np.array(sorted(set(blocks))) * BLOCK
+    begin, end = np.searchsorted(unit, at - reach), np.searchsorted(unit, at + PER_WINDOW * BLOCK + reach)
+    apart = np.flatnonzero(begin[1:] > end[:-1]) + 1
+    return np.concatenate([np.arange(b, e) for b, e in zip(begin[[0, *apart]].tolist(), end[[*(apart - 1), -1]].tolist())])
 
 
 def _held(n: int, size: int, owner: np.ndarray, feature: np.ndarray):
@@ -543,7 +588,7 @@ def _held(n: int, size: int, owner: np.ndarray, feature: np.ndarray):
     return among
 
 
-def _confirmed(x: Index, feature: np.ndarray, place: np.ndarray, windows: np.ndarray, queries: np.ndarray, keys: np.ndarray, holds) -> Iterator[tuple[int, int, int]]:
+def _confirmed(x: Index, feature: np.ndarray, place: np.ndarray, windows: np.ndarray, queries: np.ndarray, keys: np.ndarray, norms: np.ndarray, holds) -> Iterator[tuple[int, int, int]]:
     """``(text, item, block)`` where window and segment reach the cosine in the whole vocabulary as well, or the text holds the answer."""
     doc, item = keys[windows] >> 32, x.item[queries].astype(np.int64)
     if not len(windows):
@@ -560,15 +605,11 @@ def _confirmed(x: Index, feature: np.ndarray, place: np.ndarray, windows: np.nda
         cell = np.repeat(x.answer_at[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         told[s : s + len(d)] = np.bincount(np.repeat(np.arange(len(d)), n), x.answer_weight[cell] * holds(np.repeat(d, n), x.answer[cell]), len(d))
     answered = told[of] >= ANSWER
-    for s in range(0, len(windows), 20_000):
-        w, q = windows[s : s + 20_000], queries[s : s + 20_000]
+    for s in range(0, len(windows), LOOKED):
+        w, q = windows[s : s + LOOKED], queries[s : s + LOOKED]
         begin, n = place[0, w], place[1, w] - place[0, w]
-        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        f = feature[at]
-        starts = np.cumsum(n) - n
-        dots = np.add.reduceat(x.idf[f] * x.weight(np.repeat(q, n), f), starts)
-        norms = np.sqrt(np.add.reduceat(x.idf[f] ** 2, starts))
-        ok = (dots >= FULL * np.maximum(norms, 1e-9)) | answered[s : s + 20_000]
+        f = feature[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ok = (x.dots(q, n, f) >= FULL * norms[w]) | answered[s : s + LOOKED]
         yield from zip((keys[w[ok]] >> 32).tolist(), x.item[q[ok]].tolist(), (keys[w[ok]] & 0xFFFFFFFF).tolist())
 
 

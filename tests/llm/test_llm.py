@@ -339,6 +339,80 @@ def test_products_over_all_passages():
         assert np.allclose(got, rows.T @ ((rows @ basis) / np.maximum(norms, 1e-18)[:, None]), rtol=1e-3, atol=1e-4)
 
 
+class Stated:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("mask", [63, (1 << 22) - 1])
+def test_segments_are_sought_in_what_windows_hold(monkeypatch, mask):
+    rng = np.random.default_rng(5)
+    pool = [f"w{k}" for k in range(2000)]
+    passages = [" ".join(rng.permutation(pool)[:60]) for _ in range(60)]
+    texts = [" ".join(" ".join(passages[k].split(" ")[a : a + 6]) for k, a in zip(rng.integers(0, 60, 40), rng.integers(0, 54, 40))) for _ in range(20)]
+    texts += [f"{passages[k]} {passages[k + 9]} {passages[k]}" for k in range(3)]
+    stated = list(range(60)), passages, [None] * 60
+    whole = leak.Index(*stated)
+    size = whole.vocabulary.size
+    idf, basis = rng.random(size).astype(np.float32) + 1, rng.standard_normal((size, 2)).astype(np.float32)
+    batch = leak.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "key": [0] * len(texts)})
+    featured = list(leak._featured(Stated(stated))(iter([batch])))
+    monkeypatch.setattr(leak, "CELLS", 1000)  # a large block
+    monkeypatch.setattr(leak, "ANSWER", 2)
+    monkeypatch.setattr(leak, "COSINES", 1, raising=False)
+    sought, own = [], np.searchsorted
+
+    def spy(a, v, *rest, **named):
+        sought.append(np.size(v))
+        return own(a, v, *rest, **named)
+
+    with monkeypatch.context() as m:
+        m.setattr(np, "searchsorted", spy)
+        if mask < leak._MASK:  # most features share a place with others
+            m.setattr(leak, "_MASK", mask)
+            m.setattr(leak.Vocabulary, "find", lambda self, h: np.where(np.isin(h, self.hashes), own(self.hashes, h), -1).astype(np.int32))
+        (out,) = leak._search(Stated((*stated, idf, basis)))(iter(featured))
+    got = {(d, i, b) for d, i, bs in zip(*(out.column(c).to_pylist() for c in (0, 2, 3))) for b in bs}
+    wanted, looked = set(), 0
+    for doc, text in enumerate(texts):
+        feature, _, block = leak.features(leak.Tokens([text]), whole.vocabulary)
+        for b in np.unique(block).tolist():
+            f = feature[(block >= b) & (block < b + leak.PER_WINDOW)]
+            window = (basis[f] * idf[f][:, None]).sum(axis=0)
+            for item, q in zip(whole.item.tolist(), whole.queries):
+                segment = (basis[q] * idf[q][:, None]).sum(axis=0)
+                if window @ segment > leak.LATENT * np.linalg.norm(window) * np.linalg.norm(segment):
+                    weight = np.bincount(q, minlength=size) * idf
+                    looked += len(f)
+                    if idf[f] @ weight[f] >= leak.FULL * np.linalg.norm(idf[f]) * np.linalg.norm(weight):
+                        wanted.add((doc, item, b))
+    assert got == wanted and {(20, 0), (20, 9), (22, 2), (22, 11)} <= {x[:2] for x in got}
+    assert mask < leak._MASK or sum(sought) < looked / 5  # before: all that were looked at
+
+
+def test_sums_of_rows_and_cosines():
+    rng = np.random.default_rng(6)
+    rows, index = rng.standard_normal((50, 7)), rng.integers(0, 50, 9000)
+    starts = np.array([0, 1, 2, 40, 41, 73, 7000, 8999])
+    wanted = [rows[index[a:b]].sum(axis=0) for a, b in zip(starts, [*starts[1:], 9000])]
+    assert np.allclose(leak._sums(rows, index, starts), wanted) and np.allclose(leak._sums(rows, index[:1], starts[:1]), rows[index[:1]])
+    windows, latent = (rng.standard_normal((n, 3)).astype(np.float32) for n in (501, 13))
+    windows, latent = (x / np.linalg.norm(x, axis=1)[:, None] for x in (windows, latent))
+    assert [x.tolist() for x in leak._close(windows, leak._columns(latent))] == [x.tolist() for x in np.nonzero(windows @ latent.T > leak.LATENT)]
+    assert [len(x) for x in leak._close(windows[:0], leak._columns(latent))] == [0, 0]
+
+
+def test_places_near_windows_and_too_few_common_tokens():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        unit = np.cumsum(rng.integers(1, 4, rng.integers(1, 300)))
+        blocks, reach = rng.integers(0, 40, rng.integers(1, 5)).tolist(), int(rng.integers(0, 200))
+        near = [i for i, u in enumerate(unit.tolist()) if any(b * leak.BLOCK - reach <= u < b * leak.BLOCK + leak.PER_WINDOW * leak.BLOCK + reach for b in blocks)]
+        assert leak._around(unit, blocks, reach).tolist() == near
+    a, b = np.array([1, 2, 3, 3, 9]), np.array([3, 7, 2, 3, 3, 8])
+    assert leak.common_tokens(a, b) == leak.common_tokens(a, b, 3) == 3 and leak.common_tokens(a, b, 4) < 4 and leak.common_tokens(a, b, 5) < 5
+
+
 def test_passages_in_long_texts_of_the_other_script(spark):
     rng = random.Random(4)
     han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
