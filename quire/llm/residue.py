@@ -26,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,12 @@ SLOT = "|".join([
     r"×{2,}",
 ])
 
+#: What every text with such a slot holds one of, for a plain search.
+SLOT_MARKS = ["{", "<", "%(", "[", "【", "〈", "@@", "__", "#", "XX", "××", *(b + w for b in "〔（(" for w in ("此处", "请", "待"))]
+
+#: Characters that are not seen.
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+
 #: The words of nonsense Latin.
 LOREM = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi "
@@ -79,11 +86,17 @@ SEEDS = {
 }
 
 
+def _one_of(characters: set[str], few: int = 8) -> str:
+    """A pattern of one of some characters; a look at the range of every ``few`` spares most places the test of each."""
+    order = sorted(characters)
+    groups = [order[i : i + few] for i in range(0, len(order), few)]
+    return "[" + "".join(f"[{g[0]}-{g[-1]}&&[{''.join(g)}]]" for g in groups) + "]"
+
+
 def _seeded(*classes: str) -> str:
     """The pattern of some classes' words; a look at the first character spares most places the words."""
     latin, other = ("|".join(SEEDS[c][k] for c in classes) for k in range(2))
-    heads = "".join(sorted({w[0] for w in other.split("|")}))
-    return f"(?<![a-z])(?=[a-z])(?:{latin})|(?=[{heads}])(?:{other})"
+    return f"(?<![a-z])(?=[a-z])(?:{latin})|(?={_one_of({w[0] for w in other.split('|')})})(?:{other})"
 
 
 #: Labelled messages that the fit begins with.
@@ -105,15 +118,24 @@ LABEL = r"^(?:(?:>|[-*•]|#{1,6})\s+|(?:摘要|概要|总结|内容|正文|summ
 DEFAULT = r"^page ∗ of .+$"
 
 
-def cleaned(text: Column) -> Column:
-    """The message: without invisible characters, labels and quote marks, white space collapsed, letters lower."""
-    plain = F.regexp_replace(text, "[­​-‏⁠﻿]", "")
+def _holds(text: Column, words: Iterable[str]) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+
+
+def visible(text: Column) -> Column:
+    """The text without invisible characters."""
+    return F.when(_holds(text, INVISIBLE), F.regexp_replace(text, f"[{INVISIBLE}]", "")).otherwise(text)
+
+
+def cleaned(plain: Column) -> Column:
+    """The message of a visible text: without labels and quote marks, white space collapsed, letters lower."""
     return F.lower(F.trim(F.regexp_replace(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), "(?i)" + LABEL, "")))
 
 
 def masked(message: Column) -> Column:
     """The skeleton of a message: references and numbers become one mark."""
-    return F.regexp_replace(F.regexp_replace(message, r"(?<![0-9a-z])(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![0-9a-z])", "∗"), r"\d+(?:[.,]\d+)*", "∗")
+    references = F.regexp_replace(message, r"(?<![0-9a-z])(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![0-9a-z])", "∗")
+    return F.regexp_replace(F.when(message.rlike("[0-9a-f]{6}"), references).otherwise(message), r"\d+(?:[.,]\d+)*", "∗")
 
 
 def tokens_of(skeleton: Column) -> Column:
@@ -121,29 +143,34 @@ def tokens_of(skeleton: Column) -> Column:
     return F.regexp_extract_all(skeleton, F.lit(r"([a-z_']+|∗|[^\sa-z])"), 1)
 
 
-def has_slot(text: Column) -> Column:
-    """Whether a slot was left unresolved anywhere in the text, invisible characters inside it aside."""
-    plain = F.when(text.rlike("[­​-‏⁠﻿]"), F.regexp_replace(text, "[­​-‏⁠﻿]", "")).otherwise(text)
-    return plain.rlike("[{<%\\[【〈〔@_#（(×]|XX") & plain.rlike("(?m)" + SLOT)
+def has_slot(plain: Column) -> Column:
+    """Whether a slot was left unresolved anywhere in a visible text."""
+    return _holds(plain, SLOT_MARKS) & plain.rlike("(?m)" + SLOT)
 
 
 def skeletons(records: DataFrame) -> DataFrame:
-    """``(record_kind, record_id, message, s1, s2)``: messages with the 128-bit key of their skeleton."""
-    message = records.select("record_kind", "record_id", cleaned(F.col("text")).alias("message")).where("message != ''")
-    key = text_key(masked(F.col("message")))
-    return message.withColumn("key", key).select("record_kind", "record_id", "message", F.col("key.h1").alias("s1"), F.col("key.h2").alias("s2"))
+    """``(record_kind, record_id, slot, same, s1, s2, skeleton)`` of every record, whose patterns are sought once.
+
+    ``slot``: whether it has a slot; ``same``: a key of its message; ``s1``, ``s2``: the 128-bit key of its skeleton, which
+    is empty where there is no message. Each step names the one before several times, so none is merged into the next.
+    """
+    plain = records.select("record_kind", "record_id", visible(F.col("text")).alias("plain"))
+    message = plain.select("record_kind", "record_id", has_slot(F.col("plain")).alias("slot"), cleaned(F.col("plain")).alias("message"))
+    skeleton = message.select("record_kind", "record_id", "slot", F.xxhash64("message").alias("same"), masked(F.col("message")).alias("skeleton"))
+    keyed = skeleton.select("record_kind", "record_id", "slot", "same", "skeleton", text_key(F.col("skeleton")).alias("key"))
+    return cut(keyed.select("record_kind", "record_id", "slot", "same", F.col("key.h1").alias("s1"), F.col("key.h2").alias("s2"), "skeleton"))
 
 
 def placed_skeletons(messages: DataFrame) -> DataFrame:
-    """Every skeleton once, with its leaf in the tree; behind a checkpoint, the only one that holds texts.
+    """Every skeleton once, with its leaf in the tree; behind a checkpoint.
 
-    ``(s1, s2, n, recurs, skeleton, class, leaf)``; ``recurs``: one and the same message of it fills ``SPREAD`` records or more.
+    ``(s1, s2, n, recurs, skeleton, class, itself, leaf)``; ``recurs``: one and the same message of it fills ``SPREAD`` records or more.
     """
-    per = messages.groupBy("s1", "s2").agg(F.min("message").alias("message"), (F.min("message") == F.max("message")).alias("fixed"), F.count("*").alias("n"))
-    placed = per.select("s1", "s2", "n", (F.col("fixed") & (F.col("n") >= SPREAD)).alias("recurs"), masked(F.col("message")).alias("skeleton"))
-    size = F.length(F.regexp_replace(F.regexp_replace("skeleton", r"[a-z_']+", "w"), r"\s+", ""))
-    first = F.regexp_extract("skeleton", rf"^(?:\s*(?:[a-z_']+|∗|[^\sa-z])){{0,{DEPTH}}}", 0)
-    return cut(placed.select("s1", "s2", "n", "recurs", "skeleton", seed_class(F.col("skeleton")).alias("class"), F.xxhash64(size, first).alias("leaf")))
+    per = messages.where("skeleton != ''").groupBy("s1", "s2").agg(F.first("skeleton").alias("skeleton"), (F.min("same") == F.max("same")).alias("fixed"), F.count("*").alias("n"))
+    text = F.col("skeleton")
+    size = F.length(F.replace(F.regexp_replace(text, r"[a-z_']{2,}", "w"), F.lit(" "), F.lit("")))
+    first = F.regexp_extract(text, rf"^(?:\s*(?:[a-z_']+|∗|[^\sa-z])){{0,{DEPTH}}}", 0)
+    return cut(per.select("s1", "s2", "n", (F.col("fixed") & (F.col("n") >= SPREAD)).alias("recurs"), "skeleton", seed_class(text).alias("class"), fills_itself(text).alias("itself"), F.xxhash64(size, first).alias("leaf")))
 
 
 def _once(value: Column, f) -> Column:
@@ -213,8 +240,7 @@ def classified_templates(messages: DataFrame) -> DataFrame:
     placed = placed_skeletons(messages)
     text = F.col("skeleton")
     default = text.rlike(DEFAULT) & ~text.rlike(SLOT)
-    named = placed.select("s1", "s2", "recurs", "skeleton", "class", fills_itself(text).alias("itself"))
-    wanted = named.where((F.col("recurs") | F.col("class").isNotNull() | F.col("itself")) & ~default)
+    wanted = placed.select("s1", "s2", "recurs", "skeleton", "class", "itself").where((F.col("recurs") | F.col("class").isNotNull() | F.col("itself")) & ~default)
     candidates = cut(wanted.join(mined_templates(placed), ["s1", "s2"]))
     some = lambda df, *order: df.orderBy(*order).limit(FIT)
     prose = cut(some(placed.where((F.col("n") < SPREAD) & (F.col("class").isNull() | text.rlike(DEFAULT))).select("skeleton"), F.xxhash64("skeleton"), "skeleton"))
@@ -231,6 +257,5 @@ def residue_records(records: DataFrame) -> DataFrame:
     texts = records.where(F.col("record_id").isNotNull() & F.col("text").isNotNull()).select("record_kind", "record_id", "text").distinct()
     messages = skeletons(texts)
     bad = classified_templates(messages).select("s1", "s2")
-    whole = messages.select("record_kind", "record_id", "s1", "s2").join(bad, ["s1", "s2"], "left_semi").select("record_kind", "record_id")
-    slots = texts.where(has_slot(F.col("text"))).select("record_kind", "record_id")
-    return whole.unionByName(slots).distinct()
+    whole = messages.where("skeleton != ''").select("record_kind", "record_id", "s1", "s2").join(bad, ["s1", "s2"], "left_semi").select("record_kind", "record_id")
+    return whole.unionByName(messages.where("slot").select("record_kind", "record_id")).distinct()

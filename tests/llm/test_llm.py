@@ -3,6 +3,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import leak, lookalike, neardup, residue, scanned, shared, tokenize
 from quire.llm.queries import QUERIES
@@ -75,6 +76,27 @@ def test_messages_of_one_leaf_merge_to_a_template(spark):
     assert [r.n_records for r in mined if "archive" in r.skeleton] == [4] * 4 and len({r.template for r in mined}) == 2
 
 
+def test_patterns_of_a_record_are_sought_once(spark):
+    rows = [("page", f"r{i}", t) for i, t in enumerate(RESIDUE)]
+    plan = residue.skeletons(frame(spark, rows).drop("id_a"))._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and "regexp_replace" not in plan and "RLIKE" not in plan
+
+
+def test_shortcuts_of_patterns_leave_nothing_out(spark):
+    rng = random.Random(7)
+    pieces = [*residue.SLOT_MARKS, *residue.INVISIBLE, *"}>)]】〉〕）#_@X× aeé9,.错失这单", "名称", "填写", "输入", "NAME", "Your Name", "s", "not found", "errors", "tbd", "xx公司", "找不到", "点击", "0a1b2c", "decade", "2026"]
+    rows = [("page", f"m{i}", "".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))) for i in range(20_000)]
+    rows += [("page", f"r{i}", t) for i, t in enumerate(RESIDUE)] + [("page", f"p{i}", t) for i, t in enumerate(PROSE) if t is not None]
+    text = F.regexp_replace("text", "[\u00ad\u200b-\u200f\u2060\ufeff]", "")
+    latin, other = ("|".join(residue.SEEDS[c][k] for c in residue.SEEDS) for k in range(2))
+    references = F.regexp_replace("text", r"(?<![0-9a-z])(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![0-9a-z])", "∗")
+    whole = [text, text.rlike("(?m)" + residue.SLOT), F.col("text").rlike(f"(?<![a-z])(?:{latin})|(?:{other})"), F.regexp_replace(references, r"\d+(?:[.,]\d+)*", "∗")]
+    plain = residue.visible(F.col("text"))
+    short = [plain, residue.has_slot(plain), residue.seed_class(F.col("text")).isNotNull(), residue.masked(F.col("text"))]
+    got = frame(spark, rows).select(*(F.count_if(~a.eqNullSafe(b)).alias(f"d{i}") for i, (a, b) in enumerate(zip(whole, short))), F.count_if(whole[1]).alias("slots"), F.count_if(whole[2]).alias("seeds")).first()
+    assert got[:4] == (0, 0, 0, 0) and got.slots > 1_000 and got.seeds > 1_000
+
+
 # --- tokenizer ----------------------------------------------------------------------------------------------------
 
 
